@@ -1,0 +1 @@
+"""Empty on purpose: every analysis and check is a bounded batch over stored measurements."""
