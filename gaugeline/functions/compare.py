@@ -97,20 +97,15 @@ def _finding(kind: str, severity: str, *fact: str) -> Column:
 
 
 def findings(checks: DataFrame, ids: list[str]) -> DataFrame:
-    """One row per finding of each compared check, PROCESS_STABLE when nothing stands out.
-
-    ``affected_indices`` is taken in the fact of a limit violation when the column exists.
-    """
+    """One row per finding of each compared check, PROCESS_STABLE when nothing stands out."""
     mean = ("baseline_mean", "current_mean", "mean_shift", "mean_shift_percentage")
     sigma = ("baseline_within_sigma", "current_within_sigma", "within_variation_change_percentage")
     cpk = ("baseline_cpk", "current_cpk", "cpk_change")
-    checks = checks.withColumn("violation_count", F.col("point_violations"))
-    limit_fact = ["violation_count"] + (["affected_indices"] if "affected_indices" in checks.columns else [])
 
-    def counted(kind, column):
+    def counted(kind, severity, column):
         fact = F.to_json(F.struct(F.col(column).alias("violation_count")))
         return F.struct(
-            F.lit(kind).alias("finding_type"), F.lit("WARNING").alias("severity"), fact.alias("statistical_fact")
+            F.lit(kind).alias("finding_type"), F.lit(severity).alias("severity"), fact.alias("statistical_fact")
         )
 
     listed = F.array_compact(
@@ -120,9 +115,9 @@ def findings(checks: DataFrame, ids: list[str]) -> DataFrame:
             F.when(F.col("variation_reduction_detected"), _finding("VARIATION_REDUCTION", "INFO", *sigma)),
             F.when(F.col("capability_degradation_detected"), _finding("CAPABILITY_DEGRADATION", "WARNING", *cpk)),
             F.when(F.col("capability_improvement_detected"), _finding("CAPABILITY_IMPROVEMENT", "INFO", *cpk)),
-            F.when(F.col("point_violations") > 0, _finding("NEW_LIMIT_VIOLATION", "CRITICAL", *limit_fact)),
-            F.when(F.col("trend_violations") > 0, counted("TREND_DETECTED", "trend_violations")),
-            F.when(F.col("shift_violations") > 0, counted("SHIFT_DETECTED", "shift_violations")),
+            F.when(F.col("point_violations") > 0, counted("NEW_LIMIT_VIOLATION", "CRITICAL", "point_violations")),
+            F.when(F.col("trend_violations") > 0, counted("TREND_DETECTED", "WARNING", "trend_violations")),
+            F.when(F.col("shift_violations") > 0, counted("SHIFT_DETECTED", "WARNING", "shift_violations")),
         )
     )
     listed = F.when(F.size(listed) > 0, listed).otherwise(F.array(_finding("PROCESS_STABLE", "INFO")))

@@ -138,7 +138,7 @@ def histogram(points: DataFrame, context_values: DataFrame, layout: Layout, bins
                                "center": start + F.col("bin_width") / 2})
     curve = normal_density(F.col("center"), F.col("mean"), F.col("overall_sigma"), F.col("value_count"), F.col("bin_width"))
     return (
-        slots.withColumn("normal_curve", F.when("has_curve", curve))
+        slots.withColumn("normal_curve", F.when(F.col("has_curve"), curve))
         .join(counts, ["ctx", "bin"], "left")
         .select("ctx", "bin", "range_start", "range_end", "center", "normal_curve",
                 F.coalesce("count", F.lit(0).cast("long")).alias("count"))

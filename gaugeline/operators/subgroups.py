@@ -36,7 +36,7 @@ def sequence_rows(rows: DataFrame, layout: Layout, row_columns: list[str], store
     timed = rows.groupBy("ctx").agg((F.count("*") == F.count("event_timestamp")).alias("_timed"))
     if layout.contexts and layout.contexts <= 50_000:
         timed = F.broadcast(timed)
-    rows = rows.join(timed, "ctx").withColumn("_at", F.when("_timed", F.col("event_timestamp")))
+    rows = rows.join(timed, "ctx").withColumn("_at", F.when(F.col("_timed"), F.col("event_timestamp")))
     order = [F.col("_at").asc_nulls_last(), *[F.col(c) for c in row_columns]]
     return number_rows(rows, layout, order).drop("_timed", "_at")
 
@@ -244,6 +244,8 @@ def form_subgroups(
     not built. Size 1 makes single-row subgroups whatever the method says.
     """
     methods = set(methods)
+    if with_members and "EXISTING_ID" in methods:
+        raise ValueError("Subgroups named by the data have no size bound; read their members from the rows.")
     parts = []
     plain = rows.filter(_one_by_one() | _method("FIXED_SIZE") | _method("CONSECUTIVE"))
     marked = chunk_starts(plain, layout, "CONSECUTIVE" in methods)

@@ -95,15 +95,12 @@ def run_check(
 
 
 def affected_indices(found: DataFrame) -> DataFrame:
-    """Indices of points outside the limits, in order, one array per context for a report.
+    """Indices of points outside the frozen limits, one row each.
 
-    The long violation table holds the same facts for contexts too large for one row.
+    They belong to the limit-violation finding of their context; a long table
+    holds them however many there are.
     """
-    return (
-        found.filter(F.col("rule_name") == POINT_OUTSIDE)
-        .groupBy("ctx")
-        .agg(F.sort_array(F.collect_list("start_index")).alias("affected_indices"))
-    )
+    return found.filter(F.col("rule_name") == POINT_OUTSIDE).select("ctx", F.col("start_index").alias("affected_index"))
 
 
 def raise_alerts(found: DataFrame) -> DataFrame:

@@ -79,24 +79,23 @@ def dashboard_counts(analyses: DataFrame, checks: DataFrame) -> DataFrame:
 def analysis_report(
     runs: DataFrame, results: DataFrame, violations: DataFrame, parameters: DataFrame
 ) -> DataFrame:
-    """Run, result, violations and unit per analysis; sigma levels are derived again.
+    """Run, result, unit and violation counts per analysis; sigma levels are derived again.
 
-    Violations are joined as an ordered array, so call it for the runs on display.
+    The violations themselves stay in their long table, which ``report_violations`` lists.
     """
-    listed = violations.groupBy("analysis_id").agg(
-        F.sort_array(
-            F.collect_list(F.struct("start_index", "rule_name", "chart_type", "severity", "end_index"))
-        ).alias("violations")
+    counted = violations.groupBy("analysis_id").agg(
+        F.count("*").alias("violation_count"), F.min("start_index").alias("first_violation_index")
     )
     short, long = sigma_level(F.col("cpk"))
     unit = parameters.select("parameter_id", "unit")
     return (
         runs.join(results.drop("created_at"), "analysis_id")
-        .join(listed, "analysis_id", "left")
+        .join(counted, "analysis_id", "left")
         .join(unit, "parameter_id", "left")
         .withColumns(
             {
                 "unit": F.coalesce("unit", F.lit("")),
+                "violation_count": F.coalesce("violation_count", F.lit(0)),
                 "sigma_level_short_term": short,
                 "sigma_level_long_term": long,
                 "has_specification": F.col("lsl").isNotNull() | F.col("usl").isNotNull(),
@@ -106,6 +105,11 @@ def analysis_report(
     )
 
 
+def report_violations(reports: DataFrame, violations: DataFrame, owner: str = "analysis_id") -> DataFrame:
+    """Violations of the reports on display, in report and start order."""
+    return violations.join(reports.select(owner), owner, "left_semi").orderBy(owner, "start_index")
+
+
 def check_report(
     checks: DataFrame,
     baselines: DataFrame,
@@ -115,10 +119,11 @@ def check_report(
     findings: DataFrame,
     parameters: DataFrame,
 ) -> DataFrame:
-    """Run, baseline, current result, comparison, violations, findings and unit per check."""
-    found = violations.groupBy("manual_check_id").agg(
-        F.sort_array(F.collect_list(F.struct("start_index", "rule_name", "severity", "end_index"))).alias("violations")
-    )
+    """Run, baseline, current result, comparison, findings, violation count and unit per check.
+
+    A check has at most eight findings, so they fit in one array.
+    """
+    found = violations.groupBy("manual_check_id").agg(F.count("*").alias("violation_count"))
     listed = findings.groupBy("manual_check_id").agg(
         F.sort_array(F.collect_list(F.struct("finding_number", "finding_type", "severity"))).alias("findings")
     )
@@ -154,6 +159,7 @@ def check_report(
                 "unit": F.coalesce("_unit", "baseline_unit", F.lit("")),
                 "final_status": F.coalesce("final_status", F.lit("NORMAL")),
                 "mean_shift": F.coalesce("mean_shift", F.lit(0.0)),
+                "violation_count": F.coalesce("violation_count", F.lit(0)),
                 **{c: F.coalesce(c, F.lit(False)) for c in flags},
             }
         )
