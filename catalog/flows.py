@@ -1 +1,558 @@
+"""Whole dataflows: analysis, baselines, manual checks, alerts, result tables."""
 
+import uuid
+
+from pyspark.sql import functions as F
+
+from catalog.charts import COUNTS
+from catalog.registry import query
+from catalog.sqltext import CHARTS, rules, subgroups
+from catalog.statistics import CONFIG_JOIN, SPEC_JOIN, as_of, contexts
+from catalog.tables import (
+    CTX_SQL, MEASUREMENTS, by_context, configurations, measurements, r6, specifications, table, text,
+)
+from gaugeline.functions.compare import finding_messages, metric_table, percent_change
+from gaugeline.operators.layout import context, scratch_root, unpack
+from gaugeline.operators.rules import with_messages
+from gaugeline.plans.analysis import (
+    SpcConfig, analysis_runs, analyze, historical_analysis, resolved_settings, stored_results,
+)
+from gaugeline.plans.baseline import approve, archive, create_drafts, draft_rejection
+from gaugeline.plans.check import affected_indices, eligible_uploads, mismatches, run_check
+from gaugeline.plans.ledger import alert_state
+from gaugeline.schema import CONTEXT
+from gaugeline.sources.tables import (
+    append_chart_points, append_comparisons, append_findings, append_results, append_violations,
+)
+
+ROWS = ("source_row_number", "measurement_id")
+
+
+def folder(spark, name):
+    return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+# Analysis with the configuration and specification of each context.
+
+CUSTOM = "k LIKE 'click|M0|%'"
+CUSTOM_RULES = rules(
+    trend_up=f"(CASE WHEN {CUSTOM} THEN 3 ELSE 7 END)",
+    trend_down=f"(CASE WHEN {CUSTOM} THEN 100000000 ELSE 7 END)",
+    run=f"(CASE WHEN {CUSTOM} THEN 100000000 ELSE 8 END)",
+)
+KEYED = """
+ck AS (SELECT *, parameter_id || '|' || machine_id || '|' || operation_id AS k FROM conf),
+sk AS (SELECT *, parameter_id || '|' || machine_id || '|' || operation_id AS k FROM spec),
+"""
+ELIGIBLE = """
+SELECT ck.k, subgroup_size AS size, subgroup_method AS method, gap, chart_type AS chart FROM ck
+WHERE (SELECT count(*) FROM m WHERE m.k = ck.k) >= minimum_sample_size
+"""
+
+
+def analysis_sql(config_join=CONFIG_JOIN, spec_join=SPEC_JOIN):
+    return (
+        subgroups(ELIGIBLE, before=f"{config_join}, {spec_join}, {KEYED}")
+        + CHARTS
+        + CUSTOM_RULES
+        + COUNTS
+        + """,
+tot AS (SELECT k, count(*) AS n, avg(value) AS mean, min(value) AS minimum, max(value) AS maximum, stddev_samp(value) AS os FROM m GROUP BY k),
+fin AS (SELECT tot.*, ck.chart_type AS configured, ck.minimum_sample_size, ck.spc_configuration_id, lim.kind, lim.used, lim.pc, gm, ucl, lcl, scl, sucl, slcl, ws,
+               sk.lsl, sk.usl, sk.specification_id, pv, tv, sv, ch.formed, ch.kind AS chosen, ck.k AS cfg_k
+        FROM tot LEFT JOIN ck USING (k) LEFT JOIN ch USING (k) LEFT JOIN lim USING (k) LEFT JOIN sk USING (k) LEFT JOIN vc USING (k)),
+cap AS (SELECT *, (usl - mean) / (3 * nullif(ws, 0)) AS cpu, (mean - lsl) / (3 * nullif(ws, 0)) AS cpl,
+               (usl - lsl) / (6 * nullif(ws, 0)) AS cp, (usl - mean) / (3 * nullif(os, 0)) AS ppu,
+               (mean - lsl) / (3 * nullif(os, 0)) AS ppl, (usl - lsl) / (6 * nullif(os, 0)) AS pp,
+               CASE WHEN cfg_k IS NULL THEN 'MISSING_CONFIGURATION' WHEN n < minimum_sample_size THEN 'INSUFFICIENT_DATA'
+                    WHEN coalesce(formed, 0) < 2 THEN 'INVALID_SUBGROUP_SIZE' WHEN chosen IS NULL THEN 'CHART_SELECTION'
+                    WHEN ws IS NULL THEN 'UNSUPPORTED_SIZE' END AS error_code FROM fin)
+"""
+    )
+
+
+ANALYSIS = analysis_sql()
+
+
+def full(spark, sf_dir):
+    rows = measurements(spark, sf_dir)
+    settings = resolved_settings(contexts(spark, sf_dir), configurations(spark), specifications(spark), as_of())
+    return analyze(rows, settings, row_columns=ROWS)
+
+
+@query(
+    "f2_full_analysis",
+    ANALYSIS + f"""
+SELECT {CTX_SQL}, error_code, kind AS chart_type, CAST(coalesce(used, 0) AS BIGINT) AS size_used, CAST(n AS BIGINT) AS valid_observations,
+       round(mean, 6) AS mean, round(os, 6) AS overall_sigma, round(ws, 6) AS within_sigma, round(gm, 6) AS center_line,
+       round(ucl, 6) AS ucl, round(lcl, 6) AS lcl, round(sucl, 6) AS secondary_ucl, round(slcl, 6) AS secondary_lcl,
+       CASE WHEN error_code IS NULL THEN round(cp, 6) END AS cp, CASE WHEN error_code IS NULL THEN round(least(cpu, cpl), 6) END AS cpk,
+       CASE WHEN error_code IS NULL THEN round(pp, 6) END AS pp, CASE WHEN error_code IS NULL THEN round(least(ppu, ppl), 6) END AS ppk,
+       CASE WHEN error_code IS NULL THEN CASE WHEN coalesce(pv, 0) > 0 THEN 'OUT_OF_CONTROL' WHEN coalesce(tv + sv, 0) > 0 THEN 'WARNING'
+            ELSE 'IN_CONTROL' END END AS stability_status,
+       CASE WHEN error_code IS NULL THEN CAST(coalesce(pv + tv + sv, 0) AS BIGINT) ELSE 0 END AS violation_count
+FROM cap JOIN ids USING (k)
+""",
+)
+def full_analysis(spark, sf_dir):
+    return unpack(full(spark, sf_dir).summary).select(
+        *CONTEXT, "error_code", "chart_type", F.coalesce("size_used", F.lit(0)).alias("size_used"), "valid_observations",
+        *[r6(c) for c in ("mean", "overall_sigma", "within_sigma", "center_line", "ucl", "lcl", "secondary_ucl",
+                          "secondary_lcl", "cp", "cpk", "pp", "ppk")],
+        "stability_status", F.coalesce("violation_count", F.lit(0)).alias("violation_count"),
+    )
+
+
+NARROW_CONTEXTS = f"SELECT DISTINCT parameter_id, machine_id, NULL::VARCHAR AS product_id, operation_id FROM ({MEASUREMENTS})"
+WIDE_CONTEXTS = f"SELECT DISTINCT parameter_id, machine_id, NULL::VARCHAR AS product_id, NULL::VARCHAR AS operation_id FROM ({MEASUREMENTS})"
+
+
+@query(
+    "f3_historical_analysis",
+    analysis_sql(
+        CONFIG_JOIN.replace(f"SELECT DISTINCT {CTX_SQL} FROM ({MEASUREMENTS})", NARROW_CONTEXTS),
+        SPEC_JOIN.replace(f"SELECT DISTINCT {CTX_SQL} FROM ({MEASUREMENTS})", NARROW_CONTEXTS),
+    )
+    + f"""
+SELECT parameter_id, machine_id, NULL AS product_id, operation_id, CASE WHEN error_code IS NULL THEN 'COMPLETED' ELSE 'FAILED' END AS status,
+       error_code, CASE WHEN error_code IS NULL THEN kind WHEN configured = 'AUTO' THEN 'IMR' ELSE configured END AS chart_type,
+       spc_configuration_id FROM cap JOIN ids USING (k)
+UNION ALL
+SELECT parameter_id, machine_id, NULL, NULL, 'FAILED', CASE WHEN parameter_id = 'signup' THEN 'MISSING_CONFIGURATION' ELSE 'INCOMPATIBLE_CONTEXT' END,
+       CASE WHEN parameter_id = 'signup' THEN NULL WHEN parameter_id = 'error' THEN CASE machine_id WHEN 'M0' THEN 'XBAR_S' ELSE 'IMR' END
+            WHEN parameter_id = 'view' AND machine_id = 'M2' THEN 'XBAR_R' ELSE 'IMR' END,
+       CASE parameter_id WHEN 'click' THEN CASE machine_id WHEN 'M0' THEN 'C07' ELSE 'C01' END
+            WHEN 'view' THEN CASE machine_id WHEN 'M2' THEN 'C03' ELSE 'C02' END WHEN 'purchase' THEN 'C04'
+            WHEN 'error' THEN CASE machine_id WHEN 'M0' THEN 'C06' ELSE 'C05' END END
+FROM ({WIDE_CONTEXTS})
+""",
+)
+def historical(spark, sf_dir):
+    m = measurements(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    narrow = m.select("parameter_id", "machine_id", none.alias("product_id"), "operation_id").distinct()
+    wide = m.select("parameter_id", "machine_id", none.alias("product_id"), none.alias("operation_id")).distinct()
+    done = historical_analysis(
+        m, narrow.unionByName(wide), configurations(spark), specifications(spark), as_of(), row_columns=ROWS
+    )
+    return unpack(analysis_runs(done)).select(*CONTEXT, "status", "error_code", "chart_type", "spc_configuration_id")
+
+
+# Baseline on the first half of the month, check on the second half.
+
+SPLIT = "2024-01-16"
+PLAIN = SpcConfig(subgroup_size=5, maximum_time_gap_seconds=14400, lsl=-50.0, usl=200.0)
+
+
+def half_sql(before_split):
+    sign = "<" if before_split else ">="
+    return f"SELECT * FROM ({MEASUREMENTS}) WHERE event_timestamp {sign} TIMESTAMP '{SPLIT}'"
+
+
+ONE_CONFIG = """
+SELECT k, 5 AS size, 'CONSECUTIVE' AS method, 14400 AS gap, 'AUTO' AS chart FROM m GROUP BY k HAVING count(*) >= 20
+"""
+STATS = """,
+tot AS (SELECT k, avg(value) AS mean, stddev_samp(value) AS os, count(*) AS n FROM m GROUP BY k),
+st AS (SELECT lim.*, tot.mean, os, n, 250.0 / (6 * nullif(ws, 0)) AS cp, least((200 - mean) / (3 * nullif(ws, 0)), (mean + 50) / (3 * nullif(ws, 0))) AS cpk,
+              250.0 / (6 * os) AS pp, least((200 - mean) / (3 * os), (mean + 50) / (3 * os)) AS ppk FROM lim JOIN tot USING (k))"""
+HISTORIC = subgroups(ONE_CONFIG, half_sql(True)) + CHARTS + STATS + f" SELECT st.*, {CTX_SQL} FROM st JOIN ids USING (k)"
+CHECKED = (
+    subgroups(ONE_CONFIG, half_sql(False), before=f"h AS ({HISTORIC}), ")
+    + CHARTS
+    + STATS
+    + """,
+frozen AS (SELECT h.k, h.kind, h.gm, h.ucl, h.lcl FROM h JOIN st ON st.k = h.k AND st.kind = h.kind)"""
+    + rules("frozen")
+    + COUNTS
+    + """,
+cmp AS (SELECT h.k, h.mean AS bm, st.mean AS cm, h.ws AS bw, st.ws AS cw, h.os AS bo, st.os AS co, h.cpk AS bk, st.cpk AS ck, h.ppk AS bp, st.ppk AS cpp,
+               h.cp AS bcp, st.cp AS ccp, h.pp AS bpp, st.pp AS cpp2,
+               coalesce(pv, 0) AS pv, coalesce(tv, 0) AS tv, coalesce(sv, 0) AS sv
+        FROM h JOIN st ON st.k = h.k AND st.kind = h.kind LEFT JOIN vc ON vc.k = h.k),
+fl AS (SELECT *, cm - bm AS shift, (cm - bm) / nullif(abs(bm), 0) * 100 AS shift_pct, (cw - bw) / nullif(abs(bw), 0) * 100 AS w_pct,
+              (co - bo) / nullif(abs(bo), 0) * 100 AS o_pct, ck - bk AS k_change, cpp - bp AS p_change,
+              bw > 0 AND abs(cm - bm) >= bw AS f_shift, coalesce((cw - bw) / nullif(abs(bw), 0) * 100 >= 10, false) AS f_up,
+              coalesce((cw - bw) / nullif(abs(bw), 0) * 100 <= -10, false) AS f_down, coalesce(ck - bk <= -0.2, false) AS f_worse,
+              coalesce(ck - bk >= 0.2, false) AS f_better FROM cmp),
+verdict AS (SELECT *, CASE WHEN (pv > 0)::INT + (f_worse AND ck < 1)::INT + (f_worse AND k_change <= -0.5)::INT + (f_shift AND f_up)::INT >= 2 THEN 'CRITICAL'
+                  WHEN pv > 0 THEN 'OUT_OF_CONTROL' WHEN f_shift OR f_up OR f_worse OR tv + sv > 0 THEN 'WARNING'
+                  WHEN ck < 1.33 THEN 'WARNING' ELSE 'NORMAL' END AS final_status FROM fl),
+fd AS (SELECT k, final_status, unnest(list_filter([
+    CASE WHEN f_shift THEN 'MEAN_SHIFT:WARNING' END, CASE WHEN f_up THEN 'VARIATION_INCREASE:WARNING' END,
+    CASE WHEN f_down THEN 'VARIATION_REDUCTION:INFO' END, CASE WHEN f_worse THEN 'CAPABILITY_DEGRADATION:WARNING' END,
+    CASE WHEN f_better THEN 'CAPABILITY_IMPROVEMENT:INFO' END, CASE WHEN pv > 0 THEN 'NEW_LIMIT_VIOLATION:CRITICAL' END,
+    CASE WHEN tv > 0 THEN 'TREND_DETECTED:WARNING' END, CASE WHEN sv > 0 THEN 'SHIFT_DETECTED:WARNING' END,
+    CASE WHEN NOT (f_shift OR f_up OR f_down OR f_worse OR f_better OR pv > 0 OR tv > 0 OR sv > 0) THEN 'PROCESS_STABLE:INFO' END
+   ], lambda x: x IS NOT NULL)) AS f FROM verdict)
+"""
+)
+
+
+def halves(spark, sf_dir):
+    rows = by_context(spark, sf_dir)
+    split = F.lit(SPLIT).cast("timestamp_ntz")
+    return rows.filter(F.col("event_timestamp") < split), rows.filter(F.col("event_timestamp") >= split)
+
+
+def run_tables(spark, sf_dir):
+    """Runs and results of the first half, as the stored tables hold them."""
+    first, _ = halves(spark, sf_dir)
+    done = analyze(first, PLAIN, row_columns=ROWS)
+    ids = done.profile.select(
+        "ctx", F.concat_ws("|", "ctx.parameter_id", "ctx.machine_id", "ctx.operation_id").alias("analysis_id")
+    )
+    results = stored_results(done, ids)
+    none = F.lit(None).cast("string")
+    runs = unpack(analysis_runs(done).join(ids, "ctx")).withColumns(
+        {c: none for c in ("organization_id", "plant_id", "production_line_id", "process_id")}
+    ).withColumn("created_at", F.lit(SPLIT).cast("timestamp_ntz"))
+    return runs, results
+
+
+def baselines_of(spark, sf_dir):
+    runs, results = run_tables(spark, sf_dir)
+    return create_drafts(runs, results).filter("rejection IS NULL").withColumn("status", F.lit("ACTIVE"))
+
+
+@query(
+    "f4_draft_baselines",
+    f"""
+SELECT 'B-' || k AS baseline_id, {CTX_SQL}, kind AS chart_type, CAST(n AS BIGINT) AS sample_count, round(mean, 6) AS mean,
+       round(ws, 6) AS within_sigma, round(ucl, 6) AS ucl, round(cpk, 6) AS cpk, round(ppk, 6) AS ppk, 'DRAFT' AS status
+FROM ({HISTORIC})
+""",
+)
+def drafts(spark, sf_dir):
+    return create_drafts(*run_tables(spark, sf_dir)).filter("rejection IS NULL").select(
+        "baseline_id", *CONTEXT, "chart_type", "sample_count", r6("mean"), r6("within_sigma"), r6("ucl"), r6("cpk"),
+        r6("ppk"), "status",
+    )
+
+
+def check_of(spark, sf_dir):
+    _, second = halves(spark, sf_dir)
+    return run_check(analyze(second, PLAIN, row_columns=ROWS), baselines_of(spark, sf_dir))
+
+
+def done_checks(spark, sf_dir):
+    return unpack(check_of(spark, sf_dir).checks.filter("failure IS NULL"))
+
+
+@query(
+    "f6_manual_check",
+    CHECKED + f"""
+SELECT {CTX_SQL}, final_status, round(shift, 6) AS mean_shift, CAST(pv AS BIGINT) AS point_violations,
+       CAST(tv AS BIGINT) AS trend_violations, CAST(sv AS BIGINT) AS shift_violations FROM verdict JOIN ids USING (k)
+""",
+)
+def manual_check(spark, sf_dir):
+    return done_checks(spark, sf_dir).select(
+        *CONTEXT, "final_status", r6("mean_shift"), "point_violations", "trend_violations", "shift_violations"
+    )
+
+
+@query(
+    "c8_baseline_comparison",
+    CHECKED + f"""
+SELECT {CTX_SQL}, round(shift, 6) AS mean_shift, round(shift_pct, 6) AS mean_shift_percentage, round(cw - bw, 6) AS within_variation_change,
+       round(w_pct, 6) AS within_variation_change_percentage, round(co - bo, 6) AS overall_variation_change,
+       round(o_pct, 6) AS overall_variation_change_percentage, round(k_change, 6) AS cpk_change, round(p_change, 6) AS ppk_change,
+       f_shift AS mean_shift_detected, f_up AS variation_increase_detected, f_down AS variation_reduction_detected,
+       f_better AS capability_improvement_detected, f_worse AS capability_degradation_detected, pv > 0 AS new_limit_violations_detected
+FROM verdict JOIN ids USING (k)
+""",
+)
+def comparison(spark, sf_dir):
+    df = done_checks(spark, sf_dir)
+    numbers = ("mean_shift", "mean_shift_percentage", "within_variation_change", "within_variation_change_percentage",
+               "overall_variation_change", "overall_variation_change_percentage", "cpk_change", "ppk_change")
+    return df.select(*CONTEXT, *[r6(c) for c in numbers], *[c for c in df.columns if c.endswith("_detected")])
+
+
+FINDING = "split_part(f, ':', 1) AS finding_type, split_part(f, ':', 2) AS severity"
+FINDING_TEXT = """
+CASE split_part(f, ':', 1)
+ WHEN 'MEAN_SHIFT' THEN 'Process mean shifted ' || CASE WHEN shift > 0 THEN 'upward' ELSE 'downward' END || ' by ' || format('{:.4g}', abs(shift)) || ' (from ' || format('{:.4g}', bm) || ' to ' || format('{:.4g}', cm) || ').'
+ WHEN 'VARIATION_INCREASE' THEN 'Process variation (within-subgroup sigma) increased from ' || format('{:.4g}', bw) || ' to ' || format('{:.4g}', cw) || ' (' || format('{:.4g}', w_pct) || '%).'
+ WHEN 'VARIATION_REDUCTION' THEN 'Process variation (within-subgroup sigma) decreased from ' || format('{:.4g}', bw) || ' to ' || format('{:.4g}', cw) || ' (' || format('{:.4g}', w_pct) || '%).'
+ WHEN 'CAPABILITY_DEGRADATION' THEN 'Process capability (Cpk) decreased from ' || format('{:.4g}', bk) || ' to ' || format('{:.4g}', ck) || '.'
+ WHEN 'CAPABILITY_IMPROVEMENT' THEN 'Process capability (Cpk) improved from ' || format('{:.4g}', bk) || ' to ' || format('{:.4g}', ck) || '.'
+ WHEN 'NEW_LIMIT_VIOLATION' THEN pv || ' point(s) in the new dataset fall outside the fixed historical baseline control limits.'
+ WHEN 'TREND_DETECTED' THEN tv || ' trend pattern(s) detected against the historical baseline.'
+ WHEN 'SHIFT_DETECTED' THEN sv || ' sustained run(s) on one side of the historical baseline center line detected.'
+ ELSE 'No significant deviation from the historical baseline was detected.' END
+"""
+
+
+@query(
+    "c9_findings",
+    CHECKED + f"SELECT {CTX_SQL}, {FINDING}, {FINDING_TEXT} AS message FROM fd JOIN verdict USING (k) JOIN ids USING (k)",
+)
+def findings(spark, sf_dir):
+    df = finding_messages(check_of(spark, sf_dir).findings)
+    return unpack(df).select(*CONTEXT, "finding_type", "severity", "message")
+
+
+@query("c10_final_status", CHECKED + "SELECT final_status, CAST(count(*) AS BIGINT) AS n FROM verdict GROUP BY final_status")
+def final(spark, sf_dir):
+    return done_checks(spark, sf_dir).groupBy("final_status").agg(F.count("*").alias("n"))
+
+
+@query(
+    "f7_alerts",
+    CHECKED + f"""
+SELECT {CTX_SQL}, {FINDING}, 'OPEN' AS status FROM fd JOIN ids USING (k)
+WHERE final_status IN ('OUT_OF_CONTROL', 'CRITICAL') AND split_part(f, ':', 2) <> 'INFO'
+""",
+)
+def alerts(spark, sf_dir):
+    return unpack(check_of(spark, sf_dir).alerts).select(*CONTEXT, "finding_type", "severity", "status")
+
+
+@query(
+    "c15_metric_table",
+    CHECKED + f""",
+mt AS (SELECT k, unnest([
+  {{'m': 'Mean', 'b': bm, 'c': cm, 'd': shift, 'i': CASE WHEN f_shift THEN 'shifted' ELSE 'none' END}},
+  {{'m': 'Within Sigma', 'b': bw, 'c': cw, 'd': cw - bw, 'i': CASE WHEN f_up THEN 'decreased' WHEN f_down THEN 'improved' ELSE 'none' END}},
+  {{'m': 'Overall Sigma', 'b': bo, 'c': co, 'd': co - bo, 'i': NULL}},
+  {{'m': 'Cp', 'b': bcp, 'c': ccp, 'd': ccp - bcp, 'i': NULL}},
+  {{'m': 'Cpk', 'b': bk, 'c': ck, 'd': k_change, 'i': CASE WHEN f_worse THEN 'decreased' WHEN f_better THEN 'improved' ELSE 'none' END}},
+  {{'m': 'Pp', 'b': bpp, 'c': cpp2, 'd': cpp2 - bpp, 'i': NULL}},
+  {{'m': 'Ppk', 'b': bp, 'c': cpp, 'd': p_change, 'i': NULL}}]) AS r FROM verdict)
+SELECT {CTX_SQL}, r.m AS metric, round(r.b, 6) AS baseline_value, round(r.c, 6) AS current_value, round(r.d, 6) AS change,
+       r.i AS interpretation FROM mt JOIN ids USING (k)
+""",
+)
+def metrics(spark, sf_dir):
+    df = metric_table(done_checks(spark, sf_dir), list(CONTEXT))
+    return df.select(*CONTEXT, "metric", r6("baseline_value"), r6("current_value"), r6("change"), "interpretation")
+
+
+@query(
+    "c7_percent_change",
+    """
+SELECT l_orderkey, l_linenumber, l_suppkey, round((l_quantity - (l_suppkey % 5) * -7.0) / nullif(abs((l_suppkey % 5) * -7.0), 0) * 100, 6) AS change
+FROM lineitem
+""",
+)
+def percent(spark, sf_dir):
+    base = (F.col("l_suppkey") % 5) * -7.0
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_suppkey", r6(percent_change(F.col("l_quantity"), base), "change")
+    )
+
+
+# Stored result tables.
+
+
+@query(
+    "s11_result_tables",
+    HISTORIC.replace(f" SELECT st.*, {CTX_SQL} FROM st JOIN ids USING (k)", "")
+    + """
+SELECT k AS analysis_id, CAST(pc AS BIGINT) AS subgroup_count, CAST(used AS BIGINT) AS subgroup_size_used, round(gm, 6) AS center_line,
+       round(slcl, 6) AS secondary_lcl, CAST(pc + CASE WHEN kind = 'IMR' THEN pc - 1 ELSE pc END AS BIGINT) AS stored_points FROM st
+""",
+)
+def result_tables(spark, sf_dir):
+    first, _ = halves(spark, sf_dir)
+    done = analyze(first, PLAIN, row_columns=ROWS).saved()
+    ids = done.profile.select(
+        "ctx", F.concat_ws("|", "ctx.parameter_id", "ctx.machine_id", "ctx.operation_id").alias("analysis_id")
+    )
+    results, points = folder(spark, "results"), folder(spark, "points")
+    append_results(stored_results(done, ids), results)
+    append_chart_points(done.chart_points.join(ids, "ctx").drop("ctx"), points)
+    counted = spark.read.parquet(points).groupBy("analysis_id").agg(F.count("*").alias("stored_points"))
+    return spark.read.parquet(results).join(counted, "analysis_id").select(
+        "analysis_id", F.col("subgroup_count"), "subgroup_size_used", r6("center_line"), r6("secondary_lcl"), "stored_points"
+    )
+
+
+def check_ids(check):
+    return F.concat_ws("|", "ctx.parameter_id", "ctx.machine_id", "ctx.operation_id")
+
+
+@query(
+    "s12_violation_table",
+    CHECKED + """
+SELECT k AS manual_check_id, NULL AS analysis_id, rule_name, CAST(s AS BIGINT) AS start_index, CAST(e AS BIGINT) AS end_index FROM vi
+""",
+)
+def violation_table(spark, sf_dir):
+    found = check_of(spark, sf_dir).violations
+    path = folder(spark, "violations")
+    append_violations(with_messages(found).withColumn("manual_check_id", check_ids(found)), path, "manual_check_id")
+    return spark.read.parquet(path).select("manual_check_id", "analysis_id", "rule_name", "start_index", "end_index")
+
+
+@query(
+    "s13_comparison_table",
+    CHECKED + "SELECT k AS manual_check_id, round(bm, 6) AS baseline_mean, round(cm, 6) AS current_mean, round(k_change, 6) AS cpk_change FROM verdict",
+)
+def comparison_table(spark, sf_dir):
+    checks = check_of(spark, sf_dir).checks.filter("failure IS NULL")
+    path = folder(spark, "comparisons")
+    append_comparisons(checks.withColumn("manual_check_id", check_ids(checks)).drop("ctx"), path)
+    return spark.read.parquet(path).select("manual_check_id", r6("baseline_mean"), r6("current_mean"), r6("cpk_change"))
+
+
+@query("s14_findings_table", CHECKED + f"SELECT k AS manual_check_id, {FINDING} FROM fd")
+def findings_table(spark, sf_dir):
+    found = check_of(spark, sf_dir).findings
+    path = folder(spark, "findings")
+    append_findings(found.withColumn("manual_check_id", check_ids(found)).drop("ctx"), path)
+    return spark.read.parquet(path).select("manual_check_id", "finding_type", "severity")
+
+
+@query(
+    "a13_affected_indices",
+    CHECKED + f"SELECT {CTX_SQL}, CAST(s AS BIGINT) AS affected_index FROM vi JOIN ids USING (k) WHERE rule_name = 'POINT_OUTSIDE_LIMITS'",
+)
+def affected(spark, sf_dir):
+    return unpack(affected_indices(check_of(spark, sf_dir).violations))
+
+
+# Approvals, eligibility and alert states over ledger-like rows.
+
+BASELINES = """
+b0 AS (SELECT 'B' || (event_id + 1000000) AS baseline_id, event_type AS parameter_id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE 'M' || (user_id % 3) END AS machine_id,
+              'P' || (user_id % 20) AS product_id, NULL::VARCHAR AS operation_id, event_id, ts FROM events),
+b AS (SELECT *, CASE WHEN event_id = min(event_id) OVER (PARTITION BY parameter_id, machine_id, product_id) THEN 'ACTIVE'
+                     WHEN event_id % 2 = 0 THEN 'DRAFT' ELSE 'SUPERSEDED' END AS status FROM b0)
+"""
+
+
+def baseline_rows(spark, sf_dir):
+    user = F.col("user_id")
+    df = table(spark, sf_dir, "events").select(
+        text("B", F.col("event_id") + 1000000).alias("baseline_id"), F.col("event_type").alias("parameter_id"),
+        F.when(user % 3 != 0, text("M", user % 3)).alias("machine_id"), text("P", user % 20).alias("product_id"),
+        F.lit(None).cast("string").alias("operation_id"), "event_id", "ts",
+    )
+    keyed = context(df, CONTEXT)
+    first = keyed.groupBy("ctx").agg(F.min("event_id").alias("_first"))
+    status = F.when(F.col("event_id") == F.col("_first"), "ACTIVE").when(F.col("event_id") % 2 == 0, "DRAFT")
+    return keyed.join(first, "ctx").withColumn("status", status.otherwise("SUPERSEDED")).drop("ctx", "_first").withColumn(
+        "superseded_by_baseline_id", F.lit(None).cast("string")
+    )
+
+
+def approval_rows(df):
+    return df.filter("event_id % 4 = 0 OR event_id % 15 = 1").select(
+        "baseline_id", F.col("ts").alias("approved_at"), F.lit("qa").alias("approved_by")
+    )
+
+
+APPROVED = f"""
+WITH {BASELINES},
+a AS (SELECT *, event_id % 4 = 0 OR event_id % 15 = 1 AS asked FROM b),
+line AS (SELECT *, row_number() OVER (PARTITION BY parameter_id, machine_id, product_id ORDER BY status = 'DRAFT', CASE WHEN status = 'DRAFT' THEN ts END, baseline_id) AS turn
+         FROM a WHERE status = 'ACTIVE' OR (status = 'DRAFT' AND asked)),
+nx AS (SELECT l.*, n.baseline_id AS next_id FROM line l LEFT JOIN line n ON n.parameter_id = l.parameter_id AND n.product_id = l.product_id
+         AND n.machine_id IS NOT DISTINCT FROM l.machine_id AND n.turn = l.turn + 1)
+"""
+
+
+@query(
+    "f5_approve_baselines",
+    APPROVED + """
+SELECT baseline_id, CASE WHEN next_id IS NULL THEN 'ACTIVE' ELSE 'SUPERSEDED' END AS status, next_id AS superseded_by_baseline_id,
+       CASE WHEN status = 'DRAFT' THEN ts END AS approved_at FROM nx
+UNION ALL SELECT baseline_id, status, NULL, NULL FROM a WHERE NOT (status = 'ACTIVE' OR (status = 'DRAFT' AND asked))
+""",
+)
+def approvals(spark, sf_dir):
+    df = baseline_rows(spark, sf_dir)
+    after, _ = approve(df, approval_rows(df))
+    return after.select("baseline_id", "status", "superseded_by_baseline_id", "approved_at")
+
+
+@query("f5_refused_approvals", APPROVED + "SELECT baseline_id, status FROM a WHERE asked AND status <> 'DRAFT'")
+def refused(spark, sf_dir):
+    df = baseline_rows(spark, sf_dir)
+    return approve(df, approval_rows(df))[1]
+
+
+@query(
+    "f5_archive_baselines",
+    f"WITH {BASELINES} SELECT baseline_id, CASE WHEN event_id % 10 = 0 THEN 'ARCHIVED' ELSE status END AS status FROM b",
+)
+def archived(spark, sf_dir):
+    df = baseline_rows(spark, sf_dir)
+    return archive(df, df.filter("event_id % 10 = 0")).select("baseline_id", "status")
+
+
+@query(
+    "p15_eligible_uploads",
+    """
+SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey % 2 = 0
+""",
+)
+def eligible(spark, sf_dir):
+    uploads = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, "SILVER_COMPLETED").otherwise("VALIDATING").alias("status"),
+        F.when(F.col("o_custkey") % 2 == 0, "HISTORICAL").otherwise("CURRENT").alias("upload_type"),
+    )
+    return eligible_uploads(uploads, "HISTORICAL").select("o_orderkey")
+
+
+@query(
+    "p16_baseline_compatibility",
+    """
+SELECT event_id, concat_ws(',', CASE WHEN event_id % 7 = 0 THEN 'parameter' END, CASE WHEN event_id % 2 = 0 THEN 'machine' END,
+   CASE WHEN (event_id % 3 = 0) <> (event_id % 5 = 0) THEN 'product' END, CASE WHEN event_id % 11 = 0 THEN 'chart type' END) AS mismatches
+FROM events
+""",
+)
+def compatibility(spark, sf_dir):
+    key = F.col("event_id")
+    df = table(spark, sf_dir, "events").select(
+        "event_id", F.col("event_type").alias("parameter_id"), F.lit("M1").alias("machine_id"),
+        F.when(key % 3 != 0, "P1").alias("product_id"), F.lit(None).cast("string").alias("operation_id"), F.lit("IMR").alias("chart_type"),
+        F.when(key % 7 == 0, "other").otherwise(F.col("event_type")).alias("baseline_parameter_id"),
+        F.when(key % 2 == 0, F.lit(None)).otherwise("M1").alias("baseline_machine_id"),
+        F.when(key % 5 != 0, "P1").alias("baseline_product_id"), F.lit(None).cast("string").alias("baseline_operation_id"),
+        F.when(key % 11 == 0, "XBAR_R").otherwise("IMR").alias("baseline_chart_type"),
+    )
+    return df.select("event_id", F.array_join(mismatches(), ",").alias("mismatches"))
+
+
+@query(
+    "p17_draft_eligibility",
+    """
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'NOT_COMPLETED' WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN 'NO_SIGMA' END AS rejection FROM events
+""",
+)
+def draft_eligibility(spark, sf_dir):
+    key = F.col("event_id")
+    df = table(spark, sf_dir, "events").select(
+        "event_id", F.when(key % 3 == 0, "FAILED").otherwise("COMPLETED").alias("status"),
+        F.when(key % 5 != 0, F.col("value")).alias("within_sigma"), F.when(key % 7 != 0, F.col("value")).alias("overall_sigma"),
+    )
+    return df.select("event_id", draft_rejection().alias("rejection"))
+
+
+@query(
+    "f8_alert_states",
+    """
+WITH al AS (SELECT DISTINCT 'AL' || user_id AS alert_id FROM events),
+ev AS (SELECT 'AL' || (user_id * 2) AS alert_id, ts, event_id, CASE event_type WHEN 'click' THEN 'ACKNOWLEDGED' WHEN 'error' THEN 'RESOLVED' END AS action,
+              'op' || (event_id % 9) AS actor FROM events WHERE event_type IN ('click', 'error')),
+st AS (SELECT alert_id, arg_max(action, ts) AS action, arg_max(ts, ts) FILTER (action = 'ACKNOWLEDGED') AS acknowledged_at,
+              arg_max(actor, ts) FILTER (action = 'ACKNOWLEDGED') AS acknowledged_by, max(ts) FILTER (action = 'RESOLVED') AS resolved_at,
+              arg_max(actor, ts) FILTER (action = 'RESOLVED') AS resolved_by FROM ev GROUP BY alert_id)
+SELECT al.alert_id, coalesce(action, 'OPEN') AS status, acknowledged_at, acknowledged_by, resolved_at, resolved_by FROM al LEFT JOIN st USING (alert_id)
+""",
+)
+def alert_states(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    opened = events.select(text("AL", F.col("user_id")).alias("alert_id"), F.lit("OPEN").alias("status")).distinct()
+    actions = events.select(
+        text("AL", F.col("user_id") * 2).alias("alert_id"), "event_id", F.col("ts").alias("created_at"),
+        F.when(F.col("event_type") == "click", "ACKNOWLEDGED").when(F.col("event_type") == "error", "RESOLVED")
+        .otherwise(F.col("event_type")).alias("action"),
+        text("op", F.col("event_id") % 9).alias("actor"),
+    )
+    return alert_state(opened, actions)

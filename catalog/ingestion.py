@@ -459,12 +459,12 @@ WITH {LEDGER}
 SELECT upload_id, arg_max(status, event_seq) FILTER (status IS NOT NULL) AS status,
        (list(error_message ORDER BY event_seq DESC) FILTER (status IS NOT NULL))[1] AS error_message,
        arg_max(created_at, event_seq) FILTER (status IN ('SILVER_COMPLETED', 'FAILED')) AS completed_at,
-       max(created_at) AS updated_at, arg_max(total_rows, event_seq) FILTER (total_rows IS NOT NULL) AS total_rows,
+       max(created_at) AS updated_at, coalesce(arg_max(total_rows, event_seq) FILTER (total_rows IS NOT NULL), 0) AS total_rows,
        CAST(count(status) AS BIGINT) AS transitions FROM l GROUP BY upload_id
 """,
 )
 def upload_ledger(spark, sf_dir):
-    return upload_state(ledger_events(spark, sf_dir))
+    return upload_state(ledger_events(spark, sf_dir)).fillna(0, ["total_rows"])
 
 
 @query(

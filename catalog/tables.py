@@ -7,6 +7,7 @@ Every function has a SQL twin with the same columns.
 
 from pyspark.sql import functions as F
 
+from catalog.registry import STEP
 from gaugeline.operators.layout import context
 from gaugeline.schema import CONTEXT
 
@@ -53,7 +54,7 @@ def by_context(spark, sf_dir):
 
 def r6(column, name=None):
     c = F.col(column) if isinstance(column, str) else column
-    return F.round(c, 6).alias(name or column)
+    return F.round(c + STEP, 6).alias(name or column)
 
 
 def specifications(spark):

@@ -16,6 +16,17 @@ GRID = 200
 GRID_ACCURACY = 10 * GRID
 
 
+class MissingColumns(ValueError):
+    """A dataset lacks columns the analysis cannot do without."""
+
+
+def require_columns(df: DataFrame, required=("value",)) -> DataFrame:
+    missing = [c for c in required if c not in df.columns]
+    if missing:
+        raise MissingColumns(f"Measurement dataset is missing required column(s): {', '.join(missing)}.")
+    return df
+
+
 def valid_value() -> Column:
     return F.col("value").isNotNull() & ~F.isnan("value")
 

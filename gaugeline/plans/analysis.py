@@ -28,7 +28,13 @@ from gaugeline.operators.layout import (
     unpack,
 )
 from gaugeline.operators.rules import decode_ruleset, hit_totals, judge, stability, violations
-from gaugeline.operators.statistics import candidate_sizes, precondition_profile, sampling_interval, valid_value
+from gaugeline.operators.statistics import (
+    candidate_sizes,
+    precondition_profile,
+    require_columns,
+    sampling_interval,
+    valid_value,
+)
 from gaugeline.operators.subgroups import form_subgroups, sequence_rows
 from gaugeline.schema import AUTO, CONTEXT, ENGINE_CONTEXT, IMR, RULESET, SCOPE, SUBGROUP_METHODS
 
@@ -254,6 +260,7 @@ def analyze(
     columns of ``SETTINGS``. A context that cannot be analysed gets an error row in
     ``summary`` instead of stopping the job.
     """
+    require_columns(measurements)
     rows = measurements if "ctx" in measurements.columns else context(measurements, context_columns)
     named = [c for c in ENGINE_CONTEXT if c in rows.columns]
     for optional in ("event_timestamp", "subgroup_id"):
@@ -364,3 +371,44 @@ def stored_results(analysis: Analysis, ids: DataFrame) -> DataFrame:
         "secondary_center_line", "secondary_ucl", "secondary_lcl", "specification_id", "lsl", "usl", "target",
         "cp", "cpk", "cpu", "cpl", "pp", "ppk", "ppu", "ppl", "stability_status", "warnings",
     )
+
+
+def requested_rows(measurements: DataFrame, requests: DataFrame) -> DataFrame:
+    """Rows of each requested context; a field the request leaves out does not filter.
+
+    ``requests`` holds the four context columns. The same row may serve several
+    requests, and a request may turn out to mix contexts.
+    """
+    asked = requests.select(F.struct(*[F.col(c) for c in CONTEXT]).alias("ctx")).distinct()
+    condition = F.col("ctx.parameter_id") == F.col("parameter_id")
+    for column in SCOPE:
+        condition = condition & (F.col(f"ctx.{column}").isNull() | (F.col(f"ctx.{column}") == F.col(column)))
+    return measurements.join(small(asked), condition)
+
+
+def analysis_runs(analysis: Analysis, analysis_type: str = "HISTORICAL") -> DataFrame:
+    """Run rows: COMPLETED with the chart that ran, or FAILED with the reason."""
+    failed = F.col("error_code").isNotNull()
+    planned = F.when(F.col("configured_chart") == AUTO, IMR).otherwise(F.col("configured_chart"))
+    return analysis.summary.select(
+        "ctx",
+        F.lit(analysis_type).alias("analysis_type"),
+        "spc_configuration_id",
+        F.coalesce("chart_type", planned).alias("chart_type"),
+        F.when(failed, "FAILED").otherwise("COMPLETED").alias("status"),
+        "error_code",
+        "error_message",
+    )
+
+
+def historical_analysis(
+    measurements: DataFrame,
+    requests: DataFrame,
+    configurations: DataFrame,
+    specifications: DataFrame,
+    as_of,
+    **options,
+) -> Analysis:
+    """Analyse every request with the configuration and specification in force for it."""
+    settings = resolved_settings(requests, configurations, specifications, as_of)
+    return analyze(requested_rows(measurements, requests), settings, **options)

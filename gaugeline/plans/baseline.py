@@ -88,8 +88,8 @@ def approve(baselines: DataFrame, approvals: DataFrame) -> tuple[DataFrame, Data
         .withColumn("_last_active", F.max(takes.cast("int")).over(Window.partitionBy(*scope)) == 0)
         .withColumns(
             {
-                "approved_at": F.coalesce("_at", "approved_at"),
-                "approved_by": F.coalesce("_by", "approved_by"),
+                "approved_at": F.when(takes, F.col("_at")).otherwise(F.col("approved_at")),
+                "approved_by": F.when(takes, F.col("_by")).otherwise(F.col("approved_by")),
                 "status": F.when(F.col("_next").isNull() | F.col("_last_active"), "ACTIVE").otherwise("SUPERSEDED"),
                 "superseded_by_baseline_id": F.when(
                     F.col("_next").isNotNull() & ~F.col("_last_active"), F.col("_next")
