@@ -281,11 +281,11 @@ def dashboard(spark, sf_dir):
 
 @query(
     "t9_history_page",
-    f"WITH {latest_sql(200)} SELECT id, type, status, created_at FROM u WHERE type = 'MONITORING' AND lower(id) LIKE '%c1%' ORDER BY created_at DESC LIMIT 15 OFFSET 15",
+    f"WITH {latest_sql(200)} SELECT id, type, status, created_at FROM u WHERE type = 'MONITORING' AND lower(id) LIKE '%9%' ORDER BY created_at DESC LIMIT 15 OFFSET 15",
 )
 def page(spark, sf_dir):
     rows = merged_rows(*both(spark, sf_dir, 200))
-    return history_page(rows, kind="MONITORING", search=" C1 ", page=2).select("id", "type", "status", "created_at")
+    return history_page(rows, kind="MONITORING", search=" 9 ", page=2).select("id", "type", "status", "created_at")
 
 
 STORED = """

@@ -21,7 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-DEFAULT_CHUNK_ROWS = 1_000_000
+# Largest context one window task may hold; the session setting overrides it.
+CHUNK_ROWS = 1_000_000
+CHUNK_SETTING = "spark.gaugeline.chunkRows"
+# Chunks that one range partition of the numbering sort may span.
+RANGE_CHUNKS = 8
 BROADCAST_ROWS = 50_000
 
 
@@ -53,11 +57,12 @@ def unpack(df: DataFrame) -> DataFrame:
     return df.select(*[F.col("ctx")[f].alias(f) for f in fields], *rest)
 
 
-def measure(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS, count: str | None = None) -> Layout:
+def measure(df: DataFrame, chunk_rows: int | None = None, count: str | None = None) -> Layout:
     """Decide from the rows per context whether contexts have to be cut in chunks.
 
     ``count`` names the row count when ``df`` already has one row per context.
     """
+    chunk_rows = chunk_rows or int(df.sparkSession.conf.get(CHUNK_SETTING, str(CHUNK_ROWS)))
     counts = df.select(F.col(count).alias("count")) if count else df.groupBy("ctx").count()
     row = counts.agg(
         F.max("count").alias("largest"), F.sum("count").alias("total"), F.count("*").alias("n")
@@ -95,7 +100,7 @@ def number_rows(df: DataFrame, layout: Layout, order: list[Column], out: str = "
         return df.withColumn(out, F.row_number().over(Window.partitionBy("ctx").orderBy(*order)).cast("long"))
     parts = max(
         int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-        math.ceil(layout.total_rows / layout.chunk_rows),
+        math.ceil(layout.total_rows / (RANGE_CHUNKS * layout.chunk_rows)),
     )
     # Range partitions split a hot context by its order key. The row ids must be
     # read twice, so they are written once: a second range sample could differ.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 VALID = "VALID"
 
@@ -80,24 +81,27 @@ def validate_rows(mapped: DataFrame, expected_unit: Column | None = None) -> Dat
 DUPLICATE_KEYS = ("parameter_name", "machine_code", "product_code", "operation_code", "event_timestamp", "value")
 
 
+# Ways one repeated key is spread over tasks.
+COPY_SALTS = 256
+
+
 def flag_duplicates(rows: DataFrame, scope=("upload_id",), order=("source_row_number",)) -> DataFrame:
     """Mark a valid row that repeats an earlier row of its upload in all key columns.
 
-    The first row of each key is found by an aggregate, which combines before the
-    shuffle, so many copies of one row do not meet in one sort.
+    Copies of a key are first compared within a salt, then the first copies of all
+    salts with each other. A row that is not first in its salt keeps its salt in the
+    second step, so no task sees more than a share of the copies.
     """
-    scope = [c for c in scope if c in rows.columns]
-    keys = [*scope, *DUPLICATE_KEYS]
-    packed = F.struct(*keys)
-    place = F.struct(*order)
-    first = rows.groupBy(packed.alias("_key")).agg(F.min(place).alias("_first"), F.count("*").alias("_copies"))
-    # Only keys with copies are joined back, and only their later rows change.
-    repeated = first.filter(F.col("_copies") > 1).drop("_copies")
-    marked = rows.withColumn("_key", packed).join(repeated, "_key", "left")
-    status = F.when(
-        F.col("_first").isNotNull() & (F.col("quality_status") == VALID) & (place > F.col("_first")), "DUPLICATE"
-    ).otherwise(F.col("quality_status"))
-    return marked.withColumn("quality_status", status).drop("_key", "_first")
+    keys = [*[c for c in scope if c in rows.columns], *DUPLICATE_KEYS]
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(COPY_SALTS)))
+    again = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order)) > 1
+    rows = rows.withColumn("_again", again)
+    rows = rows.withColumn("_salt", F.when(F.col("_again"), F.col("_salt")).otherwise(-1))
+    later = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order)) > 1
+    rows = rows.withColumn("_later", later)
+    repeated = F.col("_again") | F.col("_later")
+    status = F.when(repeated & (F.col("quality_status") == VALID), "DUPLICATE").otherwise(F.col("quality_status"))
+    return rows.withColumn("quality_status", status).drop("_salt", "_again", "_later")
 
 
 def with_notes(rows: DataFrame) -> DataFrame:

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gaugeline.functions.time import seconds_between
-from gaugeline.operators.layout import BROADCAST_ROWS, Layout
+from gaugeline.operators.layout import Layout, materialize, small
 from gaugeline.schema import ENGINE_CONTEXT
 
 CANDIDATE_SIZES = (2, 3, 4, 5, 6, 8, 10)
-# Quantile grid of one bracket round and its rank accuracy; see exact_median.
+# Quantile grid of one bracket round and its rank accuracy; see _narrowed_median.
 GRID = 200
 GRID_ACCURACY = 10 * GRID
 
@@ -95,26 +95,34 @@ def precondition_profile(df: DataFrame) -> DataFrame:
 def exact_median(values: DataFrame, layout: Layout) -> DataFrame:
     """Exact median per context, the mean of the two middle values for even counts.
 
-    While contexts are small Spark's own exact aggregate is used; it keeps every
-    distinct value of a group in memory. Large contexts are narrowed first, in
-    rounds: an approximate percentile has a bounded rank error, so two points of a
-    quantile grid bracket the median. Only the distinct values left inside the
-    bracket are ranked.
+    Spark's own exact aggregate keeps every distinct value of a group in memory, so
+    it serves contexts up to ``chunk_rows`` rows. Larger ones are narrowed in rounds.
     """
     if not layout.chunked:
         return values.groupBy("ctx").agg(F.median("value").alias("median"))
-    lower, upper = F.expr("(_n + 1) div 2"), F.expr("(_n + 2) div 2")
-    bracket = values.groupBy("ctx").agg(
-        F.min("value").alias("_low"), F.max("value").alias("_high"), F.count("*").alias("_n")
+    large = materialize(
+        values.groupBy("ctx")
+        .agg(F.min("value").alias("_low"), F.max("value").alias("_high"), F.count("*").alias("_n"))
+        .filter(F.col("_n") > layout.chunk_rows),
+        "large",
     )
+    large = small(large)
+    rest = values.join(large, "ctx", "left_anti")
+    return rest.groupBy("ctx").agg(F.median("value").alias("median")).unionByName(_narrowed_median(values, large, layout))
+
 
-    def place(bracket):
-        return values.join(F.broadcast(bracket) if layout.contexts <= BROADCAST_ROWS else bracket, "ctx")
+def _narrowed_median(values: DataFrame, bracket: DataFrame, layout: Layout) -> DataFrame:
+    """Median by a shrinking value bracket per context.
 
+    An approximate percentile has a bounded rank error, so two points of a quantile
+    grid bracket the median. Only the distinct values left inside the last bracket
+    are ranked.
+    """
+    lower, upper = F.expr("(_n + 1) div 2"), F.expr("(_n + 2) div 2")
     left = float(layout.total_rows)
     while left > layout.chunk_rows:
         inside = F.col("value").between(F.col("_low"), F.col("_high"))
-        counted = place(bracket).groupBy("ctx", "_low", "_high", "_n").agg(
+        counted = values.join(bracket, "ctx").groupBy("ctx", "_low", "_high", "_n").agg(
             F.count_if(F.col("value") < F.col("_low")).alias("_below"),
             F.count_if(inside).alias("_in"),
             F.percentile_approx(F.when(inside, F.col("value")), [i / GRID for i in range(GRID + 1)], GRID_ACCURACY)
@@ -123,16 +131,21 @@ def exact_median(values: DataFrame, layout: Layout) -> DataFrame:
         # One grid step of margin on both sides exceeds the rank error of the sketch.
         first = F.floor((lower - F.col("_below")) / F.col("_in") * GRID).cast("int") - 1
         last = F.ceil((upper - F.col("_below")) / F.col("_in") * GRID).cast("int") + 1
-        bracket = counted.select(
-            "ctx",
-            F.when(first <= 0, F.col("_low")).otherwise(F.get("_q", first)).alias("_low"),
-            F.when(last >= GRID, F.col("_high")).otherwise(F.get("_q", last)).alias("_high"),
-            "_n",
+        bracket = small(
+            materialize(
+                counted.select(
+                    "ctx",
+                    F.when(first <= 0, F.col("_low")).otherwise(F.get("_q", first)).alias("_low"),
+                    F.when(last >= GRID, F.col("_high")).otherwise(F.get("_q", last)).alias("_high"),
+                    "_n",
+                ),
+                "bracket",
+            )
         )
         left *= 4 / GRID
     # Equal values collapse to one row, everything below the bracket to another.
     ranked = (
-        place(bracket)
+        values.join(bracket, "ctx")
         .filter(F.col("value") <= F.col("_high"))
         .withColumn("_v", F.when(F.col("value") >= F.col("_low"), F.col("value")))
         .groupBy("ctx", "_v")

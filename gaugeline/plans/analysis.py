@@ -18,7 +18,6 @@ from gaugeline.operators.charts import (
 )
 from gaugeline.operators.effective import effective_configurations, effective_specifications
 from gaugeline.operators.layout import (
-    DEFAULT_CHUNK_ROWS,
     Layout,
     attach,
     context,
@@ -251,7 +250,7 @@ def analyze(
     row_columns=("upload_id", "source_row_number", "measurement_id"),
     stored_order: bool = True,
     mr_lcl_factor: float = D3_SPAN_2,
-    chunk_rows: int = DEFAULT_CHUNK_ROWS,
+    chunk_rows: int | None = None,
     with_members: bool = False,
 ) -> Analysis:
     """Analyse all contexts of ``measurements`` in one grouped job.

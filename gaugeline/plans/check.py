@@ -49,6 +49,8 @@ def run_check(
     ``named`` maps ``ctx`` to a chosen ``baseline_id``; without it the active
     baseline of exactly the same context is used.
     """
+    # Summary and points are both needed, so the judged points are written once.
+    analysis = analysis.saved()
     active = baselines.filter(F.col("status") == "ACTIVE")
     chosen = active.select(
         F.struct(*CONTEXT).alias("_own"), "baseline_id",

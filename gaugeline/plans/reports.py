@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.functions.capability import sigma_level
+from gaugeline.operators.layout import BROADCAST_ROWS
 
 STABLE = ("IN_CONTROL", "NORMAL")
 CRITICAL = ("OUT_OF_CONTROL", "CRITICAL")
@@ -24,12 +25,15 @@ def analysis_history(runs: DataFrame, results: DataFrame, limit: int = 50, **fil
     """Newest runs with capability and stability of their latest result.
 
     The limit is applied before the join, so only the listed runs meet results.
+    A short list is broadcast, a long one is left to the planner.
     """
     for column, value in filters.items():
         if value is not None:
             runs = runs.filter(F.col(column) == value)
     listed = runs.orderBy(F.desc("created_at"), "analysis_id").limit(limit)
-    mine = results.join(F.broadcast(listed.select("analysis_id")), "analysis_id", "left_semi")
+    wanted = listed.select("analysis_id")
+    wanted = F.broadcast(wanted) if limit <= BROADCAST_ROWS else wanted
+    mine = results.join(wanted, "analysis_id", "left_semi")
     return listed.join(latest_results(mine), "analysis_id", "left")
 
 
