@@ -12,6 +12,7 @@ VALID = "VALID"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 # Extended and basic ISO 8601 dates with an optional time and offset.
 ISO_EXTENDED = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
+HOUR_ONLY = r"^(\d{4}-\d{2}-\d{2}[ T]\d{2})(Z|[+-]\d{2}(:?\d{2})?)?$"
 ISO_BASIC = r"^\d{8}(T\d{2}(\d{2}(\d{2})?)?)?$"
 
 
@@ -42,11 +43,9 @@ def parse_timestamp(raw: Column) -> tuple[Column, Column]:
     An offset is dropped after the wall-clock time is read, as stored times have no zone.
     """
     text = _stripped(raw)
-    wall = F.regexp_replace(F.regexp_replace(text, r"(?<=[ T].{2,20})(Z|[+-]\d{2}(:?\d{2})?)$", ""), ",", ".")
-    extended = F.when(
-        text.rlike(ISO_EXTENDED),
-        F.when(F.length(wall) == 13, F.concat(wall, F.lit(":00"))).otherwise(wall).try_cast("timestamp_ntz"),
-    )
+    # The cast ignores an offset; it wants minutes and a point before fractions.
+    shaped = F.translate(F.regexp_replace(text, HOUR_ONLY, "$1:00"), ",", ".")
+    extended = F.when(text.rlike(ISO_EXTENDED), shaped.try_cast("timestamp_ntz"))
     digits = F.rpad(F.regexp_replace(text, "T", ""), 14, "0")
     basic = F.when(
         text.rlike(ISO_BASIC),
