@@ -37,7 +37,11 @@ def gate_reason(
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """Name, path and size of landed files, without reading their content."""
+    """Name, path and size of landed files, without reading their content.
+
+    Spark's file index leaves out files of 0 bytes; the gate meets those when names
+    and sizes come from an upload table.
+    """
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
