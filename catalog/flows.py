@@ -9,7 +9,7 @@ from catalog.registry import query
 from catalog.sqltext import CHARTS, rules, subgroups
 from catalog.statistics import CONFIG_JOIN, SPEC_JOIN, as_of, contexts
 from catalog.tables import (
-    CTX_SQL, MEASUREMENTS, by_context, configurations, measurements, r6, specifications, table, text,
+    CTX_SQL, MEASUREMENTS, configurations, measurements, r6, specifications, table, text,
 )
 from gaugeline.functions.compare import finding_messages, metric_table, percent_change
 from gaugeline.operators.layout import context, scratch_root, unpack
@@ -190,7 +190,7 @@ fd AS (SELECT k, final_status, unnest(list_filter([
 
 
 def halves(spark, sf_dir):
-    rows = by_context(spark, sf_dir)
+    rows = measurements(spark, sf_dir)
     split = F.lit(SPLIT).cast("timestamp_ntz")
     return rows.filter(F.col("event_timestamp") < split), rows.filter(F.col("event_timestamp") >= split)
 

@@ -11,7 +11,7 @@ from gaugeline.functions.capability import capability_band, capability_long, sig
 from gaugeline.operators.effective import active_baselines, effective_configurations, effective_specifications
 from gaugeline.operators.layout import context, measure, unpack
 from gaugeline.operators.statistics import (
-    candidate_sizes, descriptive_statistics, overall_sigma, precondition_profile, profile_dataset, sampling_interval,
+    MissingColumns, candidate_sizes, descriptive_statistics, overall_sigma, precondition_profile, profile_dataset, require_columns, sampling_interval,
     upload_counts, valid_value,
 )
 from gaugeline.schema import CONTEXT
@@ -144,6 +144,28 @@ def valid_values(spark, sf_dir):
     return rows.filter(valid_value())
 
 
+@query(
+    "p11_required_columns",
+    """
+SELECT 'events' AS dataset, CAST(count(*) AS BIGINT) AS n, NULL AS problem FROM events
+UNION ALL SELECT 'lineitem', count(*), 'Measurement dataset is missing required column(s): value.' FROM lineitem
+UNION ALL SELECT 'orders', count(*), 'Measurement dataset is missing required column(s): value.' FROM orders
+""",
+)
+def required_columns(spark, sf_dir):
+    def checked(name):
+        df, problem = table(spark, sf_dir, name), None
+        try:
+            require_columns(df)
+        except MissingColumns as error:
+            problem = str(error)
+        return df.agg(F.count("*").alias("n")).select(
+            F.lit(name).alias("dataset"), "n", F.lit(problem).cast("string").alias("problem")
+        )
+
+    return checked("events").unionByName(checked("lineitem")).unionByName(checked("orders"))
+
+
 @query(
     "p12_sample_size",
     """

@@ -7,6 +7,8 @@ fields, and a stored-measurement request without a field does not filter on it.
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,23 +18,36 @@ from gaugeline.schema import SCOPE
 
 
 def _most_specific(contexts: DataFrame, candidates: DataFrame, newest: str, key: str) -> DataFrame:
-    """Best candidate per context row, or no row when none applies."""
-    ids = [c for c in contexts.columns]
-    scope = [
-        F.col(f"s.{c}").isNull() | (F.col(f"s.{c}") == F.col(f"c.{c}")) for c in SCOPE
+    """Best candidate per context row, or no row when none applies.
+
+    A candidate applies when each scope column is NULL or equal. So a context asks
+    for its own values with every subset of them blanked out, at most eight keys,
+    and an equality join finds the one best candidate kept per scope.
+    """
+    scope_key = ["parameter_id", *SCOPE]
+    within_scope = Window.partitionBy(*scope_key).orderBy(F.desc(newest), F.asc(key))
+    kept = candidates.withColumn("_rank", F.row_number().over(within_scope)).filter("_rank = 1")
+    payload = [c for c in candidates.columns if c not in scope_key]
+    kept = kept.select(
+        F.struct(*scope_key).alias("_scope"),
+        *payload,
+        sum(F.col(c).isNotNull().cast("int") for c in SCOPE).alias("_specificity"),
+    )
+    types = dict(contexts.dtypes)
+    asked = [
+        F.struct(
+            F.col("parameter_id"),
+            *[(F.col(c) if keep else F.lit(None).cast(types[c])).alias(c) for c, keep in zip(SCOPE, choice)],
+        )
+        for choice in product((True, False), repeat=len(SCOPE))
     ]
-    condition = F.col("s.parameter_id") == F.col("c.parameter_id")
-    for part in scope:
-        condition = condition & part
-    payload = [F.col(f"s.{c}").alias(c) for c in candidates.columns if c not in ("parameter_id", *SCOPE)]
-    weight = sum(F.col(f"s.{c}").isNotNull().cast("int") for c in SCOPE)
-    matched = (
-        contexts.alias("c")
-        .join(small(candidates).alias("s"), condition)
-        .select(*[F.col(f"c.{c}").alias(c) for c in ids], *payload, weight.alias("_specificity"))
+    matched = contexts.withColumn("_scope", F.explode(F.array_distinct(F.array(*asked)))).join(small(kept), "_scope")
+    best = Window.partitionBy(*contexts.columns).orderBy(F.desc("_specificity"), F.desc(newest), F.asc(key))
+    return (
+        matched.withColumn("_rank", F.row_number().over(best))
+        .filter("_rank = 1")
+        .drop("_rank", "_specificity", "_scope")
     )
-    best = Window.partitionBy(*ids).orderBy(F.desc("_specificity"), F.desc(newest), F.asc(key))
-    return matched.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1").drop("_rank", "_specificity")
 
 
 def effective_specifications(contexts: DataFrame, specifications: DataFrame, as_of) -> DataFrame:

@@ -67,15 +67,15 @@ def profile_dataset(df: DataFrame) -> DataFrame:
     ).drop("_timed")
 
 
-def precondition_profile(df: DataFrame) -> DataFrame:
+def precondition_profile(df: DataFrame, checked=ENGINE_CONTEXT) -> DataFrame:
     """What the analysis needs to know per context, in one mergeable aggregate.
 
-    A column with more than one value is found by comparing its extremes, which
-    needs no distinct sets.
+    ``checked`` are the columns that may hold several values. Columns that ``ctx``
+    fixes need no check; a single checked column is counted without expanding rows.
     """
-    named = [c for c in ENGINE_CONTEXT if c in df.columns]
+    named = [c for c in checked if c in df.columns]
     ok = valid_value()
-    mixed = [F.when(F.min(c) != F.max(c), F.lit(c)) for c in named]
+    mixed = [F.when(F.count_distinct(c) > 1, F.lit(c)) for c in named]
     value = F.when(ok, F.col("value"))
     return df.groupBy("ctx").agg(
         F.count("*").alias("total_observations"),
@@ -88,7 +88,7 @@ def precondition_profile(df: DataFrame) -> DataFrame:
         F.max("event_timestamp").alias("time_end"),
         F.count_if(ok & F.col("event_timestamp").isNotNull()).alias("timed_observations"),
         F.count_if(ok & F.col("subgroup_id").isNull()).alias("unnamed_observations"),
-        F.array_compact(F.array(*mixed)).alias("mixed_columns"),
+        F.array_compact(F.array(F.lit(None).cast("string"), *mixed)).alias("mixed_columns"),
     )
 
 

@@ -260,8 +260,10 @@ def analyze(
     ``summary`` instead of stopping the job.
     """
     require_columns(measurements)
-    rows = measurements if "ctx" in measurements.columns else context(measurements, context_columns)
-    named = [c for c in ENGINE_CONTEXT if c in rows.columns]
+    # Columns of a context built here are fixed; a given one may leave any of them open.
+    fixed = () if "ctx" in measurements.columns else tuple(context_columns)
+    rows = context(measurements, context_columns) if fixed else measurements
+    named = [c for c in ENGINE_CONTEXT if c in rows.columns and c not in fixed]
     for optional in ("event_timestamp", "subgroup_id"):
         if optional not in rows.columns:
             rows = rows.withColumn(optional, F.lit(None).cast("timestamp_ntz" if optional == "event_timestamp" else "string"))
@@ -269,7 +271,7 @@ def analyze(
     rows = rows.select("ctx", "value", "event_timestamp", "subgroup_id", *row_columns,
                        *[c for c in named if c not in row_columns])
 
-    profile = precondition_profile(rows)
+    profile = precondition_profile(rows, named)
     if isinstance(settings, SpcConfig):
         profile = profile.withColumns(settings.columns())
     else:
@@ -378,11 +380,22 @@ def requested_rows(measurements: DataFrame, requests: DataFrame) -> DataFrame:
     ``requests`` holds the four context columns. The same row may serve several
     requests, and a request may turn out to mix contexts.
     """
-    asked = requests.select(F.struct(*[F.col(c) for c in CONTEXT]).alias("ctx")).distinct()
-    condition = F.col("ctx.parameter_id") == F.col("parameter_id")
-    for column in SCOPE:
-        condition = condition & (F.col(f"ctx.{column}").isNull() | (F.col(f"ctx.{column}") == F.col(column)))
-    return measurements.join(small(asked), condition)
+    asked = requests.select(F.struct(*CONTEXT).alias("ctx")).distinct()
+    # At most eight ways to leave fields out; a row offers one key for each way in use.
+    ways = asked.select(*[F.col(f"ctx.{c}").isNotNull().alias(c) for c in SCOPE]).distinct().collect()
+    types = dict(measurements.dtypes)
+    keys = []
+    for way in ways:
+        given = [c for c in SCOPE if way[c]]
+        key = F.struct(
+            F.col("parameter_id"),
+            *[(F.col(c) if way[c] else F.lit(None).cast(types[c])).alias(c) for c in SCOPE],
+        )
+        present = F.lit(True)
+        for c in given:
+            present = present & F.col(c).isNotNull()
+        keys.append(F.when(present, key))
+    return measurements.withColumn("ctx", F.explode(F.array_compact(F.array(*keys)))).join(small(asked), "ctx", "left_semi")
 
 
 def analysis_runs(analysis: Analysis, analysis_type: str = "HISTORICAL") -> DataFrame:
