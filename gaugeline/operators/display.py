@@ -73,7 +73,7 @@ def downsample(points: DataFrame, layout: Layout, max_points: int = DISPLAY_POIN
         | (F.col("index") % F.col("_stride") == 0)
         | (F.col("index") == F.col("_n") - 1)
     )
-    return placed.filter(shown).withColumn("was_downsampled", F.col("_n") > max_points).drop("_n", "_stride", "_pos")
+    return placed.filter(shown).withColumn("was_downsampled", F.col("_n") > max_points).drop("_n", "_stride", "_pos", "_chunk__pos")
 
 
 def normal_density(x: Column, mean: Column, sigma: Column, n: Column, width: Column) -> Column:

@@ -39,9 +39,27 @@ class Layout:
     def chunked(self) -> bool:
         return self.chunk_rows is not None
 
+    @property
+    def summary_rows(self) -> int:
+        """Most rows a table with one row per context and chunk can have."""
+        return self.contexts + self.total_rows // self.chunk_rows
+
     def chunk(self, position: str) -> Column:
         return F.expr(f"({position} - 1) div {self.chunk_rows}")
 
+    def with_chunk(self, df: DataFrame, position: str) -> tuple[DataFrame, str]:
+        """Add the chunk of a position. A chunk column of an earlier step is kept, so
+        rows that already lie together by it are not moved again."""
+        name = f"_chunk_{position}"
+        return (df if name in df.columns else df.withColumn(name, self.chunk(position))), name
+
+    def per_chunk(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if self.contexts and self.summary_rows <= BROADCAST_ROWS else df
+
+
+def without_chunks(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("_chunk_")])
+
 
 def context(df: DataFrame, columns) -> DataFrame:
     """Pack the context columns in ``ctx``."""
@@ -120,6 +138,9 @@ def number_rows(df: DataFrame, layout: Layout, order: list[Column], out: str = "
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
+    # One row per range partition and per context boundary inside it.
+    if layout.contexts and parts + layout.contexts <= BROADCAST_ROWS:
+        spans = F.broadcast(spans)
     return (
         ranged.join(spans, ["ctx", "_part"])
         .withColumn(out, F.col("_at") - F.col("_first") + F.col("_before") + 1)
@@ -136,14 +157,14 @@ def with_previous(df: DataFrame, layout: Layout, position: str, columns: dict[st
     if not layout.chunked:
         w = Window.partitionBy("ctx").orderBy(position)
         return df.withColumns({new: F.lag(old).over(w) for new, old in columns.items()})
-    w = Window.partitionBy("ctx", "_chunk").orderBy(position)
+    name = f"_chunk_{position}"
+    w = Window.partitionBy("ctx", name).orderBy(position)
     own = layout.chunk(position)
     edge = F.col(position) % layout.chunk_rows == 0
     return (
-        df.withColumn("_chunk", F.explode(F.when(edge, F.array(own, own + 1)).otherwise(F.array(own))))
+        df.withColumn(name, F.explode(F.when(edge, F.array(own, own + 1)).otherwise(F.array(own))))
         .withColumns({new: F.lag(old).over(w) for new, old in columns.items()})
-        .filter(F.col("_chunk") == own)
-        .drop("_chunk")
+        .filter(F.col(name) == own)
     )
 
 
@@ -153,15 +174,15 @@ def last_marks(df: DataFrame, layout: Layout, position: str, marks: dict[str, Co
     if not layout.chunked:
         w = Window.partitionBy("ctx").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({name: F.max(hit).over(w) for name, hit in hits.items()})
-    df = df.withColumn("_chunk", layout.chunk(position))
-    earlier = Window.partitionBy("ctx").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = df.groupBy("ctx", "_chunk").agg(*[F.max(hit).alias(f"_c_{name}") for name, hit in hits.items()])
+    df, chunk = layout.with_chunk(df, position)
+    earlier = Window.partitionBy("ctx").orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    carry = df.groupBy("ctx", chunk).agg(*[F.max(hit).alias(f"_c_{name}") for name, hit in hits.items()])
     carry = carry.withColumns({f"_c_{name}": F.max(f"_c_{name}").over(earlier) for name in hits})
-    w = Window.partitionBy("ctx", "_chunk").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("ctx", chunk).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        df.join(carry, ["ctx", "_chunk"])
+        df.join(layout.per_chunk(carry), ["ctx", chunk])
         .withColumns({name: F.coalesce(F.max(hit).over(w), F.col(f"_c_{name}")) for name, hit in hits.items()})
-        .drop("_chunk", *[f"_c_{name}" for name in hits])
+        .drop(*[f"_c_{name}" for name in hits])
     )
 
 
@@ -169,19 +190,19 @@ def dense_index(df: DataFrame, layout: Layout, position: str, out: str) -> DataF
     """Number the rows of each context 1..n by a position that is unique but has gaps."""
     if not layout.chunked:
         return df.withColumn(out, F.row_number().over(Window.partitionBy("ctx").orderBy(position)).cast("long"))
-    df = df.withColumn("_chunk", layout.chunk(position))
-    earlier = Window.partitionBy("ctx").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    df, chunk = layout.with_chunk(df, position)
+    earlier = Window.partitionBy("ctx").orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     counts = (
-        df.groupBy("ctx", "_chunk")
+        df.groupBy("ctx", chunk)
         .agg(F.count("*").alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         .drop("_n")
     )
-    w = Window.partitionBy("ctx", "_chunk").orderBy(position)
+    w = Window.partitionBy("ctx", chunk).orderBy(position)
     return (
-        df.join(counts, ["ctx", "_chunk"])
+        df.join(layout.per_chunk(counts), ["ctx", chunk])
         .withColumn(out, F.row_number().over(w) + F.col("_before"))
-        .drop("_chunk", "_before")
+        .drop("_before")
     )
 
 
@@ -205,10 +226,11 @@ def attach(
     elif not layout.chunked:
         joined = df.join(per_context, "ctx", how)
     else:
+        df, chunk = layout.with_chunk(df, position)
         spread = per_context.withColumn(
-            "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), layout.chunk(f"greatest({length}, 1)")))
+            chunk, F.explode(F.sequence(F.lit(0).cast("long"), layout.chunk(f"greatest({length}, 1)")))
         )
-        joined = df.withColumn("_chunk", layout.chunk(position)).join(spread, ["ctx", "_chunk"], how).drop("_chunk")
+        joined = df.join(spread, ["ctx", chunk], how)
     return joined if keep_length else joined.drop(length)
 
 

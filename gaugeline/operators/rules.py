@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.functions.text import significant
-from gaugeline.operators.layout import Layout, last_marks, with_previous
+from gaugeline.operators.layout import Layout, last_marks, with_previous, without_chunks
 from gaugeline.schema import POINT_OUTSIDE, RULESET, SAME_SIDE, TREND_DOWN, TREND_UP
 
 # Used when a configuration names no rules: (rule, consecutive points).
@@ -63,7 +63,7 @@ def run_positions(points: DataFrame, layout: Layout) -> DataFrame:
 
     Needs ``point_number``, ``value`` and ``center_line``.
     """
-    points = with_previous(points, layout, "point_number", {"_before": "value"})
+    points = with_previous(without_chunks(points), layout, "point_number", {"_before": "value"})
     value, before = F.col("value"), F.col("_before")
     side = F.signum(value - F.col("center_line"))
     other = (side == 0) | (side != F.signum(before - F.col("center_line")))
@@ -80,7 +80,7 @@ def run_positions(points: DataFrame, layout: Layout) -> DataFrame:
     at = F.col("point_number")
     return marked.withColumns(
         {"up_position": at - F.col("_up"), "down_position": at - F.col("_down"), "side_position": at - F.col("_side")}
-    ).drop("_before", "_up", "_down", "_side")
+    ).drop("_before", "_up", "_down", "_side", "_chunk_point_number")
 
 
 def judge(points: DataFrame, layout: Layout) -> DataFrame:

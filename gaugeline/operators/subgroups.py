@@ -15,7 +15,15 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from gaugeline.functions.time import longer_than
-from gaugeline.operators.layout import Layout, dense_index, last_marks, number_rows, with_previous
+from gaugeline.operators.layout import (
+    Layout,
+    dense_index,
+    last_marks,
+    materialize,
+    number_rows,
+    with_previous,
+    without_chunks,
+)
 from gaugeline.schema import SUBGROUP_METHODS
 
 
@@ -55,7 +63,7 @@ def chunk_starts(rows: DataFrame, layout: Layout, consecutive: bool = True) -> D
     fixed = F.expr("seq - pmod(seq - 1, subgroup_size)")
     if not consecutive:
         return rows.withColumn("first_seq", F.when(_one_by_one(), F.col("seq")).otherwise(fixed))
-    rows = with_previous(rows, layout, "seq", {"_prev": "event_timestamp"})
+    rows = with_previous(without_chunks(rows), layout, "seq", {"_prev": "event_timestamp"})
     cut = longer_than(F.col("_prev"), F.col("event_timestamp"), F.col("maximum_time_gap_seconds"))
     rows = last_marks(rows, layout, "seq", {"_island": (F.col("seq") == 1) | cut})
     in_island = F.col("seq") - (F.col("seq") - F.col("_island")) % F.greatest(size, F.lit(1))
@@ -110,7 +118,7 @@ def window_starts(rows: DataFrame, layout: Layout) -> DataFrame:
     rows: each chunk reports where it would hand over for every such entry, the
     reports are chained per context, and each chunk then marks its own windows.
     """
-    rows = dense_index(rows.filter(F.col("event_timestamp").isNotNull()), layout, "seq", "_pos")
+    rows = without_chunks(dense_index(rows.filter(F.col("event_timestamp").isNotNull()), layout, "seq", "_pos"))
     out_schema = T.StructType(rows.schema.fields + [T.StructField("first_seq", T.LongType())])
 
     def mark(table: pa.Table, entry: int, head: int) -> pa.Table:
@@ -269,6 +277,10 @@ def form_subgroups(
     subgroups = parts[0]
     for part in parts[1:]:
         subgroups = subgroups.unionByName(part)
-    subgroups = dense_index(subgroups.drop("_size"), layout, "first_seq", "subgroup_index")
+    subgroups = subgroups.drop("_size")
+    if layout.chunked:
+        # Numbering and size selection read the subgroups again; the rows are not formed again for it.
+        subgroups = materialize(subgroups, "subgroups")
+    subgroups = without_chunks(dense_index(subgroups, layout, "first_seq", "subgroup_index"))
     label = F.format_string("SG-%05d", F.col("subgroup_index"))
     return subgroups.withColumn("subgroup_id", F.coalesce("subgroup_id", label))

@@ -299,8 +299,6 @@ def analyze(
     forming = eligible.drop("configured_chart", "ruleset")
     sequenced = attach(sequenced, forming, layout, "seq", "n_rows", keep_length=False)
     subgroups = form_subgroups(sequenced, layout, methods, with_members)
-    if layout.chunked:
-        subgroups = materialize(subgroups, "subgroups")
     charting = attach(
         with_sizes(subgroups, layout), eligible.select("ctx", "configured_chart", "ruleset", "n_rows"), layout,
         "first_seq", "n_rows", keep_length=False,
