@@ -7,8 +7,11 @@ A subgroup is identified by the sequence number of its first member.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +29,9 @@ from gaugeline.operators.layout import (
 )
 from gaugeline.schema import SUBGROUP_METHODS
 
+# The functions of the time window travel with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def read_order(row_columns: list[str]) -> list[Column]:
     """Order of stored measurements: time with missing times last, then row columns."""

@@ -57,10 +57,14 @@ def append_bronze(df: DataFrame, path: str) -> None:
 
 
 def append_silver(df: DataFrame, path: str) -> None:
-    """Rows of one context lie together and in time order inside each file."""
+    """Rows of one context lie together and in time order inside each file.
+
+    The rebalance gathers each parameter in few files of even size and splits a hot one.
+    """
     out = df.withColumns({"measurement_id": F.expr("uuid()"), "ingestion_timestamp": F.current_timestamp()})
     append(
-        out.sortWithinPartitions("parameter_id", "machine_id", "product_id", "operation_id", "event_timestamp"),
+        out.hint("rebalance", "parameter_id")
+        .sortWithinPartitions("parameter_id", "machine_id", "product_id", "operation_id", "event_timestamp"),
         path,
         ["parameter_id"],
     )
