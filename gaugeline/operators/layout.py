@@ -90,9 +90,15 @@ def measure(df: DataFrame, chunk_rows: int | None = None, count: str | None = No
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for written intermediate tables, as the session names it."""
+    """Shared folder for written intermediate tables, as the session names it.
+
+    A folder of one machine would lose part files on a cluster, so a session that
+    names none may only be local.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="gaugeline-")
         spark.sparkContext.setCheckpointDir(root)
     return root
