@@ -41,3 +41,33 @@ def token_file_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{scratch_root(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     return read_token_files(write_token_files(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
+
+
+@query("op1_best_fit_packing")
+def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.vec_id % 50 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op10_exact_top_k", TOP_K_SQL)
+def top_k_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
