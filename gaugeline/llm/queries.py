@@ -73,6 +73,7 @@ def top_k_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+
 DECONTAMINATION_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -107,3 +108,28 @@ def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugeline.llm.decontamination import decontaminate
 
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def fold(column: str, n: int):
+    """crc32 of an id as text, modulo n; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n
+
+
+@query("op2_language_id")
+def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.language import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, use=fold("id", 3) != 1)
+    judged = identify(docs.select("doc_id", "text"), model)
+    return judged.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "lang_share")
+
+
+@query("op4_toxicity")
+def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"), use=fold("id", 5) != 0)
+    judged = score(docs.select("doc_id", "text"), model)
+    return judged.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
