@@ -24,10 +24,10 @@ from gaugeline.llm.bytewords import ALNUM, FOLD, find_words, hash_spans, mix, ra
 from gaugeline.llm.support import batches_by_bytes, ship
 from gaugeline.llm.word_cache import WordCache, cache_of
 
-WINDOW = 64
+WINDOW = 16
 BUCKETS = 1 << 17
-MAX_TOXIC, MAX_CLEAN, MAX_WINDOWS = 1000, 2000, 32
-SUPPORT, DECAY = 3, 1e-6
+MAX_TOXIC, MAX_CLEAN, MAX_WINDOWS = 1000, 2000, 64
+SUPPORT, DECAY, FLOOR = 3, 1e-6, 1e-4
 _NGRAMS = (3, 4, 5)
 
 
@@ -67,7 +67,7 @@ class SubwordSoftmax:
     def margin(self) -> float:
         return float(self.bias[1] - self.bias[0])
 
-    def fit(self, windows: list[np.ndarray], vocabulary: tuple[np.ndarray, np.ndarray], document: np.ndarray, label: np.ndarray, steps: int = 1500, batch: int = 24, rate: float = 1.0) -> None:
+    def fit(self, windows: list[np.ndarray], vocabulary: tuple[np.ndarray, np.ndarray], document: np.ndarray, label: np.ndarray, steps: int = 1600, batch: int = 48, rate: float = 0.3) -> None:
         """``windows`` hold word numbers; ``document`` is each one's document, ``label`` each document's.
 
         A step takes as many toxic as clean documents. First it draws windows at random, later
@@ -88,7 +88,7 @@ class SubwordSoftmax:
         support = np.unique(np.repeat(held, counts[word]) * BUCKETS + buckets[ranges(begin[word], counts[word])]) % BUCKETS
         weak = np.bincount(support, minlength=BUCKETS) < SUPPORT
         self.embedding[weak] = 0
-        square = np.full(BUCKETS, 1e-4, np.float32)
+        square = np.zeros(BUCKETS, np.float32)
         square_w, square_b = np.full_like(self.weights, 1e-2), np.full_like(self.bias, 1e-2)
         first = np.searchsorted(document, np.arange(len(label)))
         number = np.bincount(document, minlength=len(label))
@@ -130,8 +130,10 @@ class SubwordSoftmax:
             grad = share.T @ d_mean
             grad[weak[used]] = 0
             grad += DECAY * self.embedding[used]
-            square[used] += 1e4 * (grad**2).mean(axis=1)
-            self.embedding[used] -= rate * 100 * grad / np.sqrt(square[used])[:, None]
+            # A window dilutes a word; the gradient is scaled back, and a floor holds back rare subwords.
+            grad *= 6 * WINDOW
+            square[used] += (grad**2).mean(axis=1)
+            self.embedding[used] -= rate * grad / np.sqrt(square[used] + FLOOR)[:, None]
 
 
 def _window_best(scores: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
@@ -174,7 +176,7 @@ def train(
             words = find_words(data, at, ALNUM)
             raw = data.tobytes()
             for d, value in enumerate(batch.column("label").to_pylist()):
-                heads = np.arange(words.first[d], max(words.first[d] + 1, words.first[d + 1] - WINDOW // 2), WINDOW // 2) if words.first[d + 1] > words.first[d] else np.zeros(0, int)
+                heads = np.arange(words.first[d], words.first[d + 1], WINDOW)
                 if len(heads) > MAX_WINDOWS:
                     heads = heads[np.argsort(mix(heads.astype(np.uint64)))[:MAX_WINDOWS]]
                 spans = [(h, int(min(h + WINDOW, words.first[d + 1]))) for h in heads.tolist()]
