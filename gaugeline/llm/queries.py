@@ -133,3 +133,13 @@ def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs, table(spark, sf_dir, "labels"), use=fold("id", 5) != 0)
     judged = score(docs.select("doc_id", "text"), model)
     return judged.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op7_class_lm_scores")
+def class_lm_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.class_lm import train_and_score
+
+    scored = train_and_score(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
+    return scored.select(
+        "doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
