@@ -143,3 +143,10 @@ def class_lm_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@query("op9_html_extraction")
+def html_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.html_tree import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
