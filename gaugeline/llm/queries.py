@@ -150,3 +150,34 @@ def html_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugeline.llm.html_tree import extract_text
 
     return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN w ELSE list_slice(w, i, i + 4) END AS g
+  FROM w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+f AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
+c AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id WHERE a.g IN (SELECT g FROM f) GROUP BY ALL
+), l AS (
+  SELECT x, y FROM c JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * k >= 75 * (a.n + b.n - k)
+), r AS (
+  SELECT doc_id AS id, doc_id AS root FROM documents
+  UNION
+  SELECT l.y, r.root FROM r JOIN l ON r.id = l.x
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT id, min(root) AS component_id FROM r GROUP BY id) m ON m.id = d.doc_id
+"""
+
+
+@query("op3_ngram_jaccard_join", JACCARD_SQL)
+def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
