@@ -266,6 +266,7 @@ _OTHER_PARTS = (
     ("form", "", "form"), ("form", "", "form"), ("form", "search", "form"), ("div", "login form", "form"), ("section", "comments", "comments"), ("div", "comments comment-list", "comments"), ("ol", "comment-list", "comments"), ("div", "comment", "long"),
     ("div", "share social", "links"), ("div", "pagination pager", "links"), ("div", "tags meta", "links"), ("p", "notice", "text"), ("p", "ad", "text"), ("div", "disclaimer", "long"),
 )
+_FORMS = tuple(p for p in _OTHER_PARTS if p[2] == "form")
 _CONTENT_ROOTS = (("article", ""), ("article", ""), ("article", ""), ("article", "post"), ("main", ""), ("main", ""), ("main", "content"), ("div", "content"), ("div", "article-body"), ("div", "post entry-content"), ("section", "article story"), ("div", "text body"), ("div", "main"))
 
 
@@ -290,8 +291,8 @@ def composed_pages(n: int = LABELLED_PAGES, seed: int = 23) -> list[str]:
             return rng.choice(("<p>{}.</p>", "{}.", "<div>{}</div>", "<h3>Ti</h3><p>{}</p>")).format(words(8, 60))
         return rng.choice(("<p>{}</p>", "{}", "<span>{}</span>", "&copy; {} &middot;")).format(words(1, 14))
 
-    def other():
-        tag, names, kind = rng.choice(_OTHER_PARTS)
+    def other(parts=_OTHER_PARTS):
+        tag, names, kind = rng.choice(parts)
         names = rng.choice(names.split()) if names and rng.random() < 0.7 else names
         label = f" {rng.choice(('class', 'id'))}='{names}'" if names else ""
         return f"<{tag}{label} data-label='other'>{inside(kind)}</{tag}>"
@@ -324,7 +325,7 @@ def composed_pages(n: int = LABELLED_PAGES, seed: int = 23) -> list[str]:
         for _ in range(rng.choice((1, 1, 2, 3, 5, 8, 14))):
             parts.append(block())
             if rng.random() < 0.2:
-                parts.append(other())
+                parts.append(other(rng.choice((_OTHER_PARTS, _FORMS))))
         tag, names = rng.choice(_CONTENT_ROOTS)
         root = f"<{tag}{f" class='{names}'" if names else ''} data-label='content'>{''.join(parts)}</{tag}>"
         around = [other() for _ in range(rng.randint(0, 4))] + [root] + [other() for _ in range(rng.randint(0, 4))]
