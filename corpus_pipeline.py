@@ -1,15 +1,66 @@
-"""A corpus pipeline: each stage works on what the stage before kept."""
+"""A corpus pipeline: each stage works on what the stage before kept.
+
+Language identification drops texts without a language, toxicity drops toxic ones, the
+Jaccard join keeps one document (the smallest id) of each group of near copies,
+decontamination drops documents that hold too much of a benchmark, and what is left is
+packed into token sequences. Rows of one ``doc_id`` are one document; a row without an id
+cannot be named as a copy or as contaminated and stays.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gaugeline.llm import decontamination, jaccard_join, language, packing, toxicity
+from gaugeline.llm.queries import fold
+from gaugeline.llm.support import materialize, table
+
+# Below this pooled probability no language is accepted.
+LEAST_LANGUAGE = 0.35
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = language.identify(docs, language.train(docs, use=fold("id", 3) != 1))
+    return judged.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE)).select(*docs.columns)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), use=fold("id", 5) != 0)
+    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+
+
+def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, jaccard_join.jaccard_components(docs).filter("doc_id <> component_id"))
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, materialize(judged.filter("contaminated").select("doc_id"), "contaminated"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("language", language_stage),
+    ("toxicity", toxicity_stage),
+    ("copies", copies_stage),
+    ("benchmark", benchmark_stage),
+    ("packing", packing_stage),
+]
+# Learned stages have no SQL; the tests hold the others against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
