@@ -81,12 +81,16 @@ class SubwordSoftmax:
         flat = np.concatenate(windows)
         sizes = np.array([len(w) for w in windows])
         ends = np.cumsum(sizes)
-        owner = np.repeat(document, sizes)
-        pairs = np.unique(owner * (len(counts) + 1) + flat)
-        held, word = pairs // (len(counts) + 1), pairs % (len(counts) + 1)
-        # Documents per bucket: each (document, bucket) once.
-        support = np.unique(np.repeat(held, counts[word]) * BUCKETS + buckets[ranges(begin[word], counts[word])]) % BUCKETS
-        weak = np.bincount(support, minlength=BUCKETS) < SUPPORT
+        # Documents per bucket, a few documents at a time: each (document, bucket) once.
+        support = np.zeros(BUCKETS, np.int64)
+        for low in range(0, len(label), 64):
+            own = slice(*np.searchsorted(document, (low, low + 64)))
+            words = flat[ends[own][0] - sizes[own][0] : ends[own][-1]]
+            pairs = np.unique(np.repeat(document[own], sizes[own]) * len(counts) + words)
+            held, words = pairs // len(counts), pairs % len(counts)
+            once = np.unique(np.repeat(held, counts[words]) * BUCKETS + buckets[ranges(begin[words], counts[words])])
+            support += np.bincount(once % BUCKETS, minlength=BUCKETS)
+        weak = support < SUPPORT
         self.embedding[weak] = 0
         square = np.zeros(BUCKETS, np.float32)
         square_w, square_b = np.full_like(self.weights, 1e-2), np.full_like(self.bias, 1e-2)
