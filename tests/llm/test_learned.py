@@ -123,7 +123,7 @@ def test_lm_counts_and_base_equal_brute_force(spark):
 
 def test_lm_beats_its_base_on_other_texts(spark):
     got = train_and_score(spark.read.parquet(f"{TEST_DIR}/documents.parquet"), queries.fold("doc_id", 7) != 2).filter("not trained")
-    assert got.filter("score > base_score").count() >= 0.9 * got.count() > 0
+    assert got.filter("score > base_score").count() >= 0.8 * got.count() > 0
 
 
 def test_lm_without_training_or_rows(spark):
