@@ -1,4 +1,4 @@
-"""Connected components by repeated steps to the smallest neighbour, with written tables between."""
+"""Connected components by contraction, with written tables between the rounds."""
 
 from __future__ import annotations
 
@@ -11,22 +11,29 @@ from gaugeline.llm.support import materialize
 def connected_components(edges: DataFrame) -> DataFrame:
     """``id`` and ``component`` (the smallest id reachable) for every id in ``edges`` (``a``, ``b``).
 
-    Each round a node takes the smallest label among itself and its neighbours and then the
-    label of its label, so paths shrink fast. Labels of a node meet in a minimum, which is
-    combined before the shuffle, so a node with very many neighbours is no hot group.
+    In a round every node that is left points to the smallest of itself and its neighbours,
+    pointers are followed twice, and the edges are drawn anew between the nodes pointed at,
+    together with those of pointers that lead further on. A path shrinks to a fraction
+    each round. Neighbours meet in a minimum, which is combined before the shuffle, so a
+    node with very many of them is no hot group.
     """
-    both = edges.filter("a <> b").select("a", "b").distinct()
-    both = materialize(both.unionAll(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "id"), "labels")
-    while True:
-        known = labels.select(F.col("id").alias("b"), F.col("component").alias("near"))
-        lowest = both.join(known, "b").groupBy("a").agg(F.min("near").alias("near")).withColumnRenamed("a", "id")
-        stepped = labels.join(lowest, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        stepped = materialize(stepped, "stepped")
-        jump = stepped.select(F.col("id").alias("component"), F.col("component").alias("next"))
+    edges = edges.select("a", "b").distinct()
+    left = materialize(edges.unionAll(edges.select("b", "a")).distinct(), "edges")
+    labels = materialize(left.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct(), "labels")
+    left = left.filter("a <> b")
+    while not left.isEmpty():
+        hooks = left.groupBy("a").agg(F.least("a", F.min("b")).alias("to"))
+        hooks = materialize(hooks, "hooks")
+        for _ in range(2):
+            onward = hooks.select(F.col("a").alias("to"), F.col("to").alias("next"))
+            hooks = materialize(hooks.join(onward, "to").select("a", F.col("next").alias("to")), "hooks")
+        onward = hooks.select(F.col("a").alias("component"), "to")
         labels = materialize(
-            stepped.join(jump, "component", "left").select("id", "old", F.least("component", F.coalesce("next", "component")).alias("component")), "labels"
+            labels.join(onward, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "labels"
         )
-        if labels.filter("old <> component").isEmpty():
-            return labels.select("id", "component")
-        labels = labels.select("id", "component")
+        ends = hooks.select(F.col("a").alias("b"), F.col("to").alias("to_b"))
+        drawn = left.join(hooks, "a").join(ends, "b").select(F.col("to").alias("a"), F.col("to_b").alias("b"))
+        further = hooks.select(F.col("to").alias("b")).distinct().join(ends, "b").select(F.col("b").alias("a"), F.col("to_b").alias("b"))
+        further = further.unionAll(further.select("b", "a"))
+        left = materialize(drawn.unionAll(further).filter("a <> b").distinct(), "edges")
+    return labels

@@ -5,9 +5,10 @@
   group that its leader confirms are one component at once, and no pair inside a known
   component is looked at again.
 * Index: every representative's rarest shingles (the prefix that any linked pair must
-  share) go to lists. A list is ordered by set size and position; entries are skipped in
-  blocks where size or position shows that no link is possible, and a list whose entries
-  are of one component is dropped whole.
+  share) go to lists. A list is ordered by set size and position and falls into blocks between which
+  no sizes can link; a block whose entries are of one component is skipped, and positions
+  bound the overlap of the pairs that are left.
+* Pairs whose bitmaps differ in more places than a link allows are out.
 * Between components one pair is compared first, which mostly joins them. For the pairs
   that remain, a member's overlap with another set is derived from its leader's: it can
   differ by no more than the two sets differ from each other. Only pairs that these bounds
@@ -37,6 +38,7 @@ NUMERATOR, DENOMINATOR = 75, 100
 LEADERS = 5
 COUNTERS = 1 << 20
 FILTER_BITS = 1 << 26
+BITMAP_BITS = 2048
 PART_TOKENS = 2_000_000
 
 
@@ -57,16 +59,21 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.
             own = hashes[words.first[d] : words.first[d + 1]]
             whole.append(mix(chain(own, len(own)) + np.uint64(len(own)))[0])
         rows, owner = np.concatenate([rows, np.array(whole, np.uint64)]), np.concatenate([owner, short])
-    order = np.lexsort((rows, owner))
-    rows, owner = rows[order], owner[order]
-    fresh = np.ones(len(rows), bool)
-    fresh[1:] = (rows[1:] != rows[:-1]) | (owner[1:] != owner[:-1])
-    rows, owner = rows[fresh], owner[fresh]
-    return rows, np.searchsorted(owner, np.arange(len(n) + 1))
+    edges = np.concatenate([[0], np.cumsum(np.maximum(many, (n > 0).astype(np.int64)))])
+    if len(short):
+        rows = rows[np.argsort(owner, kind="stable")]
+    return _distinct(rows, edges)
 
 
-def linked(overlap, n_a, n_b):
-    return DENOMINATOR * overlap >= NUMERATOR * (n_a + n_b - overlap)
+def _distinct(rows: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each stretch of ``rows`` sorted and without repeats, and the new edges."""
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        if b - a > 1:
+            rows[a:b].sort()
+    fresh = np.ones(len(rows), bool)
+    fresh[1:] = rows[1:] != rows[:-1]
+    fresh[edges[:-1][np.diff(edges) > 0]] = True
+    return rows[fresh], np.concatenate([[0], np.cumsum(fresh)])[edges]
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -76,8 +83,8 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def _signatures(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """One written row per document, and the counters of all shingles."""
     seeds = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1)) for k in range(LEADERS)]
-    names = ["id", "n", "signature", *(f"low{k}" for k in range(LEADERS)), "counters"]
-    schema = "id long, n int, signature binary, " + ", ".join(f"low{k} long" for k in range(LEADERS)) + ", counters binary"
+    names = ["id", "n", "signature", "bitmap", *(f"low{k}" for k in range(LEADERS)), "counters"]
+    schema = "id long, n int, signature binary, bitmap binary, " + ", ".join(f"low{k} long" for k in range(LEADERS)) + ", counters binary"
 
     def sign(batches):
         counters = np.zeros(COUNTERS, np.int64)
@@ -93,13 +100,15 @@ def _signatures(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
                     low[some] = np.minimum.reduceat(mix(sets ^ seed), at[some]).view(np.int64)
                 lows.append(low)
             digest = [hashlib.blake2b(sets[a:b].tobytes(), digest_size=16).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            spot = np.repeat(np.arange(len(n)), n) * BITMAP_BITS + (mix(sets) % np.uint64(BITMAP_BITS)).astype(np.int64)
+            odd = np.packbits(np.bincount(spot, minlength=len(n) * BITMAP_BITS) % 2 == 1).reshape(len(n), -1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), *(pa.array(x) for x in lows), pa.nulls(len(n), pa.binary())], names=names
+                [batch.column("id"), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array([x.tobytes() for x in odd], pa.binary()), *(pa.array(x) for x in lows), pa.nulls(len(n), pa.binary())], names=names
             )
         used = np.flatnonzero(counters)
         packed = np.rec.fromarrays([used.astype(np.int32), counters[used]]).tobytes()
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), *(pa.nulls(1, pa.int64()) for _ in seeds), pa.array([packed], pa.binary())], names=names
+            [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *(pa.nulls(1, pa.int64()) for _ in seeds), pa.array([packed], pa.binary())], names=names
         )
 
     written = materialize(texts.mapInArrow(sign, schema), "signatures")
@@ -149,6 +158,48 @@ def _set_bits(bits: np.ndarray, ids: np.ndarray) -> None:
     np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
 
+def _sets_of(ids: pa.Array, texts: pa.Array) -> list[np.ndarray]:
+    """The set of each row; the text of an id that repeats with equal text is read once."""
+    keys = ids.to_numpy()
+    order = np.argsort(keys, kind="stable")
+    heads = np.flatnonzero(np.diff(keys[order], prepend=keys[order][:1] - 1))
+    rows = np.empty(len(keys), np.int64)
+    rows[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
+    chosen = order[heads]
+    whole = texts.take(pa.array(chosen))
+    if not texts.equals(whole.take(pa.array(rows))):
+        whole, rows = texts, np.arange(len(keys))
+    sets, at = shingle_sets(whole)
+    return [sets[at[r] : at[r + 1]] for r in rows]
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+
+
+def plausible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Pairs whose bitmaps leave a link possible.
+
+    Shingles flip bits of a bitmap, so two bitmaps differ in no more bits than the sets
+    differ in shingles; ``marks`` has ``id``, ``n`` and ``bitmap``.
+    """
+    sides = [marks.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bitmap").alias(f"bitmap_{c}")) for c in ("a", "b")]
+
+    def pick(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bitmap_a", "bitmap_b"))
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            total = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
+            kept = (DENOMINATOR + NUMERATOR) * differ <= (DENOMINATOR - NUMERATOR) * total
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(kept))
+
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b").mapInArrow(pick, "a long, b long")
+
+
 def compare(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Written ``a``, ``b``, ``overlap``, ``n_a``, ``n_b`` for each of the ``pairs`` (``a``, ``b``).
 
@@ -169,11 +220,10 @@ def compare(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def overlap(batches):
         for batch in batches_by_bytes(batches, "text_a", 4 << 20):
-            sets_a, at_a = shingle_sets(batch.column("text_a"))
-            sets_b, at_b = shingle_sets(batch.column("text_b"))
-            common = [len(np.intersect1d(sets_a[at_a[i] : at_a[i + 1]], sets_b[at_b[i] : at_b[i + 1]], assume_unique=True)) for i in range(batch.num_rows)]
+            sides = [_sets_of(batch.column(c), batch.column(f"text_{c}")) for c in ("a", "b")]
+            common = [_common(x, y) for x, y in zip(*sides)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(common, pa.int32()), pa.array(np.diff(at_a), pa.int32()), pa.array(np.diff(at_b), pa.int32())],
+                [batch.column("a"), batch.column("b"), pa.array(common, pa.int32()), *(pa.array([len(x) for x in side], pa.int32()) for side in sides)],
                 names=["a", "b", "overlap", "n_a", "n_b"],
             )
 
@@ -211,7 +261,7 @@ def _index_lists(texts: DataFrame, known: DataFrame, counters: np.ndarray, shing
     spark = texts.sparkSession
     mean = max(1.0, counters.sum() / COUNTERS)
     hot = counters > mean + 8 * np.sqrt(mean) + 64
-    level = np.where(hot, np.floor(np.log2(np.maximum(counters / mean, 1)) * 4) + 1, 0).astype(np.uint8)
+    level = np.where(hot, np.floor(np.log2(np.maximum(counters / mean, 1)) * 4) + 1, 0).astype(np.uint64)
     sent = spark.sparkContext.broadcast(level)
     parts = max(shuffle_parts(spark), shingles // 4 // PART_TOKENS + 1)
 
@@ -219,11 +269,13 @@ def _index_lists(texts: DataFrame, known: DataFrame, counters: np.ndarray, shing
         for batch in batches_by_bytes(batches, "text"):
             sets, at = shingle_sets(batch.column("text"))
             n = np.diff(at)
-            owner = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((sets, sent.value[(sets % np.uint64(COUNTERS)).astype(np.int64)], owner))
+            # Keys in order of frequency: the level in the upper bits, then bits of the hash.
+            keys = (sent.value[(sets % np.uint64(COUNTERS)).astype(np.int64)] << np.uint64(56)) | (mix(sets) >> np.uint64(8))
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                keys[a:b].sort()
             # A linked pair shares one of the first n - ceil(0.75 n) + 1 shingles of each set.
             size = np.where(n > 0, n - -(-NUMERATOR * n // DENOMINATOR) + 1, 0)
-            rows = sets[order][ranges(at[:-1], size)]
+            rows = keys[ranges(at[:-1], size)]
             edges = np.concatenate([[0], np.cumsum(size * 8)]).astype(np.int32)
             packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(rows))])
             yield pa.RecordBatch.from_arrays([batch.column("id"), packed], names=["id", "prefix"])
@@ -250,7 +302,7 @@ def _index_lists(texts: DataFrame, known: DataFrame, counters: np.ndarray, shing
         packed = [np.frombuffer(x.as_py(), np.uint32).reshape(len(_ENTRY), -1) for x in table.column("entries")]
         token, id_low, id_high, c_low, c_high, n, position = np.concatenate(packed, axis=1)
         ids, component = (x.astype(np.uint64) | (y.astype(np.uint64) << np.uint64(32)) for x, y in ((id_low, id_high), (c_low, c_high)))
-        order = np.argsort(token, kind="stable")
+        order = np.argsort(token)
         sizes = np.diff(np.append(np.flatnonzero(np.diff(token[order].astype(np.int64), prepend=-1)), len(order)))
         order = order[np.repeat(sizes > 1, sizes)]
         order = order[np.lexsort((position[order], n[order], token[order]))]
@@ -269,33 +321,17 @@ def _index_lists(texts: DataFrame, known: DataFrame, counters: np.ndarray, shing
 def _skip(token, component, n, position) -> np.ndarray:
     """Entries that may link to an entry of another component in their list.
 
-    Entries are ordered by list, size and position. For an entry the partner sizes are an
-    interval; a whole block of a list is skipped when none in it has another component or
-    when even the earliest position leaves too few shingles to reach the threshold.
+    Entries are ordered by list, size and position. A list falls into blocks where the next
+    size is too large for any link with the sizes before it; a block whose entries are all
+    of one component is skipped.
     """
     if not len(token):
         return np.zeros(0, bool)
-    opens = np.flatnonzero(np.diff(token, prepend=token[0] - 1))
-    size = np.diff(np.append(opens, len(token)))
-    keep = np.zeros(len(token), bool)
-    low, high = np.minimum.reduceat(component, opens), np.maximum.reduceat(component, opens)
-    for first, length in zip(opens[low != high].tolist(), size[low != high].tolist()):
-        own = slice(first, first + length)
-        sizes, places, groups = n[own], position[own], component[own]
-        # Blocks of one size; the best entry of a block is the one of smallest position.
-        heads = np.flatnonzero(np.diff(sizes, prepend=-1))
-        block_size, block_place = sizes[heads], np.minimum.reduceat(places, heads)
-        block_low, block_high = np.minimum.reduceat(groups, heads), np.maximum.reduceat(groups, heads)
-        for b in range(len(heads)):
-            partner = (DENOMINATOR * np.minimum(block_size, block_size[b]) >= NUMERATOR * np.maximum(block_size, block_size[b]))
-            # The shared shingle and all behind it bound the overlap.
-            most = 1 + np.minimum(block_size[b] - block_place[b] - 1, block_size - block_place - 1)
-            partner &= (DENOMINATOR + NUMERATOR) * most >= NUMERATOR * (block_size + block_size[b])
-            if not partner.any() or block_low[partner].min() == block_high[partner].max() == block_low[b] == block_high[b]:
-                continue
-            end = heads[b + 1] if b + 1 < len(heads) else length
-            keep[first + heads[b] : first + end] = True
-    return keep
+    opens = np.ones(len(token), bool)
+    opens[1:] = (token[1:] != token[:-1]) | (DENOMINATOR * n[:-1] < NUMERATOR * n[1:])
+    heads = np.flatnonzero(opens)
+    mixed = np.minimum.reduceat(component, heads) != np.maximum.reduceat(component, heads)
+    return np.repeat(mixed, np.diff(np.append(heads, len(token))))
 
 
 def _neighbour_pairs(lists: DataFrame) -> DataFrame:
@@ -339,19 +375,19 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     texts = _texts(docs, doc_id, text)
     signed, counters = _signatures(texts)
     filled = signed.filter("n > 0")
-    groups = filled.groupBy("signature").agg(F.min("id").alias("id"), F.min("n").alias("n"), *[F.min(f"low{k}").alias(f"low{k}") for k in range(LEADERS)])
+    groups = filled.groupBy("signature").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("bitmap").alias("bitmap"), *[F.min(f"low{k}").alias(f"low{k}") for k in range(LEADERS)])
     reps = materialize(groups, "representatives")
-    leader = compare(texts, _leader_pairs(reps))
+    leader = compare(texts, plausible(_leader_pairs(reps), reps))
     links = leader.filter(_is_link()).select("a", "b")
     components = connected_components(links)
     known = _with_components(reps.select("id", "n"), components)
     lists = _index_lists(texts, known, counters, int(counters.sum()))
-    first = compare(texts, _neighbour_pairs(lists))
+    first = compare(texts, plausible(_neighbour_pairs(lists), reps))
     links = links.unionAll(first.filter(_is_link()).select("a", "b"))
     components = connected_components(links)
     open_lists = _with_components(lists, components)
     mixed = open_lists.groupBy("list").agg(F.min("component").alias("l"), F.max("component").alias("h")).filter("l <> h").select("list")
-    left = materialize(_all_pairs(materialize(open_lists.join(mixed, "list"), "mixed")), "left")
+    left = materialize(plausible(_all_pairs(materialize(open_lists.join(mixed, "list"), "mixed")), reps), "left")
     if not left.isEmpty():
         links = links.unionAll(_derived(texts, left, leader.unionAll(first), reps).select("a", "b"))
     # Copies hang on their representative.

@@ -64,7 +64,7 @@ def test_null_ids_and_no_rows(spark):
 
 def test_long_chains_are_one_component(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(10, 60)] + [(5, 5), (3, 2)], "a long, b long")
-    assert {r["id"]: r["component"] for r in connected_components(edges).collect()} == {**{k: 10 for k in range(10, 61)}, 2: 2, 3: 2}
+    assert {r["id"]: r["component"] for r in connected_components(edges).collect()} == {**{k: 10 for k in range(10, 61)}, 2: 2, 3: 2, 5: 5}
 
 
 ITEM = "the quick brown fox jumps over the lazy dog while seven wizards watch from a hill"
