@@ -97,7 +97,7 @@ def bronze(spark, sf_dir):
     df = bronze_rows(uploaded(spark, sf_dir), SOURCE, MAPPING)
     return df.select(
         "source_row_number", "upload_id", "raw_parameter", "raw_machine_id", "raw_product_id", "raw_operation", "raw_unit",
-        F.expr("variant_get(raw_payload, '$.CHARACTERISTIC', 'string')").alias("payload_parameter"),
+        F.expr("variant_get(raw_payload, '$.FEATURE', 'string')").alias("payload_parameter"),
         F.expr("variant_get(raw_payload, '$.UNIT', 'string')").alias("payload_unit"), "record_status",
     )
 
@@ -111,7 +111,7 @@ def bronze_append(spark, sf_dir):
     append_bronze(bronze_rows(uploaded(spark, sf_dir), SOURCE, MAPPING), path)
     return spark.read.parquet(path).groupBy("upload_id").agg(
         F.count("raw_record_id").alias("n"),
-        F.count(F.expr("variant_get(raw_payload, '$.CHARACTERISTIC', 'string')")).alias("named"),
+        F.count(F.expr("variant_get(raw_payload, '$.FEATURE', 'string')")).alias("named"),
     )
 
 
@@ -142,13 +142,13 @@ def mapping(spark, sf_dir):
 
 @query("p2_numeric_quality", f"SELECT source_row_number, value, value_status FROM ({RAW})")
 def numeric(spark, sf_dir):
-    value, status = parse_number(F.col("MEASURED_VALUE"))
+    value, status = parse_number(F.col("READING"))
     return raw_rows(spark, sf_dir).select("source_row_number", value.alias("value"), status.alias("value_status"))
 
 
 @query("p3_timestamp_quality", f"SELECT source_row_number, event_timestamp, time_status FROM ({RAW})")
 def timestamps(spark, sf_dir):
-    time, status = parse_timestamp(F.col("DATE_TIME"))
+    time, status = parse_timestamp(F.col("MEASURED_AT"))
     return raw_rows(spark, sf_dir).select("source_row_number", time.alias("event_timestamp"), status.alias("time_status"))
 
 
@@ -402,11 +402,11 @@ def json_payload(spark, sf_dir):
 
 @query(
     "u2_measurement_append",
-    f"SELECT upload_id, CAST(count(*) AS BIGINT) AS n FROM ({MEASUREMENTS}) WHERE upload_id IN ('U1', 'U2') GROUP BY upload_id",
+    f"SELECT upload_id, CAST(count(*) AS BIGINT) AS n FROM ({MEASUREMENTS}) GROUP BY upload_id",
 )
 def appended(spark, sf_dir):
     path = folder(spark, "store")
-    for upload in ("U1", "U2"):
+    for upload in ("U0", "U1", "U2", "U3"):
         append(measurements(spark, sf_dir).filter(F.col("upload_id") == upload), path)
     return spark.read.parquet(path).groupBy("upload_id").agg(F.count("*").alias("n"))
 

@@ -188,15 +188,15 @@ def upload_list(spark, sf_dir):
 
 @query(
     "t7_dimension_list",
-    "SELECT s_suppkey, 'N' || s_nationkey AS plant_id FROM supplier WHERE s_suppkey % 4 <> 0 AND s_nationkey < 12",
+    "SELECT s_suppkey, 'N' || s_nationkey AS plant_id FROM supplier WHERE s_suppkey % 4 <> 0 AND s_nationkey = 3",
 )
 def dimension_list(spark, sf_dir):
-    df = table(spark, sf_dir, "supplier").filter("s_nationkey < 12").select(
+    df = table(spark, sf_dir, "supplier").select(
         "s_suppkey", text("N", F.col("s_nationkey")).alias("plant_id"), text("Machine ", F.col("s_suppkey")).alias("name"),
         F.when(F.col("s_suppkey") % 2 == 0, F.col("s_suppkey")).alias("sequence_number"),
         (F.col("s_suppkey") % 4 != 0).alias("active"),
     )
-    return active_dimension(df, {"organization_id": None}, ("sequence_number", "name")).select("s_suppkey", "plant_id")
+    return active_dimension(df, {"plant_id": "N3", "organization_id": None}, ("sequence_number", "name")).select("s_suppkey", "plant_id")
 
 
 @query(
@@ -262,8 +262,8 @@ def recent(spark, sf_dir):
     f"WITH {MERGED}, u AS ({UNION_SQL.format(a='ra', k='kc')}) SELECT {ROW} FROM u",
 )
 def merged(spark, sf_dir):
-    analyses = analysis_history(runs(spark, sf_dir), results(spark, sf_dir), 2**31 - 1)
-    df = merged_rows(analyses, check_history(checks(spark, sf_dir), comparisons(spark, sf_dir), 2**31 - 1))
+    analyses = analysis_history(runs(spark, sf_dir), results(spark, sf_dir), None)
+    df = merged_rows(analyses, check_history(checks(spark, sf_dir), comparisons(spark, sf_dir), None))
     return df.select("id", "type", "machine_id", "parameter_id", "chart_type", r6("cpk"), "status", "created_at")
 
 
@@ -336,8 +336,8 @@ def violations_of_reports(spark, sf_dir):
     "j13_check_report",
     f"""
 WITH k AS ({CHECKS}), f AS ({FINDINGS}), {STORED},
-b AS (SELECT 'B' || event_id AS baseline_id, value AS bmean FROM events WHERE event_id < 60),
-fc AS (SELECT manual_check_id, string_agg(finding_type || ':' || severity, ',' ORDER BY finding_id) AS fs FROM f WHERE finding_id LIKE '%7' GROUP BY 1)
+b AS (SELECT 'B' || event_id AS baseline_id, value AS bmean FROM events),
+fc AS (SELECT manual_check_id, string_agg(finding_type || ':' || severity, ',' ORDER BY finding_id) AS fs FROM f GROUP BY 1)
 SELECT k.manual_check_id, CASE WHEN k.parameter_id = 'view' THEN coalesce(CASE WHEN b.baseline_id IS NOT NULL THEN 'inch' END, '') ELSE 'mm' END AS unit,
        coalesce(final_status, 'NORMAL') AS final_status, round(bmean, 6) AS baseline_mean, round(st.cpk, 6) AS current_cpk, coalesce(fs, '') AS findings,
        CASE WHEN regexp_replace(k.manual_check_id, 'C', '')::BIGINT % 6 = 1 THEN true ELSE false END AS mean_shift_detected
@@ -347,7 +347,7 @@ FROM k LEFT JOIN b USING (baseline_id) LEFT JOIN st ON st.analysis_id = k.curren
 def check_reports(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     none = F.lit(None).cast("double")
-    base = events.filter("event_id < 60").select(
+    base = events.select(
         text("B", F.col("event_id")).alias("baseline_id"), F.col("value").alias("mean"), F.lit("inch").alias("unit"), F.lit("IMR").alias("chart_type"),
         *[none.alias(c) for c in ("center_line", "ucl", "lcl", "within_sigma", "overall_sigma", "cp", "cpk", "pp", "ppk", "lsl", "usl", "target")],
     )
@@ -363,7 +363,7 @@ def check_reports(spark, sf_dir):
         *[F.lit(False).alias(f"{c}_detected") for c in ("variation_increase", "variation_reduction", "capability_improvement",
                                                         "capability_degradation")],
     )
-    found = finding_rows(spark, sf_dir).filter(F.col("finding_id").endswith("7")).withColumn("finding_number", F.col("finding_id"))
+    found = finding_rows(spark, sf_dir).withColumn("finding_number", F.col("finding_id"))
     hits = violation_table(spark, sf_dir).withColumnRenamed("analysis_id", "manual_check_id")
     df = check_report(checks(spark, sf_dir), base, current, deltas, hits, found, parameters(spark, sf_dir))
     shown = F.array_join(F.transform("findings", lambda f: F.concat(f["finding_type"], F.lit(":"), f["severity"])), ",")

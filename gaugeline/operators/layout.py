@@ -75,12 +75,13 @@ def unpack(df: DataFrame) -> DataFrame:
     return df.select(*[F.col("ctx")[f].alias(f) for f in fields], *rest)
 
 
-def measure(df: DataFrame, chunk_rows: int | None = None, count: str | None = None) -> Layout:
+def measure(df: DataFrame, chunk_rows: int | None = None, count: str | None = None, at_least: int = 1) -> Layout:
     """Decide from the rows per context whether contexts have to be cut in chunks.
 
-    ``count`` names the row count when ``df`` already has one row per context.
+    ``count`` names the row count when ``df`` already has one row per context. A chunk
+    holds ``at_least`` so many rows.
     """
-    chunk_rows = chunk_rows or int(df.sparkSession.conf.get(CHUNK_SETTING, str(CHUNK_ROWS)))
+    chunk_rows = max(at_least, chunk_rows or int(df.sparkSession.conf.get(CHUNK_SETTING, str(CHUNK_ROWS))))
     counts = df.select(F.col(count).alias("count")) if count else df.groupBy("ctx").count()
     row = counts.agg(
         F.max("count").alias("largest"), F.sum("count").alias("total"), F.count("*").alias("n")

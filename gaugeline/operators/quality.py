@@ -84,14 +84,16 @@ DUPLICATE_KEYS = ("parameter_name", "machine_code", "product_code", "operation_c
 COPY_SALTS = 256
 
 
-def flag_duplicates(rows: DataFrame, scope=("upload_id",), order=("source_row_number",)) -> DataFrame:
+def flag_duplicates(rows: DataFrame, scope=("upload_id",), order=("source_file_name", "source_row_number")) -> DataFrame:
     """Mark a valid row that repeats an earlier row of its upload in all key columns.
 
+    Earlier means an earlier file of the upload, or an earlier row of the same file.
     Copies of a key are first compared within a salt, then the first copies of all
     salts with each other. A row that is not first in its salt keeps its salt in the
     second step, so no task sees more than a share of the copies.
     """
     keys = [*[c for c in scope if c in rows.columns], *DUPLICATE_KEYS]
+    order = [c for c in order if c in rows.columns]
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(COPY_SALTS)))
     again = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order)) > 1
     rows = rows.withColumn("_again", again)

@@ -17,6 +17,9 @@ from gaugeline.schema import POINT_OUTSIDE, RULESET, SAME_SIDE, TREND_DOWN, TREN
 # Used when a configuration names no rules: (rule, consecutive points).
 DEFAULT_RULES = ((POINT_OUTSIDE, None), (TREND_UP, 7), (TREND_DOWN, 7), (SAME_SIDE, 8))
 DEFAULT_SEVERITY = "WARNING"
+# Fixed values of the stored contract.
+SEVERITIES = ("INFO", "WARNING", "CRITICAL")
+UNREADABLE = "(unreadable)"
 DEFAULT_TREND = 7
 DEFAULT_RUN = 8
 
@@ -36,8 +39,26 @@ def default_ruleset() -> Column:
 
 
 def decode_ruleset(column: Column) -> Column:
-    """Ruleset array from its JSON text."""
-    return F.from_json(column, RULESET.simpleString())
+    """Ruleset array from its JSON text; text that is none becomes a rule that is refused later."""
+    refused = F.array(F.struct(*[
+        (F.lit(UNREADABLE) if f.name == "rule_name" else F.lit(None)).cast(f.dataType).alias(f.name) for f in RULESET.elementType
+    ]))
+    decoded = F.from_json(column, RULESET.simpleString())
+    broken = decoded.isNull() | F.exists(decoded, lambda r: r.isNull())
+    return F.when((F.trim(F.coalesce(column, F.lit(""))) != "") & broken, refused).otherwise(decoded)
+
+
+def ruleset_problem(ruleset: Column) -> Column:
+    """Why a ruleset cannot be used, NULL when it can."""
+    def wrong(rule):
+        given = F.element_at(rule["parameters"], "consecutive_points")
+        return (
+            F.when(rule["rule_name"].isNull() | ~rule["rule_name"].isin(*[name for name, _ in DEFAULT_RULES]), F.concat(F.lit("unknown rule "), F.coalesce(rule["rule_name"], F.lit("NULL"))))
+            .when(~F.coalesce(rule["severity"], F.lit(DEFAULT_SEVERITY)).isin(*SEVERITIES), F.concat(F.lit("unknown severity "), rule["severity"]))
+            .when(given.isNotNull() & given.try_cast("double").isNull(), F.concat(F.lit("threshold is no number: "), given))
+        )
+
+    return F.get(F.array_compact(F.transform(F.coalesce(ruleset, F.array().cast(RULESET)), wrong)), 0)
 
 
 def compiled_rules(ruleset: Column) -> Column:
@@ -52,7 +73,7 @@ def compiled_rules(ruleset: Column) -> Column:
             rule["rule_name"].alias("rule_name"),
             F.coalesce(rule["enabled"], F.lit(True)).alias("enabled"),
             F.coalesce(rule["severity"], F.lit(DEFAULT_SEVERITY)).alias("severity"),
-            F.coalesce(given.cast("double").cast("long"), fallback.cast("long")).alias("threshold"),
+            F.coalesce(given.try_cast("double").try_cast("long"), fallback.cast("long")).alias("threshold"),
         )
 
     return F.filter(F.transform(rules, compile_rule), lambda r: r["enabled"])

@@ -71,11 +71,11 @@ def precondition_profile(df: DataFrame, checked=ENGINE_CONTEXT) -> DataFrame:
     """What the analysis needs to know per context, in one mergeable aggregate.
 
     ``checked`` are the columns that may hold several values. Columns that ``ctx``
-    fixes need no check; a single checked column is counted without expanding rows.
+    fixes need no check; smallest and largest value tell more than one without expanding rows.
     """
     named = [c for c in checked if c in df.columns]
     ok = valid_value()
-    mixed = [F.when(F.count_distinct(c) > 1, F.lit(c)) for c in named]
+    mixed = [F.when(F.min(c) != F.max(c), F.lit(c)) for c in named]
     value = F.when(ok, F.col("value"))
     return df.groupBy("ctx").agg(
         F.count("*").alias("total_observations"),

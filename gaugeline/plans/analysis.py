@@ -26,7 +26,7 @@ from gaugeline.operators.layout import (
     small,
     unpack,
 )
-from gaugeline.operators.rules import decode_ruleset, hit_totals, judge, stability, violations
+from gaugeline.operators.rules import decode_ruleset, hit_totals, judge, ruleset_problem, stability, violations
 from gaugeline.operators.statistics import (
     candidate_sizes,
     precondition_profile,
@@ -153,12 +153,15 @@ def _precondition_error(profile: DataFrame) -> DataFrame:
     size, method = F.col("subgroup_size"), F.col("subgroup_method")
     valid = F.col("valid_observations")
     shown = F.array_join("mixed_columns", ", ")
+    problem = ruleset_problem(F.col("ruleset"))
     checks = [
+        (F.col("total_observations") == 0, "NO_MEASUREMENTS", F.lit("Nothing was measured for this request.")),
         (
             F.col("configured_chart").isNull(),
             "MISSING_CONFIGURATION",
             F.lit("No active SPC configuration found for this context."),
         ),
+        (problem.isNotNull(), "INVALID_RULESET", F.concat(F.lit("The ruleset cannot be used: "), problem)),
         (
             F.size("mixed_columns") > 0,
             "INCOMPATIBLE_CONTEXT",
@@ -252,9 +255,12 @@ def analyze(
     mr_lcl_factor: float = D3_SPAN_2,
     chunk_rows: int | None = None,
     with_members: bool = False,
+    asked: DataFrame | None = None,
 ) -> Analysis:
     """Analyse all contexts of ``measurements`` in one grouped job.
 
+    ``asked`` lists contexts (``ctx``) that get a row even when nothing was measured.
+
     ``settings`` is one ``SpcConfig`` for all, or a table keyed by ``ctx`` with the
     columns of ``SETTINGS``. A context that cannot be analysed gets an error row in
     ``summary`` instead of stopping the job.
@@ -272,6 +278,12 @@ def analyze(
                        *[c for c in named if c not in row_columns])
 
     profile = precondition_profile(rows, named)
+    if asked is not None:
+        counts = [c for c, kind in profile.dtypes if kind == "bigint"]
+        profile = asked.select("ctx").distinct().join(profile, "ctx", "left").withColumns({
+            **{c: F.coalesce(c, F.lit(0)) for c in counts},
+            "mixed_columns": F.coalesce("mixed_columns", F.array().cast("array<string>")),
+        })
     if isinstance(settings, SpcConfig):
         profile = profile.withColumns(settings.columns())
     else:
@@ -282,10 +294,14 @@ def analyze(
         profile = profile.join(small(full), "ctx", "left")
     # One row per context, used several times below and to size the job.
     profile = materialize(_precondition_error(profile), "profile")
-    layout = measure(profile, chunk_rows, "total_observations")
+    # A subgroup may reach into the next chunk, but not beyond it.
+    widest = settings.subgroup_size if isinstance(settings, SpcConfig) else profile.agg(F.max("subgroup_size")).first()[0]
+    layout = measure(profile, chunk_rows, "total_observations", widest or 1)
     methods = [settings.subgroup_method] if isinstance(settings, SpcConfig) else [
-        r[0] for r in profile.filter(F.col("error_code").isNull()).select("subgroup_method").distinct()
-        .limit(len(SUBGROUP_METHODS)).collect()
+        # At most the four methods there are; a context of single values may carry any text.
+        r[0] for r in profile.filter(
+            F.col("error_code").isNull() & (F.col("subgroup_size") > 1) & F.col("subgroup_method").isin(*SUBGROUP_METHODS)
+        ).select("subgroup_method").distinct().collect()
     ]
     eligible = profile.filter(F.col("error_code").isNull()).select(
         "ctx", "subgroup_size", "subgroup_method", "maximum_time_gap_seconds", "configured_chart", "ruleset",
@@ -421,4 +437,5 @@ def historical_analysis(
 ) -> Analysis:
     """Analyse every request with the configuration and specification in force for it."""
     settings = resolved_settings(requests, configurations, specifications, as_of)
-    return analyze(requested_rows(measurements, requests), settings, **options)
+    asked = requests.select(F.struct(*CONTEXT).alias("ctx"))
+    return analyze(requested_rows(measurements, requests), settings, asked=asked, **options)

@@ -61,19 +61,22 @@ def approve(baselines: DataFrame, approvals: DataFrame) -> tuple[DataFrame, Data
 
     Drafts approved for one context take effect in ``approved_at`` order: the last
     one becomes ACTIVE, earlier ones and the former ACTIVE one are SUPERSEDED by
-    the next. Contexts compare with absent fields equal.
+    the next. Contexts compare with absent fields equal. Of several approvals of one
+    draft the first counts, the others are refused.
     """
     kinds = dict(approvals.dtypes)
-    for column in ("approved_at", "approved_by"):
+    turns = Window.partitionBy("baseline_id").orderBy(F.col("approved_at").asc_nulls_last(), "approved_by")
+    approvals = approvals.withColumn("_turn", F.row_number().over(turns))
+    for column, like in (("approved_at", "approved_at"), ("approved_by", "approved_by"), ("superseded_at", "approved_at")):
         if column not in baselines.columns:
-            baselines = baselines.withColumn(column, F.lit(None).cast(kinds[column]))
+            baselines = baselines.withColumn(column, F.lit(None).cast(kinds[like]))
     asked = baselines.join(
-        approvals.select("baseline_id", F.col("approved_at").alias("_at"), F.col("approved_by").alias("_by")),
+        approvals.filter("_turn = 1").select("baseline_id", F.col("approved_at").alias("_at"), F.col("approved_by").alias("_by")),
         "baseline_id", "left",
     )
     refused = (
         approvals.join(baselines.select("baseline_id", "status"), "baseline_id", "left")
-        .filter(F.coalesce("status", F.lit("MISSING")) != "DRAFT")
+        .filter((F.coalesce("status", F.lit("MISSING")) != "DRAFT") | (F.col("_turn") > 1))
         .select("baseline_id", F.coalesce("status", F.lit("MISSING")).alias("status"))
     )
     takes = (F.col("status") == "DRAFT") & F.col("_at").isNotNull()
@@ -84,7 +87,7 @@ def approve(baselines: DataFrame, approvals: DataFrame) -> tuple[DataFrame, Data
     w = Window.partitionBy(*scope).orderBy(turn, "_at", "baseline_id")
     changed = (
         asked.filter(in_line)
-        .withColumn("_next", F.lead("baseline_id").over(w))
+        .withColumns({"_next": F.lead("baseline_id").over(w), "_next_at": F.lead("_at").over(w)})
         .withColumn("_last_active", F.max(takes.cast("int")).over(Window.partitionBy(*scope)) == 0)
         .withColumns(
             {
@@ -94,9 +97,12 @@ def approve(baselines: DataFrame, approvals: DataFrame) -> tuple[DataFrame, Data
                 "superseded_by_baseline_id": F.when(
                     F.col("_next").isNotNull() & ~F.col("_last_active"), F.col("_next")
                 ).otherwise(F.col("superseded_by_baseline_id")),
+                "superseded_at": F.when(F.col("_next").isNotNull() & ~F.col("_last_active"), F.col("_next_at")).otherwise(
+                    F.col("superseded_at")
+                ),
             }
         )
-        .drop("_next", "_last_active")
+        .drop("_next", "_next_at", "_last_active")
     )
     return changed.unionByName(asked.filter(~in_line)).drop("_at", "_by"), refused
 

@@ -11,7 +11,7 @@ from gaugeline.operators.quality import run_validation
 from gaugeline.operators.resolve import resolve_context
 from gaugeline.operators.statistics import upload_counts
 from gaugeline.sources.csv import apply_mapping, number_source_rows, read_csv
-from gaugeline.sources.tables import append_bronze, append_silver, bronze_rows
+from gaugeline.sources.tables import append_bronze, append_silver, bronze_rows, json_text, read_silver
 
 UPLOAD_TYPES = ("HISTORICAL", "CURRENT")
 CARRIED = ("upload_id", "source_file_name", "source_row_number", "organization_id", "plant_id", "production_line_id")
@@ -77,14 +77,17 @@ def process_upload(
     try:
         scanned = read_csv(spark, path, multi_line)
         source_columns = [c for c in scanned.columns if c not in ("source_file_path", "source_file_name", "_block")]
-        raw = with_upload(number_source_rows(scanned), upload)
-        apply_mapping(raw, mapping)
+        numbered = number_source_rows(scanned)
+        apply_mapping(numbered, mapping)
+        # The stored original row keeps client columns that are named like upload fields.
+        original = numbered.withColumn("_original", json_text(*[F.col(f"`{c}`") for c in source_columns]))
+        raw = with_upload(original, upload)
         steps.append(("BRONZE_LOADING", None, None, None, None))
         append_bronze(bronze_rows(raw, source_columns, mapping), bronze_path)
         steps += [(s, None, None, None, None) for s in ("BRONZE_COMPLETED", "VALIDATING", "VALIDATION_COMPLETED",
                                                         "SILVER_LOADING")]
         append_silver(clean(raw, mapping, dimensions), silver_path)
-        stored = spark.read.parquet(silver_path).filter(F.col("upload_id") == upload.upload_id)
+        stored = read_silver(spark, silver_path).filter(F.col("upload_id") == upload.upload_id)
         counts = upload_counts(stored)
         row = counts.first()
         steps += [

@@ -21,15 +21,18 @@ def latest_results(results: DataFrame) -> DataFrame:
     ).select("analysis_id", "_r.*")
 
 
-def analysis_history(runs: DataFrame, results: DataFrame, limit: int = 50, **filters) -> DataFrame:
+def analysis_history(runs: DataFrame, results: DataFrame, limit: int | None = 50, **filters) -> DataFrame:
     """Newest runs with capability and stability of their latest result.
 
     The limit is applied before the join, so only the listed runs meet results.
-    A short list is broadcast, a long one is left to the planner.
+    A short list is broadcast, a long one is left to the planner. Without a limit
+    all runs are given, in no order.
     """
     for column, value in filters.items():
         if value is not None:
             runs = runs.filter(F.col(column) == value)
+    if limit is None:
+        return runs.join(latest_results(results), "analysis_id", "left")
     listed = runs.orderBy(F.desc("created_at"), "analysis_id").limit(limit)
     wanted = listed.select("analysis_id")
     wanted = F.broadcast(wanted) if limit <= BROADCAST_ROWS else wanted
@@ -37,11 +40,11 @@ def analysis_history(runs: DataFrame, results: DataFrame, limit: int = 50, **fil
     return listed.join(latest_results(mine), "analysis_id", "left")
 
 
-def check_history(checks: DataFrame, comparisons: DataFrame, limit: int = 50, **filters) -> DataFrame:
+def check_history(checks: DataFrame, comparisons: DataFrame, limit: int | None = 50, **filters) -> DataFrame:
     for column, value in filters.items():
         if value is not None:
             checks = checks.filter(F.col(column) == value)
-    listed = checks.orderBy(F.desc("created_at"), "manual_check_id").limit(limit)
+    listed = checks if limit is None else checks.orderBy(F.desc("created_at"), "manual_check_id").limit(limit)
     found = comparisons.select("manual_check_id", "current_cpk", "current_ppk")
     return listed.join(found, "manual_check_id", "left")
 

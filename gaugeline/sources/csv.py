@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from gaugeline.operators.layout import small
@@ -11,6 +12,8 @@ from gaugeline.schema import CANONICAL_FIELDS, NA_TOKENS, REQUIRED_FIELDS
 
 ALLOWED_EXTENSIONS = (".csv",)
 MAX_FILE_MB = 200
+# Holds the text of a row whose cells do not match the header.
+BROKEN_ROW = "_broken_row"
 
 
 class FileError(ValueError):
@@ -60,18 +63,16 @@ def read_csv(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
 
     The file name and block start come along for row numbers. ``multi_line`` is
     for files with quoted line breaks and makes each file one task. A row with too
-    few cells is filled with NULL.
+    few cells is filled with NULL; one with too many refuses its file, and so does a
+    header that differs from that of the other files.
     """
-    df = (
-        spark.read.option("header", True)
-        .option("inferSchema", False)
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .csv(path)
-    )
-    if not df.columns:
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    columns = reader.option("inferSchema", False).csv(path).columns
+    if not columns:
         raise FileError("The uploaded CSV file is empty.")
-    columns = df.columns
+    texts = StructType([StructField(c, StringType()) for c in [*columns, BROKEN_ROW]])
+    df = reader.option("enforceSchema", False).option("columnNameOfCorruptRecord", BROKEN_ROW).schema(texts).csv(path)
+    refuse_surplus(df, columns)
     df = df.select(
         *[na_to_null(F.col(f"`{c}`")).alias(c.strip()) for c in columns],
         F.col("_metadata.file_path").alias("source_file_path"),
@@ -83,6 +84,23 @@ def read_csv(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
     return df
 
 
+def refuse_surplus(df: DataFrame, columns: list[str]) -> None:
+    """Raise when a row has more cells than the header; only broken rows are parsed again."""
+    wide = ", ".join(f"c{i} string" for i in range(len(columns) + 1))
+    again = F.from_csv(F.col(BROKEN_ROW), F.lit(wide), {"escape": '"'})[f"c{len(columns)}"]
+    # All columns are asked for: a scan of the broken rows alone would not parse the others.
+    every = F.concat_ws("", *[F.col(f"`{c}`") for c in columns])
+    try:
+        found = df.filter(F.col(BROKEN_ROW).isNotNull() & again.isNotNull() & (F.length(every) >= 0))
+        wrong = found.select(F.col("_metadata.file_name").alias("name"), BROKEN_ROW, every.alias("_all")).first()
+    except Exception as error:
+        if "header" in str(error).lower():
+            raise FileError("The files of the upload have different headers.") from error
+        raise
+    if wrong:
+        raise FileError(f"A row of {wrong['name']} has more cells than its header.")
+
+
 def number_source_rows(df: DataFrame) -> DataFrame:
     """Number rows 1..n per file in file order.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from gaugeline.schema import SCOPE, SILVER_READ
 
@@ -35,7 +36,8 @@ def bronze_rows(raw: DataFrame, source_columns, mapping: dict[str, str]) -> Data
         (F.col(f"`{source_of[c]}`") if c in source_of else F.lit(None).cast("string")).alias(name)
         for c, name in BRONZE_NAMES.items()
     ]
-    payload = json_text(*[F.col(f"`{c}`") for c in source_columns])
+    # Columns that an upload replaced are only in the row kept before that.
+    payload = F.col("_original") if "_original" in raw.columns else json_text(*[F.col(f"`{c}`") for c in source_columns])
     return raw.select(
         F.expr("uuid()").alias("raw_record_id"),
         "upload_id",
@@ -70,8 +72,19 @@ def append_silver(df: DataFrame, path: str) -> None:
     )
 
 
+def read_partitioned(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """A table whose partition column is text, also where its values look like numbers."""
+    stored = spark.read.parquet(path).schema
+    stored[column].dataType = StringType()
+    return spark.read.schema(stored).parquet(path)
+
+
+def read_bronze(spark: SparkSession, path: str) -> DataFrame:
+    return read_partitioned(spark, path, "upload_id")
+
+
 def read_silver(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return read_partitioned(spark, path, "parameter_id")
 
 
 def measurements(silver: DataFrame, valid_only: bool = True, extra=("source_row_number",)) -> DataFrame:

@@ -14,10 +14,10 @@ from gaugeline.sources.csv import (
 )
 from gaugeline.sources.tables import by_context, by_time_range, by_upload, read_silver
 
-HEADER = "DATE_TIME, MACHINE_NAME ,PART_NUMBER,PROCESS_STEP,CHARACTERISTIC,MEASURED_VALUE"
+HEADER = "MEASURED_AT, STATION ,ARTICLE,STEP_CODE,FEATURE,READING"
 MAPPING = {
-    "DATE_TIME": "event_timestamp", "MACHINE_NAME": "machine_code", "PART_NUMBER": "product_code",
-    "PROCESS_STEP": "operation_code", "CHARACTERISTIC": "parameter_name", "MEASURED_VALUE": "value",
+    "MEASURED_AT": "event_timestamp", "STATION": "machine_code", "ARTICLE": "product_code",
+    "STEP_CODE": "operation_code", "FEATURE": "parameter_name", "READING": "value",
 }
 GOOD = "2026-01-01T00:0{}:00+00:00,CNC_01,PART_A,OP_10,SHAFT,20.0{}"
 
@@ -156,7 +156,7 @@ def test_load(spark, tmp_path):
     assert by_row[9].quality_status == "INVALID_CONTEXT" and by_row[9].parameter_id is None
     assert by_row[10].quality_status == "VALID" and by_row[10].operation_id is None and by_row[10].unit == "mm"
     bronze = spark.read.parquet(stores[0])
-    payload = bronze.filter("source_row_number = 7").select(F.expr("variant_get(raw_payload, '$.MEASURED_VALUE', 'string')").alias("v"))
+    payload = bronze.filter("source_row_number = 7").select(F.expr("variant_get(raw_payload, '$.READING', 'string')").alias("v"))
     assert bronze.count() == 10 and payload.first().v == "abc"
     state = upload_state(spark.read.parquet(stores[2])).first()
     assert (state.status, state.total_rows, state.transitions) == ("SILVER_COMPLETED", 10, 7)
