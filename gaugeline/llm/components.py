@@ -26,7 +26,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         hooks = materialize(hooks, "hooks")
         for _ in range(2):
             onward = hooks.select(F.col("a").alias("to"), F.col("to").alias("next"))
-            hooks = materialize(hooks.join(onward, "to").select("a", F.col("next").alias("to")), "hooks")
+            hooks = hooks.join(onward, "to").select("a", F.col("next").alias("to"))
+        hooks = materialize(hooks, "hooks")
         onward = hooks.select(F.col("a").alias("component"), "to")
         labels = materialize(
             labels.join(onward, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "labels"

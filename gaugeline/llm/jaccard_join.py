@@ -37,7 +37,7 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 LEADERS = 5
 COUNTERS = 1 << 20
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 24
 BITMAP_BITS = 2048
 PART_TOKENS = 2_000_000
 
@@ -228,7 +228,9 @@ def compare(texts: DataFrame, pairs: DataFrame) -> DataFrame:
             )
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return materialize(joined.mapInArrow(overlap, "a long, b long, overlap int, n_a int, n_b int"), "overlaps")
+    written = materialize(joined.mapInArrow(overlap, "a long, b long, overlap int, n_a int, n_b int"), "overlaps")
+    bits.destroy()
+    return written
 
 
 def _may_link(n_a: Column, n_b: Column) -> Column:
@@ -261,7 +263,7 @@ def _index_lists(texts: DataFrame, known: DataFrame, counters: np.ndarray, shing
     spark = texts.sparkSession
     mean = max(1.0, counters.sum() / COUNTERS)
     hot = counters > mean + 8 * np.sqrt(mean) + 64
-    level = np.where(hot, np.floor(np.log2(np.maximum(counters / mean, 1)) * 4) + 1, 0).astype(np.uint64)
+    level = np.where(hot, np.floor(np.log2(np.maximum(counters / mean, 1)) * 4) + 1, 0).astype(np.uint8)
     sent = spark.sparkContext.broadcast(level)
     parts = max(shuffle_parts(spark), shingles // 4 // PART_TOKENS + 1)
 
@@ -270,7 +272,7 @@ def _index_lists(texts: DataFrame, known: DataFrame, counters: np.ndarray, shing
             sets, at = shingle_sets(batch.column("text"))
             n = np.diff(at)
             # Keys in order of frequency: the level in the upper bits, then bits of the hash.
-            keys = (sent.value[(sets % np.uint64(COUNTERS)).astype(np.int64)] << np.uint64(56)) | (mix(sets) >> np.uint64(8))
+            keys = (sent.value[(sets % np.uint64(COUNTERS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (mix(sets) >> np.uint64(8))
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                 keys[a:b].sort()
             # A linked pair shares one of the first n - ceil(0.75 n) + 1 shingles of each set.
@@ -309,13 +311,24 @@ def _index_lists(texts: DataFrame, known: DataFrame, counters: np.ndarray, shing
         kept = _skip(token[order].astype(np.int64), component[order], n[order].astype(np.int64), position[order].astype(np.int64))
         order = order[kept]
         return pa.table({
-            "list": (np.int64(key[0].as_py()) << 32) | token[order].astype(np.int64), "id": ids[order].view(np.int64), "n": n[order].astype(np.int32),
+            "list": _names(token[order], ids[order]), "id": ids[order].view(np.int64), "n": n[order].astype(np.int32),
             "position": position[order].astype(np.int32), "component": component[order].view(np.int64),
         })
 
     prefixed = texts.mapInArrow(prefixes, "id long, prefix binary").join(known, "id")
     dealt = prefixed.mapInArrow(deal, "part int, entries binary")
-    return materialize(dealt.groupBy("part").applyInArrow(lists, _LISTS), "lists")
+    written = materialize(dealt.groupBy("part").applyInArrow(lists, _LISTS), "lists")
+    sent.destroy()
+    return written
+
+
+def _names(token: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """A name for each list that lists of the same ids share, whatever their shingle."""
+    if not len(token):
+        return np.zeros(0, np.int64)
+    heads = np.flatnonzero(np.diff(token.astype(np.int64), prepend=-1))
+    name = mix(np.add.reduceat(mix(ids), heads) ^ (np.add.reduceat(mix(ids ^ np.uint64(0x5851F42D4C957F2D)), heads) >> np.uint64(7)))
+    return np.repeat(name, np.diff(np.append(heads, len(token)))).view(np.int64)
 
 
 def _skip(token, component, n, position) -> np.ndarray:
@@ -381,7 +394,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     links = leader.filter(_is_link()).select("a", "b")
     components = connected_components(links)
     known = _with_components(reps.select("id", "n"), components)
-    lists = _index_lists(texts, known, counters, int(counters.sum()))
+    # Lists of the same entries are one; the smallest position is that of their first shared shingle.
+    entries = _index_lists(texts, known, counters, int(counters.sum())).groupBy("list", "id")
+    lists = materialize(entries.agg(*[F.min(c).alias(c) for c in ("n", "position", "component")]), "merged")
     first = compare(texts, plausible(_neighbour_pairs(lists), reps))
     links = links.unionAll(first.filter(_is_link()).select("a", "b"))
     components = connected_components(links)
