@@ -39,6 +39,7 @@ LEADERS = 5
 COUNTERS = 1 << 20
 FILTER_BITS = 1 << 24
 BITMAP_BITS = 2048
+TEXT_BYTES = 2 << 20
 PART_TOKENS = 2_000_000
 
 
@@ -88,7 +89,7 @@ def _signatures(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
     def sign(batches):
         counters = np.zeros(COUNTERS, np.int64)
-        for batch in batches_by_bytes(batches, "text"):
+        for batch in batches_by_bytes(batches, "text", TEXT_BYTES):
             sets, at = shingle_sets(batch.column("text"))
             counters += np.bincount((sets % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
             n = np.diff(at)
@@ -219,7 +220,7 @@ def compare(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     left, right = some.select(F.col("id").alias("a"), F.col("text").alias("text_a")), some.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
 
     def overlap(batches):
-        for batch in batches_by_bytes(batches, "text_a", 4 << 20):
+        for batch in batches_by_bytes(batches, "text_a", TEXT_BYTES):
             sides = [_sets_of(batch.column(c), batch.column(f"text_{c}")) for c in ("a", "b")]
             common = [_common(x, y) for x, y in zip(*sides)]
             yield pa.RecordBatch.from_arrays(
@@ -268,7 +269,7 @@ def _index_lists(texts: DataFrame, known: DataFrame, counters: np.ndarray, shing
     parts = max(shuffle_parts(spark), shingles // 4 // PART_TOKENS + 1)
 
     def prefixes(batches):
-        for batch in batches_by_bytes(batches, "text"):
+        for batch in batches_by_bytes(batches, "text", TEXT_BYTES):
             sets, at = shingle_sets(batch.column("text"))
             n = np.diff(at)
             # Keys in order of frequency: the level in the upper bits, then bits of the hash.
@@ -283,7 +284,7 @@ def _index_lists(texts: DataFrame, known: DataFrame, counters: np.ndarray, shing
             yield pa.RecordBatch.from_arrays([batch.column("id"), packed], names=["id", "prefix"])
 
     def deal(batches):
-        for batch in batches_by_bytes(batches, "prefix", 4 << 20):
+        for batch in batches_by_bytes(batches, "prefix", TEXT_BYTES):
             data, at = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), np.uint64), batch.column("prefix")
             size = np.array([len(x) // 8 for x in at.to_pylist()])
             ids, n, component = (batch.column(c).to_numpy().astype(np.uint64) for c in ("id", "n", "component"))
