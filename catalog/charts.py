@@ -14,7 +14,7 @@ from gaugeline.operators.charts import (
 from gaugeline.operators.display import (
     axis_range, bin_of, downsample, histogram, point_status, sigma_zones,
 )
-from gaugeline.operators.layout import measure, unpack
+from gaugeline.operators.layout import materialize, measure, unpack
 from gaugeline.operators.rules import (
     decode_ruleset, default_ruleset, judge, stability, violation_counts, violations, with_messages,
 )
@@ -30,7 +30,8 @@ def points_of(spark, sf_dir, size, method="CONSECUTIVE", chart="AUTO"):
 def judged_of(spark, sf_dir, size, method="CONSECUTIVE", chart="AUTO", ruleset=None):
     points, layout = points_of(spark, sf_dir, size, method, chart)
     limited = with_limits(points, layout).withColumn("ruleset", ruleset if ruleset is not None else default_ruleset())
-    return judge(limited, layout), layout
+    # Points and their violations are read from one written table.
+    return materialize(judge(limited, layout), "judged"), layout
 
 
 def base(size, method="CONSECUTIVE", chart="AUTO"):

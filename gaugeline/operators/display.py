@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.functions.text import significant
-from gaugeline.operators.layout import Layout, attach
+from gaugeline.operators.layout import Layout, attach, materialize
 from gaugeline.schema import POINT_OUTSIDE
 
 DISPLAY_POINTS = 500
@@ -60,6 +60,7 @@ def downsample(points: DataFrame, layout: Layout, max_points: int = DISPLAY_POIN
 
     ``index`` runs from 0 without gaps within a context.
     """
+    points = materialize(points, "statuses")
     counts = points.groupBy("ctx").agg(
         F.count("*").alias("_n"), F.count_if(F.col("status") != "NORMAL").alias("_kept")
     )
@@ -121,7 +122,8 @@ def histogram(points: DataFrame, context_values: DataFrame, layout: Layout, bins
 
     ``points`` are the primary chart points with ``ctx``, ``index`` and ``value``.
     """
-    bounds = histogram_bounds(points, context_values, bins)
+    points = materialize(points.select("ctx", "index", "value"), "primary")
+    bounds = materialize(histogram_bounds(points, context_values, bins), "bounds")
     placed = attach(
         points.select("ctx", "value", (F.col("index") + 1).alias("_pos")),
         bounds.select("ctx", "bin_width", "histogram_start", "total_bins", "value_count"), layout, "_pos", "value_count",
