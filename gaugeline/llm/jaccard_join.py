@@ -38,7 +38,7 @@ NUMERATOR, DENOMINATOR = 75, 100
 LEADERS = 5
 COUNTERS = 1 << 20
 FILTER_BITS = 1 << 24
-BITMAP_BITS = 2048
+BITMAP_BITS, MOST_BITMAP_BITS = 2048, 1 << 18
 TEXT_BYTES = 2 << 20
 PART_TOKENS = 2_000_000
 
@@ -81,6 +81,40 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text")).filter("id IS NOT NULL")
 
 
+def _bitmaps(hashes: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Per set the parity of its shingles in each of a power of two of places, at least four a shingle.
+
+    Half the places of a bitmap laid on the other half give the bitmap of half the size.
+    """
+    n = np.diff(at)
+    few = n <= BITMAP_BITS // 4
+    inside = np.repeat(few, n)
+    spot = np.repeat(np.arange(len(n)), n)[inside] * BITMAP_BITS + (hashes[inside] % np.uint64(BITMAP_BITS)).astype(np.int64)
+    odd = np.packbits(np.bincount(spot, minlength=len(n) * BITMAP_BITS) % 2 == 1).reshape(len(n), -1)
+    out = [x.tobytes() for x in odd]
+    for d in np.flatnonzero(~few).tolist():
+        bits = 1 << min(int(4 * n[d] - 1).bit_length(), MOST_BITMAP_BITS.bit_length() - 1)
+        spot = (hashes[at[d] : at[d + 1]] % np.uint64(bits)).astype(np.int64)
+        out[d] = np.packbits(np.bincount(spot, minlength=bits) % 2 == 1).tobytes()
+    return out
+
+
+def _differences(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """In how many places two bitmaps differ, the larger one folded to the size of the other."""
+    out = np.zeros(len(x), np.int64)
+    same = np.array([len(a) == len(b) == BITMAP_BITS // 8 for a, b in zip(x, y)], bool)
+    rows = np.flatnonzero(same)
+    if len(rows):
+        left, right = (np.frombuffer(b"".join(side[i] for i in rows), np.uint64).reshape(len(rows), -1) for side in (x, y))
+        out[rows] = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
+    for i in np.flatnonzero(~same).tolist():
+        a, b = sorted((np.frombuffer(x[i], np.uint64), np.frombuffer(y[i], np.uint64)), key=len)
+        while len(b) > len(a):
+            b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+        out[i] = int(np.bitwise_count(a ^ b).sum())
+    return out
+
+
 def _signatures(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """One written row per document, and the counters of all shingles."""
     seeds = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1)) for k in range(LEADERS)]
@@ -101,10 +135,9 @@ def _signatures(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
                     low[some] = np.minimum.reduceat(mix(sets ^ seed), at[some]).view(np.int64)
                 lows.append(low)
             digest = [hashlib.blake2b(sets[a:b].tobytes(), digest_size=16).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            spot = np.repeat(np.arange(len(n)), n) * BITMAP_BITS + (mix(sets) % np.uint64(BITMAP_BITS)).astype(np.int64)
-            odd = np.packbits(np.bincount(spot, minlength=len(n) * BITMAP_BITS) % 2 == 1).reshape(len(n), -1)
+            bitmaps = _bitmaps(mix(sets), at)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array([x.tobytes() for x in odd], pa.binary()), *(pa.array(x) for x in lows), pa.nulls(len(n), pa.binary())], names=names
+                [batch.column("id"), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(bitmaps, pa.binary()), *(pa.array(x) for x in lows), pa.nulls(len(n), pa.binary())], names=names
             )
         used = np.flatnonzero(counters)
         packed = np.rec.fromarrays([used.astype(np.int32), counters[used]]).tobytes()
@@ -192,8 +225,7 @@ def plausible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
 
     def pick(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bitmap_a", "bitmap_b"))
-            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            differ = _differences(batch.column("bitmap_a").to_pylist(), batch.column("bitmap_b").to_pylist())
             total = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
             kept = (DENOMINATOR + NUMERATOR) * differ <= (DENOMINATOR - NUMERATOR) * total
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(kept))
