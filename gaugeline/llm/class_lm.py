@@ -1,12 +1,16 @@
 """Language-model scores from Brown class-based bigrams.
 
-P(word | word before) = P(class | class before) * P(word | class). Exchange clustering
-assigns units to classes: a unit is one of the ``CORE`` most frequent training words, or
-all further words that share a hash of their last bytes, so every word has a class and all
-training tokens count. Unit bigrams fill a table of bounded size; the search for the best
-class of each unit runs over that table. Class transitions are interpolated with class
-frequencies (Witten-Bell), and words within a class are discounted to leave room for
-words never seen, which count as one event per class.
+P(word | word before) = P(class | class before) * P(word | class). A unit is a word with at
+least ``SUPPORT`` training tokens, or all rarer words that share a hash of their last bytes,
+so every word has a class and all training tokens count. Bigrams of all units are counted
+by Spark and laid out by unit, once with the units behind and once with the units before.
+The most frequent units open the classes; then, in rounds, every unit goes to the class that
+fits its own counts of neighbour classes best, its own share left out, and a round stands
+only if the likelihood of the class bigrams grows. Units and classes (the square root of
+the units) grow with the corpus; the driver holds some bytes for each unit, not for each
+bigram. Class transitions are interpolated with class frequencies (Witten-Bell), and words
+within a class are discounted to leave room for words never seen, which count as one event
+per class.
 
 Texts are split once. A shard row holds a bounded run of documents as numbers into its own
 list of words; only counts of distinct words per shard travel, packed by hash range, and
@@ -27,14 +31,36 @@ from pyspark.sql import functions as F
 from gaugeline.llm.bytewords import FOLD, NOT_SPACE, find_words, hash_spans, mix, text_bytes
 from gaugeline.llm.support import batches_by_bytes, materialize, ship, shuffle_parts
 
-CORE = 1024
+SUPPORT = 5
 ENDINGS = 512
+# At least so many classes.
 CLASSES = 48
 SWEEPS = 6
+# Half of the units may move in a round.
+ROUNDS = 8
+# Cells of units by classes that a task works on at a time.
+CELLS = 1 << 20
 SHARD_BYTES = 8 << 20
 _SHARD = "shard string, doc_ids binary, null_ids binary, trains binary, counts binary, codes binary, hashes binary, endings binary, part int, words binary, trained binary"
 
 
+def _pack(numbers: np.ndarray, rising: bool = False) -> bytes:
+    """Numbers (``rising``: their differences) byte plane by byte plane, compressed."""
+    numbers = numbers.astype(np.int64)
+    numbers = np.diff(numbers, prepend=np.int64(0)) if rising else numbers
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T)
+    return len(numbers).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
+
+
+def _unpack(packed: bytes, rising: bool = False) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    if not n:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(pa.Codec("zstd").decompress(packed[8:], 8 * n, asbytes=True), np.uint8)
+    numbers = np.ascontiguousarray(planes.reshape(8, n).T).view(np.int64).ravel()
+    return np.cumsum(numbers) if rising else numbers
+
+
 def _shards(docs: DataFrame, train: Column, doc_id: str, text: str) -> DataFrame:
     """Written shards, each with one row of documents and one row per hash range of its words."""
     only = docs.select(
@@ -64,9 +90,9 @@ def _shards(docs: DataFrame, train: Column, doc_id: str, text: str) -> DataFrame
             ids, shard = batch.column("doc_id"), uuid.uuid4().hex
             whole = [
                 ids.fill_null(0).to_numpy().astype(np.int64), np.array(ids.is_null().to_numpy(zero_copy_only=False), np.uint8), train.astype(np.uint8),
-                words.counts().astype(np.int64), codes.astype(np.uint32), distinct, endings,
+                words.counts().astype(np.int64),
             ]
-            rows = [[shard, *(a.tobytes() for a in whole), None, None, None]]
+            rows = [[shard, *(a.tobytes() for a in whole), _pack(codes), _pack(distinct, True), endings.tobytes(), None, None, None]]
             cuts = np.searchsorted(distinct >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
             for part in np.flatnonzero(np.diff(cuts)).tolist():
                 own = slice(cuts[part], cuts[part + 1])
@@ -90,7 +116,7 @@ _WORD = np.dtype([("hash", "<u8"), ("ending", "<u2")])
 
 
 def _corpus_counts(shards: DataFrame) -> DataFrame:
-    """Per shard and hash range the corpus counts of the shard's words; and per range the most frequent ones.
+    """Per shard and hash range the corpus counts of the shard's words; and per range those of support.
 
     A range is a share of all hashes, whatever words are frequent: each shard sends a word once.
     """
@@ -106,8 +132,8 @@ def _corpus_counts(shards: DataFrame) -> DataFrame:
         ending = words["ending"][first]
         at = np.concatenate([[0], np.cumsum([len(p) for p in packed])])
         back = total[codes]
-        top = np.lexsort((distinct, -total))[:CORE]
-        top = top[total[top] > 0]
+        top = np.flatnonzero(total >= SUPPORT)
+        top = top[np.argsort(distinct[top])]
         n = table.num_rows
         out = {
             "shard": table.column("shard").to_pylist() + [None], "part": [key[0].as_py()] * (n + 1),
@@ -126,7 +152,7 @@ _COUNTS = "shard string, part int, counts binary, top binary, top_n binary, top_
 
 @dataclass
 class ClassModel:
-    """Core words (sorted hashes) and the class of every unit; all logarithms to base 10."""
+    """Words of support (sorted hashes) and the class of every unit; all logarithms to base 10."""
 
     core: np.ndarray
     core_unit: np.ndarray
@@ -206,7 +232,9 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
 
 
 def _arrays(batch: pa.RecordBatch, k: int, **kinds):
-    return [np.frombuffer(batch.column(name)[k].as_py(), kind) for name, kind in kinds.items()]
+    """Arrays of a row: of a type, or packed (``False``), or packed as rising numbers (``True``)."""
+    values = ((batch.column(name)[k].as_py(), kind) for name, kind in kinds.items())
+    return [_unpack(value, kind) if isinstance(kind, bool) else np.frombuffer(value, kind) for value, kind in values]
 
 
 def _steps(counts: np.ndarray, units: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -215,95 +243,241 @@ def _steps(counts: np.ndarray, units: np.ndarray, end: int) -> tuple[np.ndarray,
     return np.insert(units, at[1:], end), at + np.arange(len(at))
 
 
-def train_and_score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Scores of every text by a model learnt from those where ``train`` holds.
+_PAIRS = "part int, side int, keys binary, n binary"
+_NEIGHBOURS = "part int, right binary, right_n binary, left binary, left_n binary"
+_TABLE = "cells binary, n binary"
 
-    A text is its words (runs between ASCII white space, A-Z lower-cased) and one end.
-    Returns ``doc_id``, ``trained``, ``n_tokens``, ``n_known`` (tokens seen in training),
-    ``train_tokens``, ``base_score`` (add-one unigram), ``score`` (class bigrams) and
-    ``perplexity``. A null or empty text is an end only; repeated rows count and score
-    each; without training rows only unseen events remain. An empty table gives no rows.
-    Other columns are ignored.
+
+def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their sums."""
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _dealt(by: np.ndarray, bits: int, *columns: np.ndarray):
+    """Slices of the columns by hash range of ``by``, with the number of the range."""
+    part = (mix(by.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange((1 << bits) + 1))
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        own = order[cuts[k] : cuts[k + 1]]
+        yield k, *(c[own] for c in columns)
+
+
+def _records(schema: str, rows: list[list]) -> pa.RecordBatch:
+    fields = _arrow(schema)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)], names=[f.name for f in fields])
+
+
+def _unit_bigrams(documents: DataFrame, core: np.ndarray) -> DataFrame:
+    """Written bigram counts of all units, by hash range of the unit whose neighbours they are.
+
+    Pairs are added up by pair first, so a unit found everywhere comes with each neighbour
+    once, not once for each shard.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    shards = _shards(docs, train, doc_id, text)
-    counts = _corpus_counts(shards)
-    core, core_n, core_endings, tokens, types = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0
-    ending_counts = np.zeros((4, ENDINGS), np.int64)
-    # One row for each of the hash ranges, each with at most CORE words.
-    for row in counts.filter("top IS NOT NULL").select("top", "top_n", "top_endings", "seen", "tokens", "ending_counts").collect():
-        core = np.concatenate([core, np.frombuffer(row["top"], np.uint64)])
-        core_n = np.concatenate([core_n, np.frombuffer(row["top_n"], np.int64)])
-        core_endings = np.concatenate([core_endings, np.frombuffer(row["top_endings"], np.uint16).astype(np.int64)])
-        best = np.lexsort((core, -core_n))[:CORE]
-        core, core_n, core_endings = core[best], core_n[best], core_endings[best]
-        tokens, types = tokens + row["tokens"], types + row["seen"]
-        ending_counts += np.frombuffer(row["ending_counts"], np.int64).reshape(4, ENDINGS)
-    core_unit = np.arange(len(core))
-    order = np.argsort(core)
-    core, core_unit = core[order], core_unit[order]
-    n_units = len(core) + ENDINGS + 1
-    sent = spark.sparkContext.broadcast((core, core_unit))
+    spark = documents.sparkSession
+    n_units, bits = len(core) + ENDINGS + 1, range_bits(spark)
+    sent = spark.sparkContext.broadcast(core)
 
     def pairs(batches):
-        core, core_unit = sent.value
-        total, ends = np.zeros((n_units, n_units), np.int64), 0
+        core = sent.value
         for batch in batches:
             for k in range(batch.num_rows):
-                trains, n, codes, hashes, endings = _arrays(batch, k, trains=np.uint8, counts=np.int64, codes=np.uint32, hashes=np.uint64, endings=np.uint16)
-                unit = units_of(core, core_unit, hashes, endings)[codes]
+                trains, n, codes, hashes, endings = _arrays(batch, k, trains=np.uint8, counts=np.int64, codes=False, hashes=True, endings=np.uint16)
+                unit = units_of(core, np.arange(len(core)), hashes.view(np.uint64), endings)[codes]
                 use = trains.astype(bool)
                 stream, _ = _steps(n[use], unit[np.repeat(use, n)], n_units - 1)
-                ends += int(use.sum())
-                before = np.concatenate([[n_units - 1], stream[:-1]])
-                if len(stream):
-                    total += np.bincount(before * n_units + stream, minlength=n_units**2).reshape(n_units, n_units)
+                if not len(stream):
+                    continue
+                keys, n = np.unique(np.concatenate([[n_units - 1], stream[:-1]]) * n_units + stream, return_counts=True)
+                yield _records(_PAIRS, [[part, 0, _pack(a, True), _pack(c)] for part, a, c in _dealt(keys, bits, keys, n)])
+
+    def add(key, table):
+        keys, n = _sums(*(np.concatenate([_unpack(x.as_py(), c == "keys") for x in table.column(c)]) for c in ("keys", "n")))
+        before, behind = keys // n_units, keys % n_units
+        rows = [[part, 0, _pack(a, True), _pack(c)] for part, a, c in _dealt(before, bits, keys, n)]
+        order = np.lexsort((before, behind))
+        before, behind, n = before[order], behind[order], n[order]
+        rows += [[part, 1, _pack(a, True), _pack(c)] for part, a, c in _dealt(behind, bits, behind * n_units + before, n)]
+        return pa.Table.from_batches([_records(_PAIRS, rows)])
+
+    def lay(key, table):
+        side, row = table.column("side").to_numpy(), [key[0].as_py()]
+        for s in (0, 1):
+            own = table.filter(pa.array(side == s))
+            keys, n = (np.concatenate([np.zeros(0, np.int64), *(_unpack(x.as_py(), c == "keys") for x in own.column(c))]) for c in ("keys", "n"))
+            keys, n = _sums(keys, n)
+            row += [_pack(keys, True), _pack(n)]
+        return pa.Table.from_batches([_records(_NEIGHBOURS, [row])])
+
+    added = documents.select("trains", "counts", "codes", "hashes", "endings").mapInArrow(pairs, _PAIRS).groupBy("part").applyInArrow(add, _PAIRS)
+    return materialize(added.groupBy("part").applyInArrow(lay, _NEIGHBOURS), "lm-neighbours")
+
+
+def _class_table(neighbours: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
+    """Bigram counts of classes, by those units that have one."""
+    sent, n_units = neighbours.sparkSession.sparkContext.broadcast(of), len(of)
+
+    def count(batches):
+        of, total = sent.value, np.zeros(classes**2, np.int64)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                keys, n = _arrays(batch, k, right=True, right_n=False)
+                one, two = of[keys // n_units], of[keys % n_units]
+                use = (one >= 0) & (two >= 0)
+                cells, n = _sums(one[use] * classes + two[use], n[use])
+                total[cells] += n
         cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([ends]), pa.array([cells.astype(np.int32).tobytes()], pa.binary()), pa.array([total.ravel()[cells].tobytes()], pa.binary())], names=["ends", "cells", "n"]
-        )
-
-    documents = shards.filter("part IS NULL")
-    tables = documents.select("trains", "counts", "codes", "hashes", "endings").mapInArrow(pairs, "ends long, cells binary, n binary")
+        yield _records(_TABLE, [[cells.tobytes(), total[cells].tobytes()]])
 
     def add(batches):
-        total, ends = np.zeros(n_units**2, np.int64), 0
+        total = np.zeros(classes**2, np.int64)
         for batch in batches:
             for k in range(batch.num_rows):
-                cells, n = _arrays(batch, k, cells=np.int32, n=np.int64)
+                cells, n = _arrays(batch, k, cells=np.int64, n=np.int64)
                 total[cells] += n
-                ends += batch.column("ends")[k].as_py()
         cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([ends]), pa.array([cells.astype(np.int32).tobytes()], pa.binary()), pa.array([total[cells].tobytes()], pa.binary())], names=["ends", "cells", "n"])
-
-    # Tables of the tasks, of bounded size each, are added up in a few tasks and then here.
-    bigrams, ends = np.zeros(n_units**2, np.int64), 0
-    for row in tables.repartition(4).mapInArrow(add, "ends long, cells binary, n binary").toLocalIterator():
-        bigrams[np.frombuffer(row["cells"], np.int32)] += np.frombuffer(row["n"], np.int64)
-        ends += row["ends"]
-    bigrams = bigrams.reshape(n_units, n_units)
-    of = exchange(bigrams.astype(float))
-    member = np.zeros((n_units, CLASSES))
-    member[np.arange(n_units), of] = 1
-    table = member.T @ bigrams @ member
-    class_n, kinds = table.sum(axis=0), (table > 0).sum(axis=1)
-    lower = (class_n + 1) / (class_n.sum() + CLASSES)
-    before = table.sum(axis=1)
-    transition = np.log10((table + kinds[:, None] * lower[None, :] + 1e-9 * lower[None, :]) / (before + kinds + 1e-9)[:, None])
+        yield _records(_TABLE, [[cells.tobytes(), total[cells].tobytes()]])
+
+    # Tables of the tasks are added up in a few tasks and then here.
+    table = np.zeros(classes**2, np.int64)
+    for row in neighbours.select("right", "right_n").mapInArrow(count, _TABLE).repartition(4).mapInArrow(add, _TABLE).collect():
+        table[np.frombuffer(row["cells"], np.int64)] += np.frombuffer(row["n"], np.int64)
+    sent.destroy()
+    return table.reshape(classes, classes)
+
+
+def _likelihood(table: np.ndarray) -> float:
+    return sum(float((x * np.log(np.maximum(x, 1e-12))).sum()) * sign for x, sign in ((table, 1), (table.sum(axis=0), -1), (table.sum(axis=1), -1)))
+
+
+def best_classes(right: np.ndarray, left: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Best class of units by counts (unit, class) behind and before them; the last class takes none.
+
+    ``own`` is the present class or -1; what a unit adds to its own class is left out.
+    """
+    soft, classes = 0.1, len(table)
+    logs, starts, ends = np.log(table + soft), table.sum(axis=1), table.sum(axis=0)
+    n_right, n_left = right.sum(axis=1), left.sum(axis=1)
+    score = right @ logs.T + left @ logs
+    score -= np.outer(n_right, np.log(starts + soft * classes)) + np.outer(n_left, np.log(ends + soft * classes))
+    has = np.flatnonzero(own >= 0)
+    if len(has):
+        o, r, l = own[has], right[has], left[has]
+        behind, before = table[o] - r, table[:, o].T - l
+        d = np.arange(len(has))
+        behind[d, o] -= l[d, o]
+        before[d, o] -= r[d, o]
+        alone = (r * np.log(np.maximum(behind, 0) + soft)).sum(axis=1) + (l * np.log(np.maximum(before, 0) + soft)).sum(axis=1)
+        alone -= n_right[has] * np.log(np.maximum(starts[o] - n_right[has], 0) + soft * classes)
+        score[has, o] = alone - n_left[has] * np.log(np.maximum(ends[o] - n_left[has], 0) + soft * classes)
+    score[:, -1] = -np.inf
+    return score.argmax(axis=1)
+
+
+def _moves(neighbours: DataFrame, of: np.ndarray, table: np.ndarray, turn: int | None) -> np.ndarray:
+    """Classes after every unit of a half (or each unit without a class) went to its best one."""
+    sent, n_units, classes = neighbours.sparkSession.sparkContext.broadcast((of, table.astype(float))), len(of), len(table)
+
+    def move(batches):
+        of, table = sent.value
+        for batch in batches:
+            for k in range(batch.num_rows):
+                right, right_n, left, left_n = _arrays(batch, k, right=True, right_n=False, left=True, left_n=False)
+                sides = [(keys // n_units, of[keys % n_units], n) for keys, n in ((right, right_n), (left, left_n))]
+                units = np.union1d(sides[0][0], sides[1][0])
+                free = of[units] < 0 if turn is None else mix(units.astype(np.uint64) + np.uint64(turn >> 1)) % np.uint64(2) == turn % 2
+                units = units[free & (units != n_units - 1)]
+                step, out = max(1, CELLS // classes), []
+                for at in range(0, len(units), step):
+                    some, counts = units[at : at + step], []
+                    for unit, of_other, n in sides:
+                        place = np.minimum(np.searchsorted(some, unit), len(some) - 1)
+                        use = (some[place] == unit) & (of_other >= 0)
+                        counts.append(np.bincount(place[use] * classes + of_other[use], n[use], len(some) * classes).reshape(-1, classes))
+                    out.append(best_classes(*counts, of[some], table))
+                if out:
+                    yield _records(_TABLE, [[units.tobytes(), np.concatenate(out).astype(np.int64).tobytes()]])
+
+    new = of.copy()
+    for row in neighbours.drop("part").mapInArrow(move, _TABLE).toLocalIterator():
+        new[np.frombuffer(row["cells"], np.int64)] = np.frombuffer(row["n"], np.int64)
+    sent.destroy()
+    return new
+
+
+def cluster(neighbours: DataFrame, weight: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each unit, the last unit (the end of a text) alone in the last class; and the class bigrams."""
+    of = np.full(len(weight), -1, np.int64)
+    seeds = np.argsort(-weight[:-1], kind="stable")[: classes - 1]
+    of[seeds], of[-1] = np.arange(len(seeds)), classes - 1
+    of = _moves(neighbours, of, _class_table(neighbours, of, classes), None)
+    table = _class_table(neighbours, of, classes)
+    idle = 0
+    for turn in range(ROUNDS):
+        new = _moves(neighbours, of, table, turn)
+        changed = _class_table(neighbours, new, classes) if (new != of).any() else table
+        if _likelihood(changed) > _likelihood(table):
+            of, table, idle = new, changed, 0
+        else:
+            idle += 1
+            if idle == 2:
+                break
+    # Units without training tokens are in no bigram.
+    return np.maximum(of, 0), table
+
+
+def learn(documents: DataFrame, counts: DataFrame) -> ClassModel:
+    core, core_n, core_endings, tokens, types = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, 0
+    ending_counts = np.zeros((4, ENDINGS), np.int64)
+    # One row for each of the hash ranges, in their order, so that all words are in hash order.
+    for row in counts.filter("top IS NOT NULL").select("part", "top", "top_n", "top_endings", "seen", "tokens", "ending_counts").orderBy("part").toLocalIterator():
+        core.append(np.frombuffer(row["top"], np.uint64))
+        core_n.append(np.frombuffer(row["top_n"], np.int64))
+        core_endings.append(np.frombuffer(row["top_endings"], np.uint16).astype(np.int64))
+        tokens, types = tokens + row["tokens"], types + row["seen"]
+        ending_counts += np.frombuffer(row["ending_counts"], np.int64).reshape(4, ENDINGS)
+    core, core_n, core_endings = np.concatenate(core), np.concatenate(core_n), np.concatenate(core_endings)
+    neighbours = _unit_bigrams(documents, core)
+    ends = sum(sum(np.frombuffer(r["trains"], np.uint8).tolist()) for r in documents.select("trains").toLocalIterator())
     # Per class: tokens, and the mass its seen words leave to unseen ones.
     rest_tokens, rest_types, once, twice = ending_counts.astype(float)
     rest_tokens = rest_tokens - np.bincount(core_endings, core_n, ENDINGS)
     rest_types = rest_types - np.bincount(core_endings, minlength=ENDINGS)
     unit_tokens = np.concatenate([core_n, rest_tokens, [ends]])
     unit_types = np.concatenate([np.ones(len(core_n)), rest_types, [float(ends > 0)]])
-    class_tokens, class_types = member.T @ unit_tokens, member.T @ unit_types
+    classes = max(CLASSES, int(len(core) ** 0.5))
+    of, table = cluster(neighbours, unit_tokens, classes)
+    class_n, kinds = table.sum(axis=0), (table > 0).sum(axis=1)
+    lower = (class_n + 1) / (class_n.sum() + classes)
+    before = table.sum(axis=1)
+    transition = np.log10((table + kinds[:, None] * lower[None, :] + 1e-9 * lower[None, :]) / (before + kinds + 1e-9)[:, None])
+    class_tokens, class_types = np.bincount(of, unit_tokens, classes), np.bincount(of, unit_types, classes)
     discount = min(0.95, max(0.05, once.sum() / max(once.sum() + 2 * twice.sum(), 1)))
-    model = ClassModel(core, core_unit, of, transition, class_tokens, class_types, discount, tokens + ends, types + (1 if ends else 0), ends)
+    return ClassModel(core, np.arange(len(core)), of, transition, class_tokens, class_types, discount, tokens + ends, types + (1 if ends else 0), ends)
+
+
+def train_and_score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Scores of every text by a model learnt from those where ``train`` holds.
+
+    A text is its words (runs between ASCII white space, A-Z lower-cased) and one end.
+    Returns ``doc_id``, ``trained``, ``n_tokens``, ``n_known`` (tokens seen in training),
+    ``train_tokens``, ``base_score`` (add-one unigram), ``score`` (class bigrams) and
+    ``perplexity``. A null or empty text is an end only; repeated rows count and score
+    each; without training rows only unseen events remain. An empty table gives no rows.
+    Other columns are ignored.
+    """
+    ship(docs.sparkSession)
+    shards = _shards(docs, train, doc_id, text)
+    counts = _corpus_counts(shards)
+    documents = shards.filter("part IS NULL")
+    model = learn(documents, counts)
     back = counts.filter("shard IS NOT NULL").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("part", "counts"))).alias("back"))
     rows = documents.select("shard", "doc_ids", "null_ids", "trains", F.col("counts").alias("n"), "codes", "hashes", "endings")
     joined = rows.join(back, "shard", "left").select(*rows.columns[1:], F.col("back.counts").alias("back"))
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     return joined.mapInArrow(lambda batches: _score(batches, shared.value), _SCORES)
 
 
@@ -316,13 +490,13 @@ def _score(batches, model: ClassModel):
     for batch in batches:
         for k in range(batch.num_rows):
             ids, null_ids, trains, n, codes, hashes, endings = _arrays(
-                batch, k, doc_ids=np.int64, null_ids=np.uint8, trains=np.uint8, n=np.int64, codes=np.uint32, hashes=np.uint64, endings=np.uint16
+                batch, k, doc_ids=np.int64, null_ids=np.uint8, trains=np.uint8, n=np.int64, codes=False, hashes=True, endings=np.uint16
             )
             back = batch.column("back")[k].as_py()
             count = np.concatenate([np.frombuffer(b, np.int64) for b in back]) if back else np.zeros(0, np.int64)
             # Each distinct word, then the end as one more.
             count = np.append(count, model.ends)
-            of = np.append(model.unit_class[units_of(model.core, model.core_unit, hashes, endings)], end_class)
+            of = np.append(model.unit_class[units_of(model.core, model.core_unit, hashes.view(np.uint64), endings)], end_class)
             seen = count > 0
             share = np.where(seen, count - model.discount, model.discount * model.class_types[of] + 1) / (model.class_tokens[of] + 1)
             emission, base = np.log10(share), np.log10((count + 1) / (model.tokens + model.types + 1))

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gaugeline.llm import html_tree, language, packing, queries, toxicity
+from gaugeline.llm import class_lm, html_tree, language, packing, queries, toxicity
 from gaugeline.llm.class_lm import exchange, train_and_score
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -126,6 +126,25 @@ def test_lm_beats_its_base_on_other_texts(spark):
     assert got.filter("score > base_score").count() >= 0.8 * got.count() > 0
 
 
+def test_lm_classes_of_words_that_are_not_the_most_frequent(spark):
+    # Two families of 1500 words, all of one ending, that take turns.
+    rng = random.Random(7)
+    data = [(k, " ".join(f"{rng.choice('pq')}{'ab'[i % 2]}{rng.randrange(750)}ing" for i in range(40)), "aa", "x", 1) for k in range(1500)]
+    docs = spark.createDataFrame(data, SCHEMA)
+    shards = class_lm._shards(docs, F.lit(True), "doc_id", "text")
+    model = class_lm.learn(shards.filter("part IS NULL"), class_lm._corpus_counts(shards))
+    words = [f"{x}{y}{i}ing".encode() for x in "pq" for y in "ab" for i in range(750)]
+    ends = np.cumsum([len(w) for w in words])
+    hashes = class_lm.hash_spans(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends)
+    of = model.unit_class[class_lm.units_of(model.core, model.core_unit, hashes, np.zeros(len(words), np.int64))]
+    families = np.zeros((2, len(model.class_tokens)), int)
+    np.add.at(families, (np.arange(len(words)) // 750 % 2, of), 1)
+    assert len(model.core) > 2990 and len(model.class_tokens) == 54
+    assert families.max(axis=0).sum() >= 0.99 * len(words)
+    got = train_and_score(docs, queries.fold("doc_id", 7) != 2).filter("not trained").agg(F.expr("sum(score) / sum(n_tokens)")).first()[0]
+    assert got > -math.log10(1900)
+
+
 def test_lm_without_training_or_rows(spark):
     assert train_and_score(spark.createDataFrame([], SCHEMA), F.lit(True)).count() == 0
     row = train_and_score(spark.createDataFrame(sentences(1, 1), SCHEMA), F.lit(False)).first()
