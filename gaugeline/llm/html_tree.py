@@ -29,7 +29,14 @@ _NAMED = re.compile(r"\b(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*
 _HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math xmp noframes object".split())
+RAW = frozenset("script style textarea title template".split())
+# These stand in the run of text where they are found; svg and math hold elements of their own.
+FLOW = frozenset("svg math object noscript iframe".split())
+FOREIGN = frozenset(("svg", "math"))
+_HTML_INSIDE = frozenset("foreignobject desc annotation-xml".split())
+_TEXT_INSIDE = frozenset("mi mn mo ms mtext title".split())
+# Found in svg or math, these show that it was never closed.
+_BREAKS_OUT = frozenset("body blockquote center dd div dl dt h1 h2 h3 h4 h5 h6 head hr li menu ol p pre table ul article aside main nav header footer section form figure".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 SECTION = frozenset("html head body div section article main aside nav header footer form ul ol dl table tbody thead tfoot tr figure fieldset details dialog menu".split())
 # An opening tag closes an open element of these kinds, up to the given bounds.
@@ -49,11 +56,13 @@ class Tree:
     words: list[tuple[str, ...]]
     label: list[int | None]
     text: list[tuple[int, int, str]]
+    inline: list[bool]
 
 
 def parse(page: str) -> Tree:
-    tree = Tree([-1], [0], ["#page"], [()], [None], [])
-    stack, block, at = [0], 0, 0
+    tree = Tree([-1], [0], ["#page"], [()], [None], [], [False])
+    # Of each element: the svg or math it is in, or 0.
+    stack, foreign, block, at = [0], [0], 0, 0
 
     def say(piece):
         if piece:
@@ -74,17 +83,26 @@ def parse(page: str) -> Tree:
             for k in range(len(stack) - 1, 0, -1):
                 open_tag = tree.tag[stack[k]]
                 if open_tag == name:
+                    runs = tree.inline[stack[k]]
                     del stack[k:]
                     break
-                if name in INLINE and open_tag not in INLINE:
+                if name in INLINE and not tree.inline[stack[k]]:
+                    runs = True
                     break
-            if name not in INLINE:
+            else:
+                runs = name in INLINE or name in FLOW or foreign[stack[-1]] > 0
+            if not runs:
                 block += 1
             continue
         if name == "br":
             say(" ")
             continue
-        if name not in INLINE:
+        root, closed = foreign[stack[-1]], found.group(3).rstrip().endswith("/")
+        if root and name in _BREAKS_OUT and tree.tag[stack[-1]] not in _TEXT_INSIDE:
+            del stack[stack.index(root) :]
+            root = foreign[stack[-1]]
+        runs = name in INLINE or name in FLOW or root > 0
+        if not runs:
             block += 1
             # A block ends an open paragraph.
             for k in range(len(stack) - 1, 0, -1):
@@ -92,7 +110,7 @@ def parse(page: str) -> Tree:
                 if open_tag == "p":
                     del stack[k:]
                     break
-                if open_tag not in INLINE:
+                if not tree.inline[stack[k]]:
                     break
             ends, bounds = _ENDS.get(name, ((), ()))
             for k in range(len(stack) - 1, 0, -1) if ends else ():
@@ -101,9 +119,9 @@ def parse(page: str) -> Tree:
                 if tree.tag[stack[k]] in ends:
                     del stack[k:]
                     break
-        if name in VOID:
+        if name in VOID and not root:
             continue
-        if name in RAW:
+        if name in RAW and not (root and (closed or name not in ("script", "style"))):
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
@@ -123,8 +141,18 @@ def parse(page: str) -> Tree:
         tree.tag.append(name)
         tree.words.append(tuple(words))
         tree.label.append(label if label is not None else tree.label[stack[-1]])
-        if not attributes.rstrip().endswith("/") or name in SECTION or name == "p":
-            stack.append(len(tree.tag) - 1)
+        tree.inline.append(runs)
+        element = len(tree.tag) - 1
+        foreign.append(element if name in FOREIGN else 0 if name in _HTML_INSIDE else root)
+        if name == "xmp":
+            # Its text is as written, tags and references included.
+            end = re.compile(r"</xmp\b[^>]*>", re.I).search(page, at)
+            stack.append(element)
+            say(page[at : end.start() if end else len(page)].replace("&", "&amp;"))
+            stack.pop()
+            at, block = end.end() if end else len(page), block + 1
+        elif not closed or not (root or name in FOREIGN) and (name in SECTION or name in FLOW or name == "p"):
+            stack.append(element)
 
 
 class Forest:
@@ -156,7 +184,7 @@ class Forest:
             np.add.at(below, self.parent[level], below[level])
             np.add.at(linked, self.parent[level], linked[level])
         self.own, self.below, self.link_share = own, below, linked / np.maximum(below, 1)
-        self.kind = np.array([0 if x in INLINE else 2 if x in SECTION else 1 for x in self.tags])
+        self.kind = np.array([0 if run else 2 if x in SECTION else 1 for t in trees for run, x in zip(t.inline, t.tag)])
 
     def features(self) -> tuple[np.ndarray, list[str]]:
         """(element, feature) pairs as element numbers and names."""

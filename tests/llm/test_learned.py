@@ -171,6 +171,11 @@ PAGE = """<html><head><title>t</title><style>p{}</style></head><body><nav><ul><l
 <form><p>Sign up</p><input></form></article><section class='comments'><div class='comment'><p>First comment here</p></div></section><footer>&copy; us</footer>"""
 
 
+@pytest.fixture(scope="module")
+def page_model():
+    return html_tree.train()
+
+
 def test_page_text(spark):
     rows = [(1, "u", PAGE, 5), (2, "u", None, 5), (3, "u", "", 5), (4, "u", "just words", 5), (5, "u", "<p", 5), (1, "u", PAGE, 5), (None, None, "<!-- <p>x -->", 5), (6, "u", "<article>" + "<p>long text</p>" * 3000, 5), (7, "u", "<div>" * 3000 + "x", 5)]
     got = html_tree.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()
@@ -181,6 +186,26 @@ def test_page_text(spark):
     assert html_tree.extract_text(spark.createDataFrame([], "html string, text string")).count() == 0
 
 
+@pytest.mark.parametrize(("inside", "want"), [
+    ("<p>Area <math><mi>a</mi><mo>=</mo><mn>2</mn></math> holds</p>", "Area a=2 holds"),
+    ("<p>See <object data=x>a fallback</object> here</p>", "See a fallback here"),
+    ("<noscript><p>Without script</p></noscript>", "Without script"),
+    ("<p>See <iframe src=x>the frame text</iframe> here</p>", "See the frame text here"),
+    ("<p>As <svg><title>A chart</title><text>of steps</text></svg> shows</p>", "As A chartof steps shows"),
+    ("<xmp>if a <b> c &amp; d</xmp>", "if a <b> c &amp; d"),
+    ("<p>One <svg width='4'/> two <math/> three</p>", "One two three"),
+    ("<p>One <svg><title/><style/><path d='x'/></svg> two</p>", "One two"),
+    *((f"<p>One <{tag}> two</p>", "One two") for tag in ("svg", "math", "object", "noscript", "iframe")),
+    ("<p>One</p><xmp>two", "One\ntwo"),
+])
+def test_page_text_of_embedded_elements(page_model, inside, want):
+    closed = not inside.endswith("two")
+    rest = "</article><footer>us</footer>" if closed else ""
+    after = "<p>The last words</p>" if closed else ""
+    page = f"<body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>First words</p>{inside}{after}{rest}"
+    assert page_model.main_texts([page]) == ["\n".join(["Title", "First words", want, *(["The last words"] if closed else [])])]
+
+
 def test_marginals_equal_enumeration():
     forest = html_tree.Forest([html_tree.parse("<div><p>a<b>c</b></p><ul><li>x</ul></div>"), html_tree.parse("")])
     rng = np.random.default_rng(0)
