@@ -126,6 +126,11 @@ def test_lm_beats_its_base_on_other_texts(spark):
     assert got.filter("score > base_score").count() >= 0.8 * got.count() > 0
 
 
+def test_lm_beats_its_base_on_more_texts(spark):
+    got = train_and_score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), queries.fold("doc_id", 7) != 2).filter("not trained")
+    assert got.filter("score > base_score").count() >= 0.9 * got.count() > 0
+
+
 def test_lm_classes_of_words_that_are_not_the_most_frequent(spark):
     # Two families of 1500 words, all of one ending, that take turns.
     rng = random.Random(7)
