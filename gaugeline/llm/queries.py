@@ -121,7 +121,7 @@ def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     model = train(docs, use=fold("id", 3) != 1)
-    judged = identify(docs.select("doc_id", "text"), model)
+    judged = identify(docs, model, keep=["doc_id"])
     return judged.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "lang_share")
 
 
@@ -131,7 +131,7 @@ def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"), use=fold("id", 5) != 0)
-    judged = score(docs.select("doc_id", "text"), model)
+    judged = score(docs, model, keep=["doc_id"])
     return judged.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 

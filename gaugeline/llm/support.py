@@ -10,11 +10,12 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gaugeline.operators.layout import materialize, scratch_root
 
-__all__ = ["BATCH_BYTES", "batches_by_bytes", "materialize", "scratch_root", "ship", "shuffle_parts", "table"]
+__all__ = ["BATCH_BYTES", "batches_by_bytes", "materialize", "numbered", "scratch_root", "ship", "shuffle_parts", "table"]
 
 # Text bytes that a task works on at a time; one longer text makes a batch alone.
 BATCH_BYTES = 8 << 20
@@ -48,6 +49,14 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def numbered(docs: DataFrame, text: str, keep: list[str], *more: Column) -> tuple[DataFrame, str, list[str]]:
+    """The columns ``keep`` and ``text`` under numbers, each once, so that none clashes with
+    those of a task; also the name of the text and the names of what is kept."""
+    names = keep if text in keep else [*keep, text]
+    columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
+    return docs.select(*columns, *more), f"c{names.index(text)}", [f"c{i}" for i in range(len(keep))]
+
+
 def batches_by_bytes(
     batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES
 ) -> Iterator[pa.RecordBatch]:

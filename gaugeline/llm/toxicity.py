@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.llm.bytewords import ALNUM, FOLD, find_words, hash_spans, mix, ranges, text_bytes
-from gaugeline.llm.support import batches_by_bytes, ship
+from gaugeline.llm.support import batches_by_bytes, numbered, ship
 from gaugeline.llm.word_cache import WordCache, cache_of
 
 WINDOW = 16
@@ -159,7 +159,12 @@ def _window_best(scores: np.ndarray, first: np.ndarray, width: int) -> np.ndarra
 def train(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", use: Column | None = None
 ) -> SubwordSoftmax | None:
-    """Fit on a bounded sample of labelled documents for which ``use`` (over ``id``) holds."""
+    """Fit on a bounded sample of labelled documents for which ``use`` (over ``id``) holds.
+
+    Labels other than 0 and 1 and null ids are left out; texts without words give no windows.
+    Labels come in order of a hash of the id, ties by id; repeated rows are drawn repeatedly,
+    up to the bound of the sample. None without labels of both kinds.
+    """
     spark = docs.sparkSession
     ship(spark)
     marks = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label"))
@@ -189,7 +194,9 @@ def train(
 
     # At most MAX_TOXIC + MAX_CLEAN ids, so the sample may be sent to every task.
     joined = docs.select(F.col(doc_id).alias("id"), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
-    sample = joined.select("label", "text").limit(2 * (MAX_TOXIC + MAX_CLEAN)).mapInArrow(cut, "label int, windows array<binary>").collect()
+    # Texts are cut before they are gathered.
+    cuts = joined.select("label", "text").mapInArrow(cut, "label int, windows array<binary>")
+    sample = cuts.limit(2 * (MAX_TOXIC + MAX_CLEAN)).collect()
     sample = sorted(([r["label"], [bytes(w) for w in r["windows"]]] for r in sample if r["windows"]), key=lambda r: (r[0], r[1]))
     target = np.array([r[0] for r in sample])
     if len(set(target.tolist())) < 2:
@@ -204,21 +211,11 @@ def train(
     return model
 
 
-def score(docs: DataFrame, model: SubwordSoftmax | None, text: str = "text") -> DataFrame:
-    """Add ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) to every row.
-
-    Words are runs of letters, digits and non-ASCII characters. A text without words, null
-    or empty included, scores as a window of words that say nothing. Without labels of both
-    kinds every score is 0. Repeated rows score alike; an empty table gives no rows.
-    Columns named like the new ones are replaced.
-    """
-    spark = docs.sparkSession
-    ship(spark)
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
-    new = {"score": F.lit(0.0), "predicted": F.lit(0)}
-    if model is None:
-        return docs.select(*names).withColumns(new)
-    sent = spark.sparkContext.broadcast(model)
+def _judged(docs: DataFrame, model: SubwordSoftmax, text: str, keep: list[str], new: dict[str, Column], clean: bool) -> DataFrame:
+    """Each column goes to Python once and under a name of its own; with ``clean`` toxic rows do not come back."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    asked, body, kept = numbered(docs, text, keep)
+    schema = asked.select(*kept).withColumns(new).schema
 
     def judge(batches):
         judge_model = sent.value
@@ -227,15 +224,39 @@ def score(docs: DataFrame, model: SubwordSoftmax | None, text: str = "text") ->
             return judge_model.word_scores(*subwords(data, starts, ends))[:, None]
 
         cache = cache_of(f"toxicity:{judge_model.name}", lambda: WordCache(1, of_words))
-        for batch in batches_by_bytes(batches, "_text"):
-            data, at = text_bytes(batch.column("_text"))
+        for batch in batches_by_bytes(batches, body):
+            data, at = text_bytes(batch.column(body))
             data = FOLD[data]
             words = find_words(data, at, ALNUM)
             scores = cache(data, words.starts, words.ends)[:, 0]
             logit = _window_best(scores, words.first, WINDOW) + judge_model.margin()
             p = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"]
-            )
+            columns = [batch.column(c) for c in kept]
+            if clean:
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(pa.array(p < 0.5))
+            else:
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=schema.names)
+
+    return asked.mapInArrow(judge, schema).toDF(*keep, *new)
+
+
+def score(docs: DataFrame, model: SubwordSoftmax | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Add ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) to every row, or to the columns ``keep``.
+
+    Words are runs of letters, digits and non-ASCII characters. A text without words, null
+    or empty included, scores as a window of words that say nothing. Without labels of both
+    kinds every score is 0. Repeated rows score alike; an empty table gives no rows.
+    Columns named like the new ones are replaced.
+    """
+    ship(docs.sparkSession)
+    new = {"score": F.lit(0.0), "predicted": F.lit(0)}
+    names = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    if model is None:
+        return docs.select(*names).withColumns(new)
+    return _judged(docs, model, text, names, new, False)
+
 
-    return docs.select(*names, F.coalesce(text, F.lit("")).alias("_text")).mapInArrow(judge, docs.select(*names).withColumns(new).schema)
+def without_toxic(docs: DataFrame, model: SubwordSoftmax | None, text: str = "text") -> DataFrame:
+    """The rows that ``score`` does not predict toxic, all columns as they are."""
+    ship(docs.sparkSession)
+    return docs if model is None else _judged(docs, model, text, docs.columns, {}, True)

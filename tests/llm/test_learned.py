@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gaugeline.llm import class_lm, html_tree, language, packing, queries, toxicity
-from gaugeline.llm.class_lm import exchange, train_and_score
+from gaugeline.llm.class_lm import train_and_score
 
 sys.path.insert(0, str(Path(__file__).parent))
 
@@ -55,6 +55,66 @@ def test_language_gradients():
         assert abs((high - low) / 2e-2 - grad[at]) < 2e-3 + 0.05 * abs(grad[at])
 
 
+def test_language_windows_equal_a_plain_forward_pass(monkeypatch):
+    monkeypatch.setattr(language, "CORE", 20)
+    monkeypatch.setattr(language, "CONTEXT", 7)
+    monkeypatch.setattr(language, "CELLS", 1 << 11)
+    model = language.ByteTagger(["a", "b", "c"], hidden=4, embedding=3)
+    for p in model.parameters():
+        p[...] = np.random.default_rng(p.size).normal(0, 0.5, p.shape)
+    texts = ["", "a", "kurz!", "z" * 20, "Grüße, 12 Wörter — und mehr. " * 9, "日本語の文章です。" * 12, " \t", "x" * 41]
+    raw = [t.encode() for t in texts]
+    at = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    data = language.FOLD[np.frombuffer(b"".join(raw), np.uint8)]
+    starts, ends, text = language.windows_of(data, at, 20)
+    # Windows cover every byte once and begin with characters.
+    assert sorted(b for s, e in zip(starts, ends) for b in range(s, e)) == list(range(len(data)))
+    assert all(data[s] & 0xC0 != 0x80 for s in starts) and (ends - starts).max() <= 23
+
+    def sigmoid(x):
+        return 1 / (1 + np.exp(-x))
+
+    def read(d, codes):
+        n, h, states = len(d.h), np.zeros(len(d.h)), []
+        for b in codes:
+            x, u = model.embedding[b] @ d.x + d.b, h @ d.h
+            z, r = sigmoid(x[:n] + u[:n]), sigmoid(x[n : 2 * n] + u[n : 2 * n])
+            c = np.tanh(x[2 * n :] + r * u[2 * n :])
+            h = z * h + (1 - z) * c
+            states.append(h)
+        return states
+
+    sums, votes = np.zeros((len(raw), 3)), np.zeros((len(raw), 3))
+    for s, e, t in zip(starts, ends, text):
+        first, last = max(s - 7, at[t]), min(e + 7, at[t + 1])
+        ahead, behind = read(model.forward, data[first:last]), read(model.backward, data[first:last][::-1])[::-1]
+        for k in range(s, e):
+            if language.LETTERS[data[k]]:
+                logits = np.concatenate([ahead[k - first], behind[k - first]]) @ model.out + model.bias
+                p = np.exp(logits) / np.exp(logits).sum()
+                sums[t] += p
+                votes[t, p.argmax()] += 1
+    got_sums, got_votes = model.label_windows(data, at)
+    assert np.allclose(got_sums, sums, rtol=1e-4, atol=1e-4) and (got_votes == votes).all()
+    # The pass that training uses gives the same probabilities.
+    p = model.probabilities(np.array([list(data[at[2] : at[2] + 4])]))[:, 0].sum(axis=0)
+    assert np.allclose(p, model.label_windows(data[at[2] : at[2] + 4], np.array([0, 4]))[0], atol=1e-4)
+
+
+def test_language_knows_rare_labels_and_keeps_clashing_columns(spark):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    many = [(k, " ".join(rng.choice(letters) * 3 for _ in range(4)), f"l{k}", "x", 1) for k in range(270)]
+    model = language.train(spark.createDataFrame(many, SCHEMA).withColumn("id", F.lit("clash")))
+    assert len(model.labels) == 270
+    docs = spark.createDataFrame([(1, "lomi tata", "aa", -7.0, "mine"), (2, None, "aa", -7.0, "mine")], "doc_id long, text string, letters string, c1 double, lang_pred string")
+    small = language.ByteTagger(["aa", "zz"])
+    assert language.identify(docs, small).columns == ["doc_id", "text", "letters", "c1", "lang_pred", "score", "lang_share"]
+    kept = language.with_language(docs, small, 0.0).collect()
+    assert [tuple(r) for r in kept] == [(1, "lomi tata", "aa", -7.0, "mine")]
+    assert toxicity.without_toxic(docs, None).columns == docs.columns
+
+
 def test_language_is_learnt_and_odd_texts_are_undetermined(spark):
     data = sentences(1, 160)
     odd = [(900, None, "aa", "x", 1), (901, "", "aa", "x", 1), (902, "123 --- !!", None, "x", 1), (903, "zögxü" * 4000, None, "x", 1), (None, "lomi tata", None, "x", 1)]
@@ -150,25 +210,94 @@ def test_lm_classes_of_words_that_are_not_the_most_frequent(spark):
     assert got > -math.log10(1900)
 
 
-def test_lm_without_training_or_rows(spark):
-    assert train_and_score(spark.createDataFrame([], SCHEMA), F.lit(True)).count() == 0
-    row = train_and_score(spark.createDataFrame(sentences(1, 1), SCHEMA), F.lit(False)).first()
-    assert row["train_tokens"] == row["n_known"] == 0 and row["base_score"] == 0 and row["score"] < 0
+def brute_bigrams(data):
+    pairs = collections.Counter()
+    for t in data:
+        before = None
+        for w in [*re.findall(r"[^\x20\x09-\x0D]+", t.translate(LOWER)), None]:
+            pairs[before, w] += 1
+            before = w
+    return pairs
 
 
-def test_exchange_ends_where_no_move_gains():
-    table = np.random.default_rng(1).poisson(2, (12, 12)).astype(float)
+def test_lm_bigrams_of_split_units_equal_brute_force(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(("the", "the", f"w{rng.randrange(40)}")) for _ in range(rng.randrange(60))) for _ in range(200)]
+    docs = spark.createDataFrame([(k, t, "aa", "x", 1) for k, t in enumerate(texts)], SCHEMA).repartition(5)
+    shards = class_lm._shards(docs, F.lit(True), "doc_id", "text")
+    want = brute_bigrams(texts)
+    words = sorted({w for pair in want for w in pair if w})
+    ends = np.cumsum([len(w) for w in words])
+    hashes = class_lm.hash_spans(np.frombuffer("".join(words).encode(), np.uint8), ends - [len(w) for w in words], ends)
+    core = np.sort(hashes)
+    number = {w: int(np.searchsorted(core, h)) for w, h in zip(words, hashes)}
+    n = len(core) + class_lm.ENDINGS + 1
+    number[None] = n - 1
+    tokens = np.zeros(n)
+    for (_, w), c in want.items():
+        tokens[number[w]] += c
+    spread = class_lm.unit_spread(tokens, 1 << class_lm.range_bits(spark))
+    assert spread[number["the"]] > 20 and spread.sum() <= n + 2 * (1 << class_lm.range_bits(spark))
+    laid = class_lm._unit_bigrams(shards.filter("part IS NULL"), core, spread)
+    got = [collections.Counter(), collections.Counter()]
+    ranges = collections.Counter()
+    for row in laid.collect():
+        for side, (keys, counts) in enumerate((("right", "right_n"), ("left", "left_n"))):
+            found = class_lm._unpack(row[keys], True)
+            for key, c in zip(found.tolist(), class_lm._unpack(row[counts]).tolist()):
+                pair = divmod(key, n)
+                got[side][pair if side == 0 else pair[::-1]] += c
+            ranges.update(set((found // n).tolist()) if side == 0 else ())
+    numbered = {(number[a], number[b]): c for (a, b), c in want.items()}
+    assert got[0] == got[1] == numbered
+    assert ranges[number["the"]] > 10 and all(ranges[u] <= 1 for u in range(n) if spread[u] == 1)
+    # Moves see a split unit whole: the same classes as without splitting.
+    of = np.arange(n) % 6
+    of[-1] = 6
+    table = class_lm._class_table(laid, of, 7)
+    whole = class_lm._unit_bigrams(shards.filter("part IS NULL"), core, np.ones(n, np.int32))
+    assert (class_lm._class_table(whole, of, 7) == table).all() and table.sum() == sum(want.values())
+    for turn in (None, 0, 1):
+        start = np.where(np.arange(n) % 3 == 0, -1, of) if turn is None else of
+        assert (class_lm._moves(laid, start, table, spread, turn) == class_lm._moves(whole, start, table, np.ones(n, np.int32), turn)).all()
+
+
+def test_lm_scores_equal_a_plain_sum(spark):
+    data = sentences(9, 90) + [(800, None, "aa", "x", 1), (801, "never seen wörds", "aa", "x", 1), (802, "lo " * 3000, "aa", "x", 1)]
+    docs = spark.createDataFrame(data, SCHEMA).repartition(3)
+    train = queries.fold("doc_id", 7) != 2
+    shards = class_lm._shards(docs, train, "doc_id", "text")
+    model = class_lm.learn(shards.filter("part IS NULL"), class_lm._corpus_counts(shards))
+    count = collections.Counter()
+    for i, t, *_ in data:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            count.update([*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)), None])
+
+    def unit(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        tail = min(3, len(raw))
+        ending = class_lm.mix(class_lm.hash_spans(raw, np.array([len(raw) - tail]), np.array([len(raw)]))) % np.uint64(class_lm.ENDINGS)
+        return int(class_lm.units_of(model.core, model.core_unit, class_lm.hash_spans(raw, np.array([0]), np.array([len(raw)])), ending)[0])
+
+    def plain(text):
+        total, before = 0.0, model.unit_class[-1]
+        for w in [*re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER)), None]:
+            c = model.unit_class[-1 if w is None else unit(w)]
+            mass = count[w] - model.discount if count[w] else model.discount * model.class_types[c] + 1
+            total += model.transition[before, c] + math.log10(mass / (model.class_tokens[c] + 1))
+            before = c
+        return total
+
+    got = {r["doc_id"]: r["score"] for r in train_and_score(docs, train).collect()}
+    assert len(got) == len(data)
+    for i, t, *_ in data:
+        assert got[i] == pytest.approx(plain(t), rel=1e-9)
 
-    def likelihood(of):
-        member = np.eye(4)[of]
-        classes = member.T @ table @ member
-        return sum((x * np.log(np.maximum(x, 1e-12))).sum() * sign for x, sign in ((classes, 1), (classes.sum(axis=0), -1), (classes.sum(axis=1), -1)))
 
-    start, end = exchange(table, classes=4, sweeps=0), exchange(table, classes=4, sweeps=50)
-    assert likelihood(end) > likelihood(start) and end[11] == 3 and 3 not in end[:11]
-    for unit in range(11):
-        for c in range(3):
-            assert likelihood(np.where(np.arange(12) == unit, c, end)) <= likelihood(end) + 1e-6
+def test_lm_without_training_or_rows(spark):
+    assert train_and_score(spark.createDataFrame([], SCHEMA), F.lit(True)).count() == 0
+    row = train_and_score(spark.createDataFrame(sentences(1, 1), SCHEMA), F.lit(False)).first()
+    assert row["train_tokens"] == row["n_known"] == 0 and row["base_score"] == 0 and row["score"] < 0
 
 
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav><header><h1>Site name</h1></header>
