@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gaugeline.llm import decontamination, jaccard_join, language, packing, toxicity
 from gaugeline.llm.queries import fold
@@ -26,13 +25,11 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = language.identify(docs, language.train(docs, use=fold("id", 3) != 1))
-    return judged.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    return language.with_language(docs, language.train(docs, use=fold("id", 3) != 1), LEAST_LANGUAGE)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"), use=fold("id", 5) != 0)
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    return toxicity.without_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), use=fold("id", 5) != 0))
 
 
 def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
