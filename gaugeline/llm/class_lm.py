@@ -35,13 +35,14 @@ SUPPORT = 5
 ENDINGS = 512
 # At least so many classes.
 CLASSES = 48
-SWEEPS = 6
 # Half of the units may move in a round.
 ROUNDS = 8
+# Pairs that a task adds up before it sends them.
+PAIRS = 2 << 20
 # Cells of units by classes that a task works on at a time.
 CELLS = 1 << 20
 SHARD_BYTES = 8 << 20
-_SHARD = "shard string, doc_ids binary, null_ids binary, trains binary, counts binary, codes binary, hashes binary, endings binary, part int, words binary, trained binary"
+_SHARD = "shard string, doc_ids binary, null_ids binary, trains binary, counts binary, codes binary, hashes binary, endings binary, part int, words binary, trained binary, ends long"
 
 
 def _pack(numbers: np.ndarray, rising: bool = False) -> bytes:
@@ -92,11 +93,11 @@ def _shards(docs: DataFrame, train: Column, doc_id: str, text: str) -> DataFrame
                 ids.fill_null(0).to_numpy().astype(np.int64), np.array(ids.is_null().to_numpy(zero_copy_only=False), np.uint8), train.astype(np.uint8),
                 words.counts().astype(np.int64),
             ]
-            rows = [[shard, *(a.tobytes() for a in whole), _pack(codes), _pack(distinct, True), endings.tobytes(), None, None, None]]
+            rows = [[shard, *(a.tobytes() for a in whole), _pack(codes), _pack(distinct, True), endings.tobytes(), None, None, None, int(train.sum())]]
             cuts = np.searchsorted(distinct >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
             for part in np.flatnonzero(np.diff(cuts)).tolist():
                 own = slice(cuts[part], cuts[part + 1])
-                rows.append([shard, *[None] * 7, part, np.rec.fromarrays([distinct[own], endings[own]]).tobytes(), trained[own].tobytes()])
+                rows.append([shard, *[None] * 7, part, np.rec.fromarrays([distinct[own], endings[own]]).tobytes(), trained[own].tobytes(), None])
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _arrow(_SHARD))], names=names)
 
     return materialize(only.mapInArrow(split, _SHARD), "lm-shards")
@@ -175,62 +176,6 @@ def units_of(core: np.ndarray, core_unit: np.ndarray, hashes: np.ndarray, ending
     return unit
 
 
-def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """Class of each unit, the last unit (the end of a text) alone in the last class.
-
-    Units move one by one to the class that gives the largest sum of n log n over class
-    bigrams less twice that over class counts, until no unit moves.
-    """
-    n = len(bigrams)
-    weight = bigrams.sum(axis=0) + bigrams.sum(axis=1)
-    of = np.empty(n, np.int64)
-    of[np.argsort(-weight, kind="stable")] = np.arange(n) % (classes - 1)
-    of[-1] = classes - 1
-    member = np.zeros((n, classes))
-    member[np.arange(n), of] = 1
-    table = member.T @ bigrams @ member
-    right, left = bigrams @ member, bigrams.T @ member  # of each unit: counts of the class behind and before
-
-    def h(x):
-        return x * np.log(np.maximum(x, 1e-12))
-
-    for _ in range(sweeps):
-        moved = 0
-        for u in np.argsort(-weight[:-1], kind="stable"):
-            if not weight[u]:
-                continue
-            old, own, r, l = of[u], bigrams[u, u], right[u].copy(), left[u].copy()
-            # Without the unit; its bigrams with itself are kept apart.
-            r[old] -= own
-            l[old] -= own
-            table[old, :] -= r
-            table[:, old] -= l
-            table[old, old] -= own
-            starts, ends = table.sum(axis=1), table.sum(axis=0)
-            rows, cols = table + r[None, :], table + l[:, None]
-            gain = (h(rows) - h(table)).sum(axis=1) + (h(cols) - h(table)).sum(axis=0)
-            d = np.arange(classes)
-            gain += h(table[d, d] + r + l + own) - h(table[d, d] + r) - h(table[d, d] + l) + h(table[d, d])
-            gain -= h(starts + r.sum() + own) - h(starts) + h(ends + l.sum() + own) - h(ends)
-            gain[-1] = -np.inf
-            new = int(gain.argmax())
-            if gain[new] <= gain[old] + 1e-9:
-                new = old
-            table[new, :] += r
-            table[:, new] += l
-            table[new, new] += own
-            if new != old:
-                moved += 1
-                of[u] = new
-                right[:, old] -= bigrams[:, u]
-                right[:, new] += bigrams[:, u]
-                left[:, old] -= bigrams[u]
-                left[:, new] += bigrams[u]
-        if not moved:
-            break
-    return of
-
-
 def _arrays(batch: pa.RecordBatch, k: int, **kinds):
     """Arrays of a row: of a type, or packed (``False``), or packed as rising numbers (``True``)."""
     values = ((batch.column(name)[k].as_py(), kind) for name, kind in kinds.items())
@@ -246,6 +191,7 @@ def _steps(counts: np.ndarray, units: np.ndarray, end: int) -> tuple[np.ndarray,
 _PAIRS = "part int, side int, keys binary, n binary"
 _NEIGHBOURS = "part int, right binary, right_n binary, left binary, left_n binary"
 _TABLE = "cells binary, n binary"
+_MOVES = "units binary, best binary, right binary, left binary"
 
 
 def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,18 +217,41 @@ def _records(schema: str, rows: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)], names=[f.name for f in fields])
 
 
-def _unit_bigrams(documents: DataFrame, core: np.ndarray) -> DataFrame:
-    """Written bigram counts of all units, by hash range of the unit whose neighbours they are.
+def unit_spread(unit_tokens: np.ndarray, ranges: int) -> np.ndarray:
+    """Over how many ranges the neighbours of each unit are dealt, by its share of all tokens.
+
+    A unit with more tokens than a range has on average is split, so that no range depends
+    on how frequent a word is; all units together make at most twice as many shares as there
+    are ranges besides one share for each unit.
+    """
+    return np.maximum(1, np.ceil(unit_tokens * (ranges / max(1.0, float(unit_tokens.sum()))))).astype(np.int32)
+
+
+def _unit_bigrams(documents: DataFrame, core: np.ndarray, spread: np.ndarray) -> DataFrame:
+    """Written bigram counts of all units, by range of the unit whose neighbours they are.
 
-    Pairs are added up by pair first, so a unit found everywhere comes with each neighbour
-    once, not once for each shard.
+    A task adds up the pairs of its shards, then sends each twice: to a range of the unit
+    before and to one of the unit behind. A range holds all neighbours of its units, or the
+    share that a hash of the neighbour gives it for units with a ``spread`` above one.
     """
     spark = documents.sparkSession
     n_units, bits = len(core) + ENDINGS + 1, range_bits(spark)
-    sent = spark.sparkContext.broadcast(core)
+    sent = spark.sparkContext.broadcast((core, spread))
+
+    def dealt(keys, n):
+        of = sent.value[1]
+        rows = []
+        for side in (0, 1):
+            unit, other = keys // n_units, keys % n_units
+            share = mix(other.astype(np.uint64)).astype(np.int64) & 0x7FFFFFFF
+            rows += [[part, side, _pack(a, True), _pack(c)] for part, a, c in _dealt(unit + n_units * (share % of[unit]), bits, keys, n)]
+            keys = other * n_units + unit
+            order = np.argsort(keys)
+            keys, n = keys[order], n[order]
+        return _records(_PAIRS, rows)
 
     def pairs(batches):
-        core = sent.value
+        core, held, size = sent.value[0], [], 0
         for batch in batches:
             for k in range(batch.num_rows):
                 trains, n, codes, hashes, endings = _arrays(batch, k, trains=np.uint8, counts=np.int64, codes=False, hashes=True, endings=np.uint16)
@@ -291,17 +260,13 @@ def _unit_bigrams(documents: DataFrame, core: np.ndarray) -> DataFrame:
                 stream, _ = _steps(n[use], unit[np.repeat(use, n)], n_units - 1)
                 if not len(stream):
                     continue
-                keys, n = np.unique(np.concatenate([[n_units - 1], stream[:-1]]) * n_units + stream, return_counts=True)
-                yield _records(_PAIRS, [[part, 0, _pack(a, True), _pack(c)] for part, a, c in _dealt(keys, bits, keys, n)])
-
-    def add(key, table):
-        keys, n = _sums(*(np.concatenate([_unpack(x.as_py(), c == "keys") for x in table.column(c)]) for c in ("keys", "n")))
-        before, behind = keys // n_units, keys % n_units
-        rows = [[part, 0, _pack(a, True), _pack(c)] for part, a, c in _dealt(before, bits, keys, n)]
-        order = np.lexsort((before, behind))
-        before, behind, n = before[order], behind[order], n[order]
-        rows += [[part, 1, _pack(a, True), _pack(c)] for part, a, c in _dealt(behind, bits, behind * n_units + before, n)]
-        return pa.Table.from_batches([_records(_PAIRS, rows)])
+                held.append(np.unique(np.concatenate([[n_units - 1], stream[:-1]]) * n_units + stream, return_counts=True))
+                size += len(held[-1][0])
+                if size >= PAIRS:
+                    yield dealt(*_sums(*(np.concatenate(x) for x in zip(*held))))
+                    held, size = [], 0
+        if held:
+            yield dealt(*_sums(*(np.concatenate(x) for x in zip(*held))))
 
     def lay(key, table):
         side, row = table.column("side").to_numpy(), [key[0].as_py()]
@@ -312,8 +277,10 @@ def _unit_bigrams(documents: DataFrame, core: np.ndarray) -> DataFrame:
             row += [_pack(keys, True), _pack(n)]
         return pa.Table.from_batches([_records(_NEIGHBOURS, [row])])
 
-    added = documents.select("trains", "counts", "codes", "hashes", "endings").mapInArrow(pairs, _PAIRS).groupBy("part").applyInArrow(add, _PAIRS)
-    return materialize(added.groupBy("part").applyInArrow(lay, _NEIGHBOURS), "lm-neighbours")
+    sides = documents.select("trains", "counts", "codes", "hashes", "endings").mapInArrow(pairs, _PAIRS)
+    # Packed rows look small; a fixed number of files lets every core read in each round.
+    laid = sides.repartition(shuffle_parts(spark), "part").groupBy("part").applyInArrow(lay, _NEIGHBOURS)
+    return materialize(laid, "lm-neighbours")
 
 
 def _class_table(neighbours: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
@@ -341,10 +308,12 @@ def _class_table(neighbours: DataFrame, of: np.ndarray, classes: int) -> np.ndar
         cells = np.flatnonzero(total)
         yield _records(_TABLE, [[cells.tobytes(), total[cells].tobytes()]])
 
-    # Tables of the tasks are added up in a few tasks and then here.
+    # Tables of the tasks are added up in a few tasks, then in one; one table comes here.
+    added = neighbours.select("right", "right_n").mapInArrow(count, _TABLE).repartition(8).mapInArrow(add, _TABLE)
+    row = added.coalesce(1).mapInArrow(add, _TABLE).first()
     table = np.zeros(classes**2, np.int64)
-    for row in neighbours.select("right", "right_n").mapInArrow(count, _TABLE).repartition(4).mapInArrow(add, _TABLE).collect():
-        table[np.frombuffer(row["cells"], np.int64)] += np.frombuffer(row["n"], np.int64)
+    if row is not None:
+        table[np.frombuffer(row["cells"], np.int64)] = np.frombuffer(row["n"], np.int64)
     sent.destroy()
     return table.reshape(classes, classes)
 
@@ -377,12 +346,16 @@ def best_classes(right: np.ndarray, left: np.ndarray, own: np.ndarray, table: np
     return score.argmax(axis=1)
 
 
-def _moves(neighbours: DataFrame, of: np.ndarray, table: np.ndarray, turn: int | None) -> np.ndarray:
-    """Classes after every unit of a half (or each unit without a class) went to its best one."""
-    sent, n_units, classes = neighbours.sparkSession.sparkContext.broadcast((of, table.astype(float))), len(of), len(table)
+def _moves(neighbours: DataFrame, of: np.ndarray, table: np.ndarray, spread: np.ndarray, turn: int | None) -> np.ndarray:
+    """Classes after every unit of a half (or each unit without a class) went to its best one.
+
+    A task finds the best class of a unit that lies whole in its range. The shares of a split
+    unit are added up here: at most twice as many rows of classes as there are ranges.
+    """
+    sent, n_units, classes = neighbours.sparkSession.sparkContext.broadcast((of, table.astype(float), spread > 1)), len(of), len(table)
 
     def move(batches):
-        of, table = sent.value
+        of, table, split = sent.value
         for batch in batches:
             for k in range(batch.num_rows):
                 right, right_n, left, left_n = _arrays(batch, k, right=True, right_n=False, left=True, left_n=False)
@@ -390,34 +363,47 @@ def _moves(neighbours: DataFrame, of: np.ndarray, table: np.ndarray, turn: int |
                 units = np.union1d(sides[0][0], sides[1][0])
                 free = of[units] < 0 if turn is None else mix(units.astype(np.uint64) + np.uint64(turn >> 1)) % np.uint64(2) == turn % 2
                 units = units[free & (units != n_units - 1)]
-                step, out = max(1, CELLS // classes), []
-                for at in range(0, len(units), step):
-                    some, counts = units[at : at + step], []
-                    for unit, of_other, n in sides:
-                        place = np.minimum(np.searchsorted(some, unit), len(some) - 1)
-                        use = (some[place] == unit) & (of_other >= 0)
-                        counts.append(np.bincount(place[use] * classes + of_other[use], n[use], len(some) * classes).reshape(-1, classes))
-                    out.append(best_classes(*counts, of[some], table))
-                if out:
-                    yield _records(_TABLE, [[units.tobytes(), np.concatenate(out).astype(np.int64).tobytes()]])
-
-    new = of.copy()
-    for row in neighbours.drop("part").mapInArrow(move, _TABLE).toLocalIterator():
-        new[np.frombuffer(row["cells"], np.int64)] = np.frombuffer(row["n"], np.int64)
+                step = max(1, CELLS // classes)
+                for parts, own in ((False, units[~split[units]]), (True, units[split[units]])):
+                    for at in range(0, len(own), step):
+                        some, counts = own[at : at + step], []
+                        for unit, of_other, n in sides:
+                            place = np.minimum(np.searchsorted(some, unit), len(some) - 1)
+                            use = (some[place] == unit) & (of_other >= 0)
+                            counts.append(np.bincount(place[use] * classes + of_other[use], n[use], len(some) * classes).reshape(-1, classes))
+                        if parts:
+                            yield _records(_MOVES, [[some.tobytes(), None, *(_pack(c.ravel()) for c in counts)]])
+                        else:
+                            best = best_classes(*counts, of[some], table).astype(np.int64)
+                            yield _records(_MOVES, [[some.tobytes(), best.tobytes(), None, None]])
+
+    new, shares = of.copy(), {}
+    for row in neighbours.drop("part").mapInArrow(move, _MOVES).collect():
+        units = np.frombuffer(row["units"], np.int64)
+        if row["best"] is not None:
+            new[units] = np.frombuffer(row["best"], np.int64)
+            continue
+        both = np.stack([_unpack(row[c]).reshape(len(units), classes) for c in ("right", "left")], axis=1)
+        for u, counts in zip(units.tolist(), both):
+            shares[u] = shares[u] + counts if u in shares else counts
+    if shares:
+        units = np.array(sorted(shares))
+        right, left = np.stack([shares[u] for u in units.tolist()], axis=1).astype(float)
+        new[units] = best_classes(right, left, of[units], table.astype(float))
     sent.destroy()
     return new
 
 
-def cluster(neighbours: DataFrame, weight: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+def cluster(neighbours: DataFrame, weight: np.ndarray, spread: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
     """Class of each unit, the last unit (the end of a text) alone in the last class; and the class bigrams."""
     of = np.full(len(weight), -1, np.int64)
     seeds = np.argsort(-weight[:-1], kind="stable")[: classes - 1]
     of[seeds], of[-1] = np.arange(len(seeds)), classes - 1
-    of = _moves(neighbours, of, _class_table(neighbours, of, classes), None)
+    of = _moves(neighbours, of, _class_table(neighbours, of, classes), spread, None)
     table = _class_table(neighbours, of, classes)
     idle = 0
     for turn in range(ROUNDS):
-        new = _moves(neighbours, of, table, turn)
+        new = _moves(neighbours, of, table, spread, turn)
         changed = _class_table(neighbours, new, classes) if (new != of).any() else table
         if _likelihood(changed) > _likelihood(table):
             of, table, idle = new, changed, 0
@@ -433,15 +419,14 @@ def learn(documents: DataFrame, counts: DataFrame) -> ClassModel:
     core, core_n, core_endings, tokens, types = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, 0
     ending_counts = np.zeros((4, ENDINGS), np.int64)
     # One row for each of the hash ranges, in their order, so that all words are in hash order.
-    for row in counts.filter("top IS NOT NULL").select("part", "top", "top_n", "top_endings", "seen", "tokens", "ending_counts").orderBy("part").toLocalIterator():
+    for row in counts.filter("top IS NOT NULL").select("part", "top", "top_n", "top_endings", "seen", "tokens", "ending_counts").orderBy("part").collect():
         core.append(np.frombuffer(row["top"], np.uint64))
         core_n.append(np.frombuffer(row["top_n"], np.int64))
         core_endings.append(np.frombuffer(row["top_endings"], np.uint16).astype(np.int64))
         tokens, types = tokens + row["tokens"], types + row["seen"]
         ending_counts += np.frombuffer(row["ending_counts"], np.int64).reshape(4, ENDINGS)
     core, core_n, core_endings = np.concatenate(core), np.concatenate(core_n), np.concatenate(core_endings)
-    neighbours = _unit_bigrams(documents, core)
-    ends = sum(sum(np.frombuffer(r["trains"], np.uint8).tolist()) for r in documents.select("trains").toLocalIterator())
+    ends = documents.agg(F.sum("ends")).first()[0] or 0
     # Per class: tokens, and the mass its seen words leave to unseen ones.
     rest_tokens, rest_types, once, twice = ending_counts.astype(float)
     rest_tokens = rest_tokens - np.bincount(core_endings, core_n, ENDINGS)
@@ -449,7 +434,8 @@ def learn(documents: DataFrame, counts: DataFrame) -> ClassModel:
     unit_tokens = np.concatenate([core_n, rest_tokens, [ends]])
     unit_types = np.concatenate([np.ones(len(core_n)), rest_types, [float(ends > 0)]])
     classes = max(CLASSES, int(len(core) ** 0.5))
-    of, table = cluster(neighbours, unit_tokens, classes)
+    spread = unit_spread(unit_tokens, 1 << range_bits(documents.sparkSession))
+    of, table = cluster(_unit_bigrams(documents, core, spread), unit_tokens, spread, classes)
     class_n, kinds = table.sum(axis=0), (table > 0).sum(axis=1)
     lower = (class_n + 1) / (class_n.sum() + classes)
     before = table.sum(axis=1)

@@ -19,17 +19,22 @@ __all__ = ["BATCH_BYTES", "batches_by_bytes", "materialize", "numbered", "scratc
 
 # Text bytes that a task works on at a time; one longer text makes a batch alone.
 BATCH_BYTES = 8 << 20
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per session.
 
     Workers import it by name, so that what they keep between tasks (tokenizers and
-    their caches) lives in one module per worker.
+    their caches) lives in one module per worker. Arrow batches of the session are bounded
+    like those of the operators, unless its configuration says otherwise: a batch is held
+    several times, in the JVM, on the way and in the worker.
     """
     context = spark.sparkContext
     if getattr(context, "_gaugeline_llm", False):
         return
+    if not context.getConf().contains(ARROW_BYTES):
+        spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
     package = Path(__file__).resolve().parents[1]
     bundle = os.path.join(tempfile.mkdtemp(prefix="gaugeline-code-"), "gaugeline_llm.zip")
     with zipfile.ZipFile(bundle, "w") as out:
