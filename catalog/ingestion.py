@@ -17,7 +17,7 @@ from gaugeline.operators.resolve import (
     resolve_context, resolve_machine, resolve_operation, resolve_parameter, resolve_product,
 )
 from gaugeline.operators.statistics import upload_counts
-from gaugeline.plans.ingest import CARRIED, clean
+from gaugeline.plans.ingest import CARRIED, UploadContext, clean, process_uploads, read_ledger
 from gaugeline.plans.ledger import status_history, upload_state
 from gaugeline.schema import SILVER_READ
 from gaugeline.sources.csv import apply_mapping, gate_reason, number_source_rows, read_csv
@@ -416,20 +416,39 @@ def appended(spark, sf_dir):
     f"""
 WITH {EVENT_DIMENSIONS}
 SELECT upload_id, CAST(count(*) AS BIGINT) AS total_rows, CAST(count(*) FILTER (final_status = 'VALID') AS BIGINT) AS valid_rows,
-       CAST(count(*) FILTER (final_status <> 'VALID') AS BIGINT) AS invalid_rows FROM e GROUP BY upload_id
+       CAST(count(*) FILTER (final_status <> 'VALID') AS BIGINT) AS invalid_rows, NULL AS failure, 'SILVER_COMPLETED' AS status,
+       CASE WHEN upload_id = 'U3' THEN 'CURRENT' ELSE 'HISTORICAL' END AS upload_type, CAST(7 AS BIGINT) AS transitions,
+       CAST(9 AS BIGINT) AS events, CAST(count(*) AS BIGINT) AS stored_rows, 0 AS line_ids FROM e GROUP BY upload_id
+UNION ALL SELECT 'UX', 0, 0, 0, 'UNSUPPORTED_TYPE', 'NONE', 'NONE', 0, 0, 0, 0
 """,
 )
 def ingest(spark, sf_dir):
-    # A batch of client files: text in CSV, read back, numbered, stored in bronze and silver.
-    path = write_csv(uploaded(spark, sf_dir).drop("source_file_name"), folder(spark, "landing"))
-    scanned = read_csv(spark, path).withColumns(
-        {"source_row_number": F.col("source_row_number").cast("long"),
-         "plant_id": F.col("plant_id"), "production_line_id": F.lit(None).cast("string")}
-    ).drop("_block", "source_file_path")
-    append_bronze(bronze_rows(scanned, SOURCE, MAPPING), folder(spark, "bronze"))
-    stored = folder(spark, "silver")
-    append_silver(clean(scanned, MAPPING, event_dimensions(spark, sf_dir)), stored)
-    return upload_counts(read_silver(spark, stored))
+    # Client files of four uploads, their rows in file order, and a file of another kind.
+    landing = folder(spark, "landing")
+    rows = raw_rows(spark, sf_dir).withColumn("_at", F.col("source_row_number")).drop("source_row_number")
+    rows = rows.repartitionByRange("_at").sortWithinPartitions("upload_id", "_at").select("upload_id", *SOURCE)
+    rows.write.option("header", True).option("escape", '"').partitionBy("upload_id").csv(landing)
+    text_file = f"{landing}/other"
+    table(spark, sf_dir, "region").select(F.col("r_name").alias("value")).write.text(text_file)
+    uploads = [
+        (f"{landing}/upload_id=U{i}", UploadContext(f"U{i}", "CURRENT" if i == 3 else "HISTORICAL", "R1", "N1", " " if i % 2 else ""))
+        for i in range(4)
+    ]
+    uploads.append((text_file, UploadContext("UX", "CURRENT", "R1", "N1")))
+    bronze_path, silver_path, ledger_path = (folder(spark, n) for n in ("bronze", "silver", "ledger"))
+    loaded = process_uploads(spark, uploads, MAPPING, event_dimensions(spark, sf_dir), bronze_path, silver_path, ledger_path)
+    events = read_ledger(spark, ledger_path)
+    state = upload_state(events).select("upload_id", "status", "upload_type", "transitions")
+    held = events.groupBy("upload_id").agg(F.count("*").alias("events"))
+    stored = read_silver(spark, silver_path).groupBy("upload_id").agg(
+        F.count("*").alias("stored_rows"), F.count("production_line_id").cast("int").alias("line_ids")
+    )
+    refusal = F.regexp_extract("failure", r"(\w+)$", 1)
+    return (
+        loaded.withColumn("failure", F.when(F.col("failure").isNotNull(), refusal))
+        .join(state, "upload_id", "left").join(held, "upload_id", "left").join(stored, "upload_id", "left")
+        .fillna(0).fillna("NONE", ["status", "upload_type"])
+    )
 
 
 LEDGER = """

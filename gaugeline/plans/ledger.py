@@ -34,7 +34,7 @@ def upload_state(events: DataFrame) -> DataFrame:
         latest(F.col("error_message"), moved).alias("error_message"),
         F.max_by("created_at", F.when(F.col("status").isin(*FINISHED), at)).alias("completed_at"),
         F.max("created_at").alias("updated_at"),
-        *[latest(F.col(c), F.col(c).isNotNull()).alias(c) for c in counts],
+        *[latest(F.col(c), F.col(c).isNotNull()).alias(c) for c in (*counts, "upload_type") if c in events.columns],
         F.count_if(moved).alias("transitions"),
     )
 

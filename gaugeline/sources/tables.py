@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from gaugeline.schema import SCOPE, SILVER_READ
+from gaugeline.schema import CANONICAL_FIELDS, SCOPE, SILVER_READ
 
 BRONZE_NAMES = {
     "event_timestamp": "raw_timestamp",
@@ -58,6 +58,58 @@ def append_bronze(df: DataFrame, path: str) -> None:
     append(df, path, ["upload_id"])
 
 
+def stored(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def own_folder(spark: SparkSession, path: str, column: str, value: str) -> str:
+    """Folder of one partition value. Writers of different values may work at the same time,
+    which a shared output folder does not allow."""
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    return f"{path.rstrip('/')}/{column}={escape(value)}"
+
+
+def replace_bronze(df: DataFrame, path: str, upload_id: str) -> None:
+    """Write the rows of one upload in place of what is stored of it; other uploads stay."""
+    df.drop("upload_id").write.mode("overwrite").parquet(own_folder(df.sparkSession, path, "upload_id", upload_id))
+
+
+def canonical_rows(bronze: DataFrame, mapping: dict[str, str], keep=()) -> DataFrame:
+    """Stored bronze rows in canonical fields, as ``apply_mapping`` gives them for the file.
+
+    Fields without a bronze column are read from the stored original row.
+    """
+    source_of = {target: source for source, target in mapping.items()}
+    original = bronze.withColumn("_row", F.expr("variant_get(raw_payload, '$', 'map<string,string>')"))
+
+    def field(name):
+        if name in source_of and name in BRONZE_NAMES:
+            return F.col(BRONZE_NAMES[name])
+        source = source_of.get(name, None if name in mapping else name)
+        return F.lit(None).cast("string") if source is None else F.col("_row")[source]
+
+    return original.select(*keep, *[field(c).alias(c) for c in CANONICAL_FIELDS])
+
+
+def drop_upload_files(spark: SparkSession, path: str, upload_id: str) -> None:
+    """Delete the files that a broken append of one upload left in a table.
+
+    An append writes files of its own; a file that holds rows of others refuses.
+    """
+    if not stored(spark, path):
+        return
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    rows = read_silver(spark, path).select("upload_id", F.col("_metadata.file_path").alias("file"))
+    own = rows.filter(F.col("upload_id") == upload_id).select("file").distinct()
+    shared = rows.filter(~F.col("upload_id").eqNullSafe(F.lit(upload_id))).join(own, "file", "left_semi").first()
+    if shared:
+        raise ValueError(f"{shared['file']} holds rows of several uploads")
+    for row in own.collect():
+        store.delete(spark._jvm.org.apache.hadoop.fs.Path(row["file"]), False)
+
+
 def append_silver(df: DataFrame, path: str) -> None:
     """Rows of one context lie together and in time order inside each file.
 
@@ -74,9 +126,9 @@ def append_silver(df: DataFrame, path: str) -> None:
 
 def read_partitioned(spark: SparkSession, path: str, column: str) -> DataFrame:
     """A table whose partition column is text, also where its values look like numbers."""
-    stored = spark.read.parquet(path).schema
-    stored[column].dataType = StringType()
-    return spark.read.schema(stored).parquet(path)
+    schema = spark.read.parquet(path).schema
+    schema[column].dataType = StringType()
+    return spark.read.schema(schema).parquet(path)
 
 
 def read_bronze(spark: SparkSession, path: str) -> DataFrame:

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from gaugeline.operators.quality import flag_duplicates, parse_number, parse_timestamp, unit_status
 from gaugeline.operators.resolve import resolve_operation
-from gaugeline.plans.ingest import UploadContext, process_upload
+from gaugeline.plans import ingest
+from gaugeline.plans.ingest import UploadContext, process_upload, process_uploads, read_ledger
 from gaugeline.plans.ledger import check_statuses, upload_state
 from gaugeline.sources.csv import (
     FileError, MappingError, apply_mapping, gate_reason, list_files, number_source_rows, read_csv,
 )
-from gaugeline.sources.tables import by_context, by_time_range, by_upload, read_silver
+from gaugeline.sources.tables import by_context, by_time_range, by_upload, read_bronze, read_silver
 
 HEADER = "MEASURED_AT, STATION ,ARTICLE,STEP_CODE,FEATURE,READING"
 MAPPING = {
@@ -169,6 +170,85 @@ def test_load(spark, tmp_path):
     assert failed.status == "FAILED" and "NOPE" in failed.error_message and failed.completed_at is not None
 
 
+class Killed(BaseException):
+    """Ends a flow as a lost driver would: nothing is written any more."""
+
+
+def stopped_before(monkeypatch, step):
+    """Let the ledger die when it should write ``step``."""
+    append = ingest.UploadLedger.append
+
+    def dies(self, *events):
+        if any(e.get("status") == step for e in events):
+            raise Killed(step)
+        append(self, *events)
+
+    monkeypatch.setattr(ingest.UploadLedger, "append", dies)
+
+
+LINES = [HEADER, *[GOOD.format(i, i) for i in range(5)], GOOD.format(4, 4), GOOD.format(5, 5).replace("20.05", "abc")]
+
+
+@pytest.mark.parametrize("step", ["BRONZE_COMPLETED", "VALIDATING", "VALIDATION_COMPLETED", "SILVER_COMPLETED"])
+def test_a_killed_load_goes_on_where_it_stopped(spark, tmp_path, monkeypatch, step):
+    path = write(tmp_path, "up.csv", LINES)
+    stores = [str(tmp_path / n) for n in ("bronze", "silver", "ledger")]
+    other, upload = UploadContext("U/0", "CURRENT", "R1", "N1"), UploadContext("U1", "HISTORICAL", " R1"[1:], "N1", "  ")
+    process_upload(spark, path, other, MAPPING, dimensions(spark), *stores)
+    with monkeypatch.context() as patch:
+        stopped_before(patch, step)
+        with pytest.raises(Killed):
+            process_upload(spark, path, upload, MAPPING, dimensions(spark), *stores)
+    before = read_ledger(spark, stores[2]).filter("upload_id = 'U1'").orderBy("event_seq").collect()
+    assert step not in [r.status for r in before] and before[0].status == "UPLOADED"
+    bronze = read_bronze(spark, stores[0]).filter("upload_id = 'U1'").collect()
+    if step != "BRONZE_COMPLETED":
+        # The file is not needed any more.
+        path = str(tmp_path / "gone.csv")
+    counts = process_upload(spark, path, upload, MAPPING, dimensions(spark), *stores).first()
+    assert tuple(counts) == ("U1", 7, 5, 2)
+    after = read_ledger(spark, stores[2]).filter("upload_id = 'U1'").orderBy("event_seq").collect()
+    assert after[: len(before)] == before and [r.event_seq for r in after] == list(range(1, len(after) + 1))
+    state = upload_state(read_ledger(spark, stores[2])).filter("upload_id = 'U1'").first()
+    assert (state.status, state.total_rows, state.valid_rows, state.upload_type, state.bronze_loaded) == ("SILVER_COMPLETED", 7, 5, "HISTORICAL", True)
+    silver = read_silver(spark, stores[1])
+    assert {r.upload_id: r["count"] for r in silver.groupBy("upload_id").count().collect()} == {"U/0": 7, "U1": 7}
+    assert silver.filter("production_line_id IS NOT NULL").isEmpty()
+    if step != "BRONZE_COMPLETED":
+        assert sorted(map(str, read_bronze(spark, stores[0]).filter("upload_id = 'U1'").collect())) == sorted(map(str, bronze))
+    # A finished upload is not loaded again.
+    assert tuple(process_upload(spark, "nowhere.csv", upload, MAPPING, dimensions(spark), *stores).first()) == tuple(counts)
+    assert read_ledger(spark, stores[2]).filter("upload_id = 'U1'").count() == len(after)
+
+
+def test_counts_of_a_load_come_without_reading_silver(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("gaugeline.sources.tables.read_silver", lambda *a: pytest.fail("silver was read"))
+    path = write(tmp_path, "up.csv", LINES)
+    stores = [str(tmp_path / n) for n in ("bronze", "silver", "ledger")]
+    counts = process_upload(spark, path, UploadContext("U1", "HISTORICAL", "R1", "N1"), MAPPING, dimensions(spark), *stores)
+    assert tuple(counts.first()) == ("U1", 7, 5, 2)
+
+
+def test_a_batch_of_uploads_with_refused_and_broken_files(spark, tmp_path):
+    stores = [str(tmp_path / n) for n in ("bronze", "silver", "ledger")]
+    uploads = [(write(tmp_path, f"u{i}.csv", LINES[: 2 + i]), UploadContext(f"U{i}", "CURRENT", "R1", "N1")) for i in range(3)]
+    uploads += [(write(tmp_path, "x.txt", LINES), UploadContext("UX", "CURRENT")), (write(tmp_path, "h.csv", [HEADER]), UploadContext("UH", "CURRENT"))]
+    got = {r.upload_id: (r.total_rows, r.failure) for r in process_uploads(spark, uploads, MAPPING, dimensions(spark), *stores).collect()}
+    assert {k: got[k] for k in ("U0", "U1", "U2")} == {f"U{i}": (1 + i, None) for i in range(3)}
+    assert "UNSUPPORTED_TYPE" in got["UX"][1] and "no data rows" in got["UH"][1]
+    states = {r.upload_id: r.status for r in upload_state(read_ledger(spark, stores[2])).collect()}
+    assert states == {"U0": "SILVER_COMPLETED", "U1": "SILVER_COMPLETED", "U2": "SILVER_COMPLETED", "UH": "FAILED"}
+
+
+def test_fields_without_a_bronze_column_come_from_the_stored_row(spark, tmp_path):
+    mapping = {**MAPPING, "LOT no. 'x'": "batch_id"}
+    path = write(tmp_path, "up.csv", [HEADER + ",LOT no. 'x',shift,operator_id", GOOD.format(1, 1) + ",L7,night,", GOOD.format(2, 2) + ",NA,,op3"])
+    stores = [str(tmp_path / n) for n in ("bronze", "silver", "ledger")]
+    process_upload(spark, path, UploadContext("U1", "CURRENT", "R1", "N1"), mapping, dimensions(spark), *stores)
+    rows = read_silver(spark, stores[1]).orderBy("source_row_number").collect()
+    assert [(r.batch_id, r["shift"], r.operator_id) for r in rows] == [("L7", "night", None), (None, None, "op3")]
+
+
 def test_unknown_statuses_are_not_accepted(spark):
     df = check_statuses(spark.createDataFrame([("UPLOADED",), ("DONE",)], "status string"))
     assert [r.accepted for r in df.collect()] == [True, False]
