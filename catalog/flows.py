@@ -12,7 +12,7 @@ from catalog.tables import (
     CTX_SQL, MEASUREMENTS, configurations, measurements, r6, specifications, table, text,
 )
 from gaugeline.functions.compare import finding_messages, metric_table, percent_change
-from gaugeline.operators.layout import context, scratch_root, unpack
+from gaugeline.operators.layout import context, materialize, scratch_root, unpack
 from gaugeline.operators.rules import with_messages
 from gaugeline.plans.analysis import (
     SpcConfig, analysis_runs, analyze, historical_analysis, resolved_settings, stored_results,
@@ -20,6 +20,7 @@ from gaugeline.plans.analysis import (
 from gaugeline.plans.baseline import approve, archive, create_drafts, draft_rejection
 from gaugeline.plans.check import affected_indices, eligible_uploads, mismatches, run_check
 from gaugeline.plans.ledger import alert_state
+from gaugeline.plans.requests import run_analyses, run_checks
 from gaugeline.schema import CONTEXT
 from gaugeline.sources.tables import (
     append_chart_points, append_comparisons, append_findings, append_results, append_violations,
@@ -156,6 +157,7 @@ STATS = """,
 tot AS (SELECT k, avg(value) AS mean, stddev_samp(value) AS os, count(*) AS n FROM m GROUP BY k),
 st AS (SELECT lim.*, tot.mean, os, n, 250.0 / (6 * nullif(ws, 0)) AS cp, least((200 - mean) / (3 * nullif(ws, 0)), (mean + 50) / (3 * nullif(ws, 0))) AS cpk,
               250.0 / (6 * os) AS pp, least((200 - mean) / (3 * os), (mean + 50) / (3 * os)) AS ppk FROM lim JOIN tot USING (k))"""
+WHOLE = subgroups(ONE_CONFIG, f"SELECT * FROM ({MEASUREMENTS})") + CHARTS + STATS
 HISTORIC = subgroups(ONE_CONFIG, half_sql(True)) + CHARTS + STATS + f" SELECT st.*, {CTX_SQL} FROM st JOIN ids USING (k)"
 CHECKED = (
     subgroups(ONE_CONFIG, half_sql(False), before=f"h AS ({HISTORIC}), ")
@@ -195,10 +197,9 @@ def halves(spark, sf_dir):
     return rows.filter(F.col("event_timestamp") < split), rows.filter(F.col("event_timestamp") >= split)
 
 
-def run_tables(spark, sf_dir):
-    """Runs and results of the first half, as the stored tables hold them."""
-    first, _ = halves(spark, sf_dir)
-    done = analyze(first, PLAIN, row_columns=ROWS).saved()
+def run_tables(rows):
+    """Runs and results of an analysis, as the stored tables hold them."""
+    done = analyze(rows, PLAIN, row_columns=ROWS).saved()
     ids = done.profile.select(
         "ctx", F.concat_ws("|", "ctx.parameter_id", "ctx.machine_id", "ctx.operation_id").alias("analysis_id")
     )
@@ -211,7 +212,7 @@ def run_tables(spark, sf_dir):
 
 
 def baselines_of(spark, sf_dir):
-    runs, results = run_tables(spark, sf_dir)
+    runs, results = run_tables(halves(spark, sf_dir)[0])
     return create_drafts(runs, results).filter("rejection IS NULL").withColumn("status", F.lit("ACTIVE"))
 
 
@@ -220,11 +221,11 @@ def baselines_of(spark, sf_dir):
     f"""
 SELECT 'B-' || k AS baseline_id, {CTX_SQL}, kind AS chart_type, CAST(n AS BIGINT) AS sample_count, round(mean, 6) AS mean,
        round(ws, 6) AS within_sigma, round(ucl, 6) AS ucl, round(cpk, 6) AS cpk, round(ppk, 6) AS ppk, 'DRAFT' AS status
-FROM ({HISTORIC})
+FROM ({WHOLE} SELECT st.*, {CTX_SQL} FROM st JOIN ids USING (k))
 """,
 )
 def drafts(spark, sf_dir):
-    return create_drafts(*run_tables(spark, sf_dir)).filter("rejection IS NULL").select(
+    return create_drafts(*run_tables(measurements(spark, sf_dir))).filter("rejection IS NULL").select(
         "baseline_id", *CONTEXT, "chart_type", "sample_count", r6("mean"), r6("within_sigma"), r6("ucl"), r6("cpk"),
         r6("ppk"), "status",
     )
@@ -344,20 +345,169 @@ def percent(spark, sf_dir):
     )
 
 
+# Requests: uploads of every state and type, chosen configurations and baselines.
+
+UPLOADS = """
+SELECT DISTINCT 'U' || (user_id % 10) AS upload_id, CASE user_id % 10 WHEN 7 THEN 'VALIDATING' ELSE 'SILVER_COMPLETED' END AS status,
+       CASE WHEN user_id % 10 IN (5, 6) THEN 'CURRENT' ELSE 'HISTORICAL' END AS upload_type FROM events
+"""
+
+
+def upload_rows(spark, sf_dir):
+    digit = F.col("user_id") % 10
+    return table(spark, sf_dir, "events").select(
+        text("U", digit).alias("upload_id"), F.when(digit == 7, "VALIDATING").otherwise("SILVER_COMPLETED").alias("status"),
+        F.when(digit.isin(5, 6), "CURRENT").otherwise("HISTORICAL").alias("upload_type"),
+    ).distinct()
+
+
+def asked_uploads(good):
+    """By parameter and operation: an upload that serves, none, one not ready, one of the other type."""
+    other = "U5" if good != "U5" else "U0"
+    return (
+        f"CASE WHEN parameter_id = 'purchase' AND operation_id = 'O1' THEN 'U77' WHEN parameter_id = 'view' AND operation_id = 'O0' THEN 'U7' "
+        f"WHEN parameter_id = 'error' AND operation_id = 'O1' THEN '{other}' ELSE '{good}' END"
+    )
+
+
+C02_ONLY = CONFIG_JOIN.replace(f"SELECT DISTINCT {CTX_SQL} FROM ({MEASUREMENTS})", NARROW_CONTEXTS).replace(
+    "JOIN g ON g.parameter_id = cc.parameter_id AND g.is_active", "JOIN g ON cc.parameter_id = 'click' AND g.spc_configuration_id = 'C02'"
+).replace("AND (g.machine_id IS NULL OR g.machine_id = cc.machine_id)", "")
+RAN = """
+SELECT k, parameter_id, machine_id, NULL AS product_id, operation_id, CASE WHEN error_code IS NULL THEN 'COMPLETED' ELSE 'FAILED' END AS status,
+       error_code AS reason, CASE WHEN error_code IS NULL THEN kind WHEN configured = 'AUTO' THEN 'IMR' ELSE configured END AS chart_type,
+       spc_configuration_id FROM cap JOIN ids USING (k)
+"""
+
+
+def narrow(sql):
+    return sql.replace(f"SELECT DISTINCT {CTX_SQL} FROM ({MEASUREMENTS})", NARROW_CONTEXTS)
+
+
+@query(
+    "f3_requested_analyses",
+    f"""
+WITH u AS ({UPLOADS}), usual AS ({analysis_sql(narrow(CONFIG_JOIN), narrow(SPEC_JOIN))} {RAN}),
+chosen AS ({analysis_sql(C02_ONLY, narrow(SPEC_JOIN)).replace(CUSTOM, "k = ''")} {RAN}),
+r AS (SELECT parameter_id || '|' || machine_id || '|' || operation_id AS k, *, {asked_uploads('U0')} AS upload_id FROM ({NARROW_CONTEXTS})),
+q AS (SELECT 'R-' || r.k AS request_id, r.upload_id, r.parameter_id, r.machine_id, r.operation_id,
+             CASE WHEN u.upload_id IS NULL THEN 'UPLOAD_NOT_FOUND' WHEN u.status <> 'SILVER_COMPLETED' THEN 'UPLOAD_NOT_READY'
+                  WHEN u.upload_type <> 'HISTORICAL' THEN 'WRONG_UPLOAD_TYPE' END AS refusal, usual.status, usual.reason, usual.chart_type,
+             usual.spc_configuration_id
+      FROM r LEFT JOIN u USING (upload_id) LEFT JOIN usual USING (k)
+      UNION ALL
+      SELECT 'C-' || r.k, 'U1', r.parameter_id, r.machine_id, r.operation_id, CASE WHEN r.operation_id = 'O1' THEN 'MISSING_CONFIGURATION' END,
+             chosen.status, chosen.reason, chosen.chart_type, chosen.spc_configuration_id
+      FROM r LEFT JOIN chosen USING (k) WHERE r.parameter_id = 'click'
+      UNION ALL
+      SELECT 'N-' || r.k, 'U1', r.parameter_id, 'M9', r.operation_id, 'NO_MEASUREMENTS', NULL, NULL, NULL, 'C01' FROM r WHERE r.parameter_id = 'click')
+SELECT request_id, upload_id, parameter_id, machine_id, operation_id,
+       CASE WHEN refusal IS NOT NULL THEN 'REFUSED' WHEN status IS NULL OR reason = 'MISSING_CONFIGURATION' THEN 'REFUSED' ELSE status END AS status,
+       coalesce(refusal, reason) AS reason, CASE WHEN refusal IS NULL AND coalesce(reason, '') <> 'MISSING_CONFIGURATION' THEN chart_type END AS chart_type,
+       CASE WHEN refusal IS NULL OR refusal = 'NO_MEASUREMENTS' THEN spc_configuration_id END AS spc_configuration_id FROM q
+""",
+)
+def requested_analyses(spark, sf_dir):
+    m = measurements(spark, sf_dir)
+    contexts = m.select("parameter_id", "machine_id", "operation_id").distinct().withColumn(
+        "_k", F.concat_ws("|", "parameter_id", "machine_id", "operation_id")
+    )
+    clicks = contexts.filter("parameter_id = 'click'")
+
+    def of(rows, prefix, upload, configuration=None, machine=F.col("machine_id")):
+        return rows.select(
+            F.concat(F.lit(prefix), "_k").alias("request_id"), upload.alias("upload_id"), "parameter_id", machine.alias("machine_id"),
+            F.lit(" ").alias("product_id"), "operation_id", (F.lit("") if configuration is None else configuration).alias("spc_configuration_id"),
+        )
+
+    picked = F.when(F.col("operation_id") == "O1", "C99").otherwise("C02")
+    requests = of(contexts, "R-", F.expr(asked_uploads("U0"))).unionByName(
+        of(clicks, "C-", F.lit("U1"), picked)
+    ).unionByName(of(clicks, "N-", F.lit("U1"), machine=F.lit("M9")))
+    done = run_analyses(
+        requests, upload_rows(spark, sf_dir), m, configurations(spark), specifications(spark), as_of(), row_columns=ROWS
+    ).requests
+    # A configuration found for a request that is refused before it was looked for says nothing.
+    shown = F.when(F.coalesce("reason", F.lit("")).isin("UPLOAD_NOT_FOUND", "UPLOAD_NOT_READY", "WRONG_UPLOAD_TYPE"), None)
+    return done.select(
+        "request_id", "upload_id", "parameter_id", "machine_id", "operation_id", "status", "reason", "chart_type",
+        shown.otherwise(F.col("spc_configuration_id")).alias("spc_configuration_id"),
+    )
+
+
+@query(
+    "f6_requested_checks",
+    CHECKED + f""",
+u AS ({UPLOADS}),
+r AS (SELECT DISTINCT k, {CTX_SQL}, {asked_uploads('U5')} AS upload_id FROM ({MEASUREMENTS})),
+base AS (SELECT k FROM h WHERE k NOT LIKE '%|M2|O1'),
+q AS (SELECT 'R-' || r.k AS request_id, r.upload_id, r.k, r.parameter_id, r.machine_id, r.product_id, r.operation_id, 'B-' || base.k AS baseline_id,
+             CASE WHEN u.upload_id IS NULL THEN 'UPLOAD_NOT_FOUND' WHEN u.status <> 'SILVER_COMPLETED' THEN 'UPLOAD_NOT_READY'
+                  WHEN u.upload_type <> 'CURRENT' THEN 'WRONG_UPLOAD_TYPE' WHEN base.k IS NULL THEN 'MISSING_ACTIVE_BASELINE'
+                  WHEN r.parameter_id = 'signup' THEN 'MISSING_CONFIGURATION' END AS refusal, st.k IS NULL AS short, h.kind <> st.kind AS other
+      FROM r LEFT JOIN u USING (upload_id) LEFT JOIN base USING (k) LEFT JOIN h USING (k) LEFT JOIN st USING (k)
+      UNION ALL
+      SELECT 'C-' || r.k, 'U6', r.k, r.parameter_id, r.machine_id, r.product_id, r.operation_id, CASE WHEN 'click|M0|O0' IN (SELECT k FROM base) THEN 'B-click|M0|O0' END,
+             CASE WHEN 'click|M0|O0' NOT IN (SELECT k FROM base) THEN 'MISSING_ACTIVE_BASELINE' END, st.k IS NULL, true
+      FROM r LEFT JOIN st USING (k) WHERE r.parameter_id = 'view'
+      UNION ALL
+      SELECT 'D-' || r.k, 'U6', r.k, r.parameter_id, r.machine_id, r.product_id, r.operation_id, 'B-' || base.k, CASE WHEN base.k IS NULL THEN 'MISSING_ACTIVE_BASELINE' END, st.k IS NULL, h.kind <> st.kind
+      FROM r LEFT JOIN base USING (k) LEFT JOIN h USING (k) LEFT JOIN st USING (k) WHERE r.parameter_id = 'click')
+SELECT request_id, q.upload_id, q.parameter_id, q.machine_id, q.product_id, q.operation_id, CASE WHEN refusal IS NULL OR refusal = 'MISSING_CONFIGURATION' THEN q.baseline_id END AS baseline_id,
+       CASE WHEN refusal IS NOT NULL THEN 'REFUSED' WHEN short OR other THEN 'FAILED' ELSE 'COMPLETED' END AS status,
+       coalesce(refusal, CASE WHEN short THEN 'INSUFFICIENT_DATA' WHEN other THEN 'BASELINE_CONTEXT_MISMATCH' END) AS reason,
+       CASE WHEN refusal IS NULL AND NOT short AND NOT other THEN final_status END AS final_status
+FROM q LEFT JOIN verdict USING (k)
+""",
+)
+def requested_checks(spark, sf_dir):
+    _, second = halves(spark, sf_dir)
+    kinds = table(spark, sf_dir, "events").select(F.col("event_type").alias("parameter_id")).filter("event_type <> 'signup'").distinct()
+    nothing = [F.lit(None).cast("string").alias(c) for c in CONTEXT[1:]]
+    since = F.lit("2023-01-01").cast("timestamp_ntz")
+    configs = kinds.select(
+        F.concat(F.lit("K-"), "parameter_id").alias("spc_configuration_id"), "parameter_id", *nothing, F.lit("AUTO").alias("chart_type"),
+        F.lit(5).alias("subgroup_size"), F.lit("CONSECUTIVE").alias("subgroup_method"), F.lit(14400).alias("maximum_time_gap_seconds"),
+        F.lit(20).alias("minimum_sample_size"), F.lit("[]").alias("ruleset"), F.lit(True).alias("is_active"), since.alias("created_at"),
+    )
+    specs = kinds.select(
+        F.concat(F.lit("S-"), "parameter_id").alias("specification_id"), "parameter_id", *nothing, F.lit(-50.0).alias("lsl"), F.lit(200.0).alias("usl"),
+        F.lit(None).cast("double").alias("target"), since.alias("effective_from"), F.lit(None).cast("timestamp_ntz").alias("effective_to"),
+        F.lit("ACTIVE").alias("status"),
+    )
+    draft = F.col("baseline_id").like("%|M2|O1")
+    baselines = materialize(baselines_of(spark, sf_dir).withColumn("status", F.when(draft, "DRAFT").otherwise("ACTIVE")), "baselines")
+    contexts = measurements(spark, sf_dir).select(*CONTEXT).distinct()
+    own = F.concat_ws("|", "parameter_id", "machine_id", "operation_id")
+
+    def of(rows, prefix, upload, baseline):
+        return rows.select(F.concat(F.lit(prefix), own).alias("request_id"), upload.alias("upload_id"), *CONTEXT, baseline.alias("baseline_id"))
+
+    requests = of(contexts, "R-", F.expr(asked_uploads("U5")), F.lit("")).unionByName(
+        of(contexts.filter("parameter_id = 'view'"), "C-", F.lit("U6"), F.lit("B-click|M0|O0"))
+    ).unionByName(of(contexts.filter("parameter_id = 'click'"), "D-", F.lit("U6"), F.concat(F.lit("B-"), own)))
+    done = run_checks(
+        requests, upload_rows(spark, sf_dir), second, baselines, configs, specs, as_of(), row_columns=ROWS
+    ).requests
+    # A baseline found for a request that is refused before it was looked for says nothing.
+    shown = F.when(F.coalesce("reason", F.lit("")).isin("UPLOAD_NOT_FOUND", "UPLOAD_NOT_READY", "WRONG_UPLOAD_TYPE"), None)
+    return done.select(
+        "request_id", "upload_id", *CONTEXT, shown.otherwise(F.col("baseline_id")).alias("baseline_id"), "status", "reason", "final_status"
+    )
+
+
 # Stored result tables.
 
 
 @query(
     "s11_result_tables",
-    HISTORIC.replace(f" SELECT st.*, {CTX_SQL} FROM st JOIN ids USING (k)", "")
-    + """
+    WHOLE + """
 SELECT k AS analysis_id, CAST(pc AS BIGINT) AS subgroup_count, CAST(used AS BIGINT) AS subgroup_size_used, round(gm, 6) AS center_line,
        round(slcl, 6) AS secondary_lcl, CAST(pc + CASE WHEN kind = 'IMR' THEN pc - 1 ELSE pc END AS BIGINT) AS stored_points FROM st
 """,
 )
 def result_tables(spark, sf_dir):
-    first, _ = halves(spark, sf_dir)
-    done = analyze(first, PLAIN, row_columns=ROWS).saved()
+    done = analyze(measurements(spark, sf_dir), PLAIN, row_columns=ROWS).saved()
     ids = done.profile.select(
         "ctx", F.concat_ws("|", "ctx.parameter_id", "ctx.machine_id", "ctx.operation_id").alias("analysis_id")
     )
