@@ -188,6 +188,13 @@ def _steps(counts: np.ndarray, units: np.ndarray, end: int) -> tuple[np.ndarray,
     return np.insert(units, at[1:], end), at + np.arange(len(at))
 
 
+def _by_unit(keys: np.ndarray, n_units: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units of rising pair keys, how many pairs each has, and the other unit of every pair."""
+    unit = keys // n_units
+    starts = np.flatnonzero(np.diff(unit, prepend=-1))
+    return unit[starts], np.diff(np.append(starts, len(unit))), keys - unit * n_units
+
+
 _PAIRS = "part int, side int, keys binary, n binary"
 _NEIGHBOURS = "part int, right binary, right_n binary, left binary, left_n binary"
 _TABLE = "cells binary, n binary"
@@ -292,10 +299,11 @@ def _class_table(neighbours: DataFrame, of: np.ndarray, classes: int) -> np.ndar
         for batch in batches:
             for k in range(batch.num_rows):
                 keys, n = _arrays(batch, k, right=True, right_n=False)
-                one, two = of[keys // n_units], of[keys % n_units]
+                units, sizes, other = _by_unit(keys, n_units)
+                one, two = np.repeat(of[units], sizes), of[other]
                 use = (one >= 0) & (two >= 0)
-                cells, n = _sums(one[use] * classes + two[use], n[use])
-                total[cells] += n
+                # Sums of counts below 2**53 are exact in doubles.
+                total += np.bincount(one[use] * classes + two[use], n[use], classes**2).astype(np.int64)
         cells = np.flatnonzero(total)
         yield _records(_TABLE, [[cells.tobytes(), total[cells].tobytes()]])
 
@@ -330,8 +338,12 @@ def best_classes(right: np.ndarray, left: np.ndarray, own: np.ndarray, table: np
     soft, classes = 0.1, len(table)
     logs, starts, ends = np.log(table + soft), table.sum(axis=1), table.sum(axis=0)
     n_right, n_left = right.sum(axis=1), left.sum(axis=1)
-    score = right @ logs.T + left @ logs
-    score -= np.outer(n_right, np.log(starts + soft * classes)) + np.outer(n_left, np.log(ends + soft * classes))
+    behind_of, before_of = np.log(starts + soft * classes), np.log(ends + soft * classes)
+    # Single precision: this product is most of the work, and a round only stands if the
+    # likelihood, which is counted exactly, grows.
+    single = np.float32
+    score = right.astype(single) @ (logs - behind_of[:, None]).T.astype(single)
+    score += left.astype(single) @ (logs - before_of[None, :]).astype(single)
     has = np.flatnonzero(own >= 0)
     if len(has):
         o, r, l = own[has], right[has], left[has]
@@ -359,7 +371,10 @@ def _moves(neighbours: DataFrame, of: np.ndarray, table: np.ndarray, spread: np.
         for batch in batches:
             for k in range(batch.num_rows):
                 right, right_n, left, left_n = _arrays(batch, k, right=True, right_n=False, left=True, left_n=False)
-                sides = [(keys // n_units, of[keys % n_units], n) for keys, n in ((right, right_n), (left, left_n))]
+                sides = []
+                for keys, n in ((right, right_n), (left, left_n)):
+                    owners, sizes, other = _by_unit(keys, n_units)
+                    sides.append((owners, sizes, of[other], n))
                 units = np.union1d(sides[0][0], sides[1][0])
                 free = of[units] < 0 if turn is None else mix(units.astype(np.uint64) + np.uint64(turn >> 1)) % np.uint64(2) == turn % 2
                 units = units[free & (units != n_units - 1)]
@@ -367,9 +382,10 @@ def _moves(neighbours: DataFrame, of: np.ndarray, table: np.ndarray, spread: np.
                 for parts, own in ((False, units[~split[units]]), (True, units[split[units]])):
                     for at in range(0, len(own), step):
                         some, counts = own[at : at + step], []
-                        for unit, of_other, n in sides:
-                            place = np.minimum(np.searchsorted(some, unit), len(some) - 1)
-                            use = (some[place] == unit) & (of_other >= 0)
+                        for owners, sizes, of_other, n in sides:
+                            place = np.minimum(np.searchsorted(some, owners), len(some) - 1)
+                            place = np.repeat(np.where(some[place] == owners, place, -1), sizes)
+                            use = (place >= 0) & (of_other >= 0)
                             counts.append(np.bincount(place[use] * classes + of_other[use], n[use], len(some) * classes).reshape(-1, classes))
                         if parts:
                             yield _records(_MOVES, [[some.tobytes(), None, *(_pack(c.ravel()) for c in counts)]])

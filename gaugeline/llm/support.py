@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.operators.layout import materialize, scratch_root
 
-__all__ = ["BATCH_BYTES", "batches_by_bytes", "materialize", "numbered", "scratch_root", "ship", "shuffle_parts", "table"]
+__all__ = ["ARROW_BYTES", "BATCH_BYTES", "batches_by_bytes", "materialize", "numbered", "scratch_root", "ship", "shuffle_parts", "table"]
 
 # Text bytes that a task works on at a time; one longer text makes a batch alone.
 BATCH_BYTES = 8 << 20
@@ -75,3 +76,14 @@ def batches_by_bytes(
             last = max(first + 1, int(ends.searchsorted(floor + limit, "right")))
             yield batch.slice(first, last - first)
             first, floor = last, int(ends[last - 1])
+        del batch, ends
+    give_back()
+
+
+def give_back() -> None:
+    """Return what a task has freed to the system; workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
