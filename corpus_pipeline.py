@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gaugeline.llm import decontamination, jaccard_join, language, packing, toxicity
 from gaugeline.llm.queries import fold
-from gaugeline.llm.support import materialize, table
+from gaugeline.llm.support import ARROW_BYTES, materialize, ship, table
 
 # Below this pooled probability no language is accepted.
 LEAST_LANGUAGE = 0.35
+# Stages return whole texts, so batches on the way to and from the workers are small.
+BATCH = str(4 << 20)
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -57,6 +59,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    if not spark.sparkContext.getConf().contains(ARROW_BYTES):
+        spark.conf.set(ARROW_BYTES, BATCH)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
