@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gaugeline.llm import decontamination, jaccard_join, language, packing, toxicity
 from gaugeline.llm.queries import fold
-from gaugeline.llm.support import ARROW_BYTES, materialize, ship, table
+from gaugeline.llm.support import ARROW_BYTES, give_back, materialize, ship, table
 
 # Below this pooled probability no language is accepted.
 LEAST_LANGUAGE = 0.35
@@ -27,11 +27,15 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language.with_language(docs, language.train(docs, use=fold("id", 3) != 1), LEAST_LANGUAGE)
+    model = language.train(docs, use=fold("id", 3) != 1)
+    give_back()  # what training held on the driver
+    return language.with_language(docs, model, LEAST_LANGUAGE)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.without_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), use=fold("id", 5) != 0))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), use=fold("id", 5) != 0)
+    give_back()
+    return toxicity.without_toxic(docs, model)
 
 
 def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
