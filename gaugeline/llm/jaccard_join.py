@@ -6,8 +6,9 @@
   component is looked at again.
 * Index: every representative's rarest shingles (the prefix that any linked pair must
   share) go to lists. A list is ordered by set size and position and falls into blocks between which
-  no sizes can link; a block whose entries are of one component is skipped, and positions
-  bound the overlap of the pairs that are left.
+  no sizes can link; a block whose entries are of one component is skipped. The position of
+  an entry limits the sizes it can still link with, so entries meet only within the size
+  bands their positions allow, and a large cell of such entries is dealt over many tasks.
 * Pairs whose bitmaps differ in more places than a link allows are out.
 * Between components one pair is compared first, which mostly joins them. For the pairs
   that remain, a member's overlap with another set is derived from its leader's: it can
@@ -21,9 +22,11 @@ counters of fixed size over all shingles; its precision changes cost only, not r
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,6 +44,12 @@ FILTER_BITS = 1 << 24
 BITMAP_BITS, MOST_BITMAP_BITS = 2048, 1 << 18
 TEXT_BYTES = 2 << 20
 PART_TOKENS = 2_000_000
+# Entries that one shingle may bring to a Python group; those of a more frequent one are spread.
+HOT_POSTINGS = 250_000
+# Size bands between a size and the largest one it can link with.
+BANDS = 4
+# Entries of either side that meet in one cell.
+CELL_ROWS = 1024
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -285,19 +294,24 @@ def _leader_pairs(reps: DataFrame) -> DataFrame:
 
 
 _ENTRY = (("token", "<u4"), ("id_low", "<u4"), ("id_high", "<u4"), ("component_low", "<u4"), ("component_high", "<u4"), ("n", "<u4"), ("position", "<u4"))
-_LISTS = "list long, id long, n int, position int, component long"
+_LISTS = "list long, id long, n int, position int, component long, hot boolean"
+_HOT = np.uint32(1 << 31)
 
 
 def _index_lists(texts: DataFrame, known: DataFrame, counters: np.ndarray, shingles: int) -> DataFrame:
     """Written lists with entries of more than one component, after skipping.
 
-    ``known`` has ``id``, ``n`` and ``component`` of every representative.
+    ``known`` has ``id``, ``n`` and ``component`` of every representative. The list of a
+    frequent shingle is spread over many groups and skipped as a whole.
     """
     spark = texts.sparkSession
     mean = max(1.0, counters.sum() / COUNTERS)
     hot = counters > mean + 8 * np.sqrt(mean) + 64
     level = np.where(hot, np.floor(np.log2(np.maximum(counters / mean, 1)) * 4) + 1, 0).astype(np.uint8)
     sent = spark.sparkContext.broadcast(level)
+    # No shingle of a level has more entries than the counter of the next one.
+    ways = np.maximum(1, np.ceil(mean * 2.0 ** (np.arange(256) / 4) / HOT_POSTINGS)).clip(max=1 << 30).astype(np.uint64)
+    ways[0] = 1
     parts = max(shuffle_parts(spark), shingles // 4 // PART_TOKENS + 1)
 
     def prefixes(batches):
@@ -322,11 +336,14 @@ def _index_lists(texts: DataFrame, known: DataFrame, counters: np.ndarray, shing
             ids, n, component = (batch.column(c).to_numpy().astype(np.uint64) for c in ("id", "n", "component"))
             row = np.repeat(np.arange(len(size)), size)
             position = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            part = (mix(data) % np.uint64(parts)).astype(np.int64)
+            spread = ways[(data >> np.uint64(56)).astype(np.int64)]
+            salt = np.where(spread > 1, mix(mix(ids[row]) % spread), 0)
+            part = (mix(data ^ salt) % np.uint64(parts)).astype(np.int64)
+            position = position.astype(np.uint32) | np.where(spread > 1, _HOT, np.uint32(0))
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
             low = np.uint64(0xFFFFFFFF)
-            columns = (data & low, ids[row] & low, ids[row] >> np.uint64(32), component[row] & low, component[row] >> np.uint64(32), n[row], position.astype(np.uint64))
+            columns = (data & low, ids[row] & low, ids[row] >> np.uint64(32), component[row] & low, component[row] >> np.uint64(32), n[row], position)
             columns = [c[order].astype(np.uint32) for c in columns]
             full = np.flatnonzero(np.diff(cuts))
             yield pa.RecordBatch.from_arrays(
@@ -337,22 +354,30 @@ def _index_lists(texts: DataFrame, known: DataFrame, counters: np.ndarray, shing
         packed = [np.frombuffer(x.as_py(), np.uint32).reshape(len(_ENTRY), -1) for x in table.column("entries")]
         token, id_low, id_high, c_low, c_high, n, position = np.concatenate(packed, axis=1)
         ids, component = (x.astype(np.uint64) | (y.astype(np.uint64) << np.uint64(32)) for x, y in ((id_low, id_high), (c_low, c_high)))
-        order = np.argsort(token)
+        hot, position = position >= _HOT, position & ~_HOT
+        apart, order = np.flatnonzero(hot), np.flatnonzero(~hot)
+        order = order[np.argsort(token[order])]
         sizes = np.diff(np.append(np.flatnonzero(np.diff(token[order].astype(np.int64), prepend=-1)), len(order)))
         order = order[np.repeat(sizes > 1, sizes)]
         order = order[np.lexsort((position[order], n[order], token[order]))]
         kept = _skip(token[order].astype(np.int64), component[order], n[order].astype(np.int64), position[order].astype(np.int64))
         order = order[kept]
+        names = np.concatenate([_names(token[order], ids[order]), token[apart].astype(np.int64)])
+        order = np.concatenate([order, apart])
         return pa.table({
-            "list": _names(token[order], ids[order]), "id": ids[order].view(np.int64), "n": n[order].astype(np.int32),
-            "position": position[order].astype(np.int32), "component": component[order].view(np.int64),
+            "list": names, "id": ids[order].view(np.int64), "n": n[order].astype(np.int32), "position": position[order].astype(np.int32),
+            "component": component[order].view(np.int64), "hot": hot[order],
         })
 
     prefixed = texts.mapInArrow(prefixes, "id long, prefix binary").join(known, "id")
     dealt = prefixed.mapInArrow(deal, "part int, entries binary")
     written = materialize(dealt.groupBy("part").applyInArrow(lists, _LISTS), "lists")
     sent.destroy()
-    return written
+    whole = written.filter("hot").drop("hot")
+    same = F.xxhash64(F.bit_xor(F.xxhash64("id")), F.bit_xor(F.xxhash64("id", F.lit(1))), F.count("*"))
+    mixed = whole.groupBy("list").agg(same.alias("name"), F.min("component").alias("l"), F.max("component").alias("h")).filter("l <> h")
+    named = whole.join(mixed.select("list", "name"), "list").drop("list").withColumnRenamed("name", "list")
+    return written.filter("NOT hot").drop("hot").unionByName(named)
 
 
 def _names(token: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -380,25 +405,105 @@ def _skip(token, component, n, position) -> np.ndarray:
     return np.repeat(mixed, np.diff(np.append(heads, len(token))))
 
 
+_NEIGHBOURS = "part int, side int, list long, n int, component long, id long, component_b long, id_b long"
+
+
 def _neighbour_pairs(lists: DataFrame) -> DataFrame:
-    """One candidate pair for each two components that are neighbours in a list."""
-    order = Window.partitionBy("list").orderBy("n", "position", "id")
-    before = lists.withColumns({f"{c}_b": F.lag(c).over(order) for c in ("id", "n", "component")})
-    found = before.filter((F.col("component") != F.col("component_b")) & _may_link(F.col("n"), F.col("n_b")))
+    """One candidate pair for each two components that are neighbours in a list.
+
+    Lists are range-sorted, so a long one lies in many tasks. A task names the neighbours it
+    sees and its first and last entry, from which those across tasks follow.
+    """
+    columns = [c.split()[0] for c in _NEIGHBOURS.split(", ")]
+
+    def pick(batches):
+        part = TaskContext.get().partitionId()
+        ends = {}
+        last = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            ends.setdefault(0, table.slice(0, 1))
+            ends[1] = table.slice(table.num_rows - 1)
+            table = table if last is None else pa.concat_tables([last, table])
+            last = ends[1]
+            name, ids, n, component = (table.column(c).to_numpy() for c in ("list", "id", "n", "component"))
+            small, large = n[:-1].astype(np.int64), n[1:].astype(np.int64)
+            near = np.flatnonzero((name[1:] == name[:-1]) & (component[1:] != component[:-1]) & (DENOMINATOR * small >= NUMERATOR * large))
+            empty = np.zeros(len(near), np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (empty + part, empty + 2, name[near], n[near], component[near], ids[near], component[near + 1], ids[near + 1])], names=columns
+            )
+        for side, row in ends.items():
+            values = [pa.array([part], pa.int32()), pa.array([side], pa.int32()), *(row.column(c).combine_chunks() for c in ("list", "n", "component", "id"))]
+            yield pa.RecordBatch.from_arrays([*values, pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=columns)
+
+    order = ["list", "n", "position", "id"]
+    parts = shuffle_parts(lists.sparkSession)
+    ranged = lists.select(*order, "component").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    written = materialize(ranged.mapInArrow(pick, _NEIGHBOURS), "neighbours")
+    # Two rows per range partition.
+    before = Window.orderBy("part", "side")
+    ends = written.filter("side < 2").withColumns({f"{c}_before": F.lag(c).over(before) for c in ("list", "n", "component", "id")})
+    across = ends.filter((F.col("side") == 0) & (F.col("list") == F.col("list_before")) & (F.col("component") != F.col("component_before")) & _may_link(F.col("n"), F.col("n_before")))
+    found = written.filter("side = 2").select("component", "id", "component_b", "id_b").unionAll(across.select("component", "id", "component_before", "id_before"))
     pair = F.struct(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b"))
     between = found.groupBy(F.least("component", "component_b").alias("low"), F.greatest("component", "component_b").alias("high"))
     return between.agg(F.min(pair).alias("p")).select("p.a", "p.b")
 
 
+def _band(n: Column) -> Column:
+    return F.floor(F.log(n) * F.lit(BANDS / math.log(DENOMINATOR / NUMERATOR))).cast("int")
+
+
+def _sides(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries as the smaller and as the larger set of a pair, dealt to cells of bounded size.
+
+    From position p on a set of n shingles has n - p left, so it links with no set larger
+    than that overlap allows. As the smaller set it goes to the bands from its own size to
+    that one; an entry that cannot link with a set of its own size or more goes to none. As
+    the larger set it goes to its own band. A cell of one list and band is left out when
+    all its entries are of one component, else cut into a grid.
+    """
+    rest = F.col("n") - F.col("position")
+    most = F.least(
+        F.floor(F.lit(DENOMINATOR + NUMERATOR) * rest / F.lit(NUMERATOR)) - F.col("n"), F.floor(F.lit(DENOMINATOR) * F.col("n") / F.lit(NUMERATOR))
+    )
+    known = lists.select("list", "id", "n", "position", "component", most.alias("most"))
+    smaller = known.filter("most >= n").withColumn("band", F.explode(F.sequence(_band(F.col("n")), _band(F.col("most")))))
+    smaller = smaller.withColumn("small", F.lit(True))
+    larger = known.withColumns({"band": _band(F.col("n")), "small": F.lit(False)})
+    both = materialize(smaller.unionByName(larger).drop("most"), "sides")
+    cells = both.groupBy("list", "band").agg(
+        F.count_if("small").alias("s"), F.count_if(~F.col("small")).alias("l"), F.min("component").alias("c_low"), F.max("component").alias("c_high")
+    ).filter("s > 0 AND l > 0 AND c_low <> c_high")
+    grid = cells.select("list", "band", F.ceil(F.col("s") / CELL_ROWS).cast("int").alias("rows"), F.ceil(F.col("l") / CELL_ROWS).cast("int").alias("columns"))
+    dealt = both.join(grid, ["list", "band"])
+
+    def own(ways: str, name: str) -> Column:
+        return F.pmod(F.xxhash64("id"), F.col(ways)).cast("int").alias(name)
+
+    def every(ways: str, name: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(ways) - 1)).alias(name)
+
+    columns = ["list", "band", "id", "n", "position", "component"]
+    return (
+        dealt.filter("small").select(*columns, own("rows", "row"), every("columns", "column")),
+        dealt.filter("NOT small").select(*columns, own("columns", "column"), every("rows", "row")),
+    )
+
+
 def _all_pairs(lists: DataFrame) -> DataFrame:
     """Every pair of different components in a list that size and position allow."""
-    x, y = lists.alias("x"), lists.alias("y")
-    most = 1 + F.least(F.col("x.n") - F.col("x.position"), F.col("y.n") - F.col("y.position")) - 1
+    smaller, larger = _sides(lists)
+    x, y = smaller.alias("x"), larger.alias("y")
+    most = F.least(F.col("x.n") - F.col("x.position"), F.col("y.n") - F.col("y.position"))
     possible = (
-        (F.col("x.list") == F.col("y.list")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
+        (F.struct("x.n", "x.id") < F.struct("y.n", "y.id")) & (F.col("x.component") != F.col("y.component"))
         & _may_link(F.col("x.n"), F.col("y.n")) & ((DENOMINATOR + NUMERATOR) * most >= NUMERATOR * (F.col("x.n") + F.col("y.n")))
     )
-    return x.join(y, possible).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    cell = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("list", "band", "row", "column")]
+    joined = x.join(y, [*cell, possible])
+    return joined.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def _with_components(frame: DataFrame, components: DataFrame) -> DataFrame:

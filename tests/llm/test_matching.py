@@ -6,6 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gaugeline.llm import decontamination, jaccard_join
 from gaugeline.llm.components import connected_components
@@ -56,6 +57,62 @@ def test_components_without_leaders(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(texts)
 
 
+def boilerplate(count):
+    """Texts of 96 to 104 words that share 84 of them: most pairs just miss the similarity."""
+    shared = " ".join(f"s{k}" for k in range(84))
+    texts = [(k, shared + " " + " ".join(f"w{k}x{j}" for j in range(12 + k % 9))) for k in range(count)]
+    return texts + [(count + k, t + " end") for k, t in texts[:20]]
+
+
+@pytest.mark.parametrize("hot, cell", [(250_000, 1024), (8, 7)])
+def test_shared_passages_without_links(spark, monkeypatch, hot, cell):
+    """Also with the lists of frequent shingles spread and their cells cut."""
+    monkeypatch.setattr(jaccard_join, "HOT_POSTINGS", hot)
+    monkeypatch.setattr(jaccard_join, "CELL_ROWS", cell)
+    texts = boilerplate(150)
+    got = jaccard_join.jaccard_components(frame(spark, texts)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(texts)
+
+
+def test_pairs_looked_at_grow_with_the_lists(spark):
+    """Sets of 100 that share their last 80: no pair can link, and none is looked at."""
+    for count in (200, 2000):
+        lists = spark.range(count).select(
+            F.lit(1).cast("long").alias("list"), "id", F.lit(100).alias("n"), F.lit(20).alias("position"), F.col("id").alias("component")
+        )
+        smaller, larger = jaccard_join._sides(lists)
+        assert smaller.join(larger, ["list", "band", "row", "column"]).count() <= count
+        assert jaccard_join._all_pairs(lists).count() == 0
+
+
+def test_cells_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CELL_ROWS", 5)
+    rng = random.Random(4)
+    rows = []
+    for k in range(120):
+        n = rng.randint(1, 60)
+        rows.append((k % 3, k, n, rng.randint(0, n // 4), k % 50))
+    lists = spark.createDataFrame(rows, "list long, id long, n int, position int, component long")
+    want = set()
+    for lx, x, nx, px, cx in rows:
+        for ly, y, ny, py, cy in rows:
+            if lx == ly and x < y and cx != cy and 100 * min(nx, ny) >= 75 * max(nx, ny) and 175 * min(nx - px, ny - py) >= 75 * (nx + ny):
+                want.add((x, y))
+    assert want and set(map(tuple, jaccard_join._all_pairs(lists).collect())) == want
+
+
+def test_neighbours_across_tasks(spark):
+    lists = spark.createDataFrame([(7, k, 40, 0, k) for k in range(300)] + [(8, 1000, 5, 0, 1), (9, 1001, 5, 0, 2)], "list long, id long, n int, position int, component long")
+    assert set(map(tuple, jaccard_join._neighbour_pairs(lists).collect())) == {(k, k + 1) for k in range(299)}
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{k % 7001}" for k in range(400_000))
+    texts = [(1, long), (2, long + " more"), (3, "one two three"), (4, "w1 " * 300_000)]
+    got = jaccard_join.jaccard_components(frame(spark, texts)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(texts)
+
+
 def test_null_ids_and_no_rows(spark):
     got = jaccard_join.jaccard_components(frame(spark, [(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f")])).collect()
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in got) == [(-1, -1), (4, 4), (4, 4)]
