@@ -23,6 +23,8 @@ from gaugeline.llm.support import ship, shuffle_parts
 QUERY_GROUP = 2048
 CANDIDATE_GROUP = 16384
 BLOCK = 16
+# Queries whose first block of dimensions is scored at a time.
+STRIP = 128
 
 
 def quantized(vectors: DataFrame, vec_id: str, embedding: str, scale: float) -> DataFrame:
@@ -46,11 +48,12 @@ def search_cell(query_ids, queries, ids, vectors, k: int) -> tuple[np.ndarray, n
     rest_c = [np.sqrt((columns[c:].astype(float) ** 2).sum(axis=0)) for c in cuts]
     rest_q = [np.sqrt((asked[:, c:].astype(float) ** 2).sum(axis=1)) for c in cuts]
     width = cuts[1] if dims else 0
-    first = asked[:, :width] @ columns[:width] if dims else np.zeros((len(asked), len(ids)))
     out_q, out_c, out_s = [], [], []
     for q in range(len(asked)):
+        if q % STRIP == 0:
+            first = asked[q : q + STRIP, :width] @ columns[:width] if dims else np.zeros((STRIP, len(ids)))
         alive = np.flatnonzero(ids != query_ids[q])
-        score = first[q, alive]
+        score = first[q % STRIP, alive]
         # The most promising of the first block are completed to get a k-th best early.
         if len(alive) > k:
             seeds = alive[np.argpartition(-score.astype(float), min(4 * k, len(alive) - 1))[: 4 * k]]
