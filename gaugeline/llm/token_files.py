@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.llm.bytewords import text_bytes
@@ -36,6 +36,13 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A path without a scheme belongs to the session's file system, which tasks cannot ask for."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return folder if whole.startswith("file:") else whole
+
+
 def sequence_schema(length: int, kind: pa.DataType) -> pa.Schema:
     return pa.schema([("ids", pa.list_(pa.field("item", kind, False), length)), ("mask", pa.list_(pa.field("item", pa.bool_(), False), length))])
 
@@ -108,13 +115,15 @@ def write_token_files(
     """Encode every text, write the files in ascending ``doc_id`` order, return the manifest.
 
     One row per file: ``part``, ``path``, ``n_docs``, ``n_tokens`` and ``start``, the ids in
-    all files before it. Documents are range-partitioned by ``doc_id``, so a part holds a
-    share of them whatever the ids are; rows with equal ids stay together in no stated
-    order, null ids come first. A null text is empty and leaves its end id only. An empty
+    all files before it. Documents are range-partitioned by ``doc_id`` and a hash of the text,
+    so a part holds a share of them whatever the ids are; rows with equal ids follow each
+    other by that hash, null ids come first. A folder without a scheme is one of the session's
+    file system. A null text is empty and leaves its end id only. An empty
     table gives no files. Columns other than the two are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
+    folder = qualified(spark, folder)
     system, name = _open(folder)
     system.create_dir(name, recursive=True)
 
@@ -148,8 +157,10 @@ def write_token_files(
 
     files = (
         docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-        .repartitionByRange(shuffle_parts(spark), "doc_id")
-        .sortWithinPartitions("doc_id")
+        .withColumn("tie", F.xxhash64("text"))
+        .repartitionByRange(shuffle_parts(spark), "doc_id", "tie")
+        .sortWithinPartitions("doc_id", "tie")
+        .drop("tie")
         .mapInArrow(write, "part long, path string, n_docs long, n_tokens long")
         .collect()
     )

@@ -84,6 +84,30 @@ def test_files_of_nothing(spark, tmp_path):
     assert manifest.count() == 0 and token_files.read_token_files(manifest).count() == 0
 
 
+def test_rows_of_equal_ids_keep_their_order(spark, tmp_path):
+    rows = [(k, f"text {k} {j}") for k in (None, 1, 2) for j in range(9)]
+
+    def starts(name, data):
+        docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+        got = token_files.read_token_files(token_files.write_token_files(docs, str(tmp_path / name), P.path("byte_bpe_50k.json"), end_id=0))
+        return sorted(map(tuple, got.collect()), key=str)
+
+    first = starts("a", rows)
+    assert len(first) == 27 and first == starts("b", rows[::-1])
+
+
+def test_folder_of_another_file_system(spark):
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "hdfs://localhost:1")
+    try:
+        assert token_files.qualified(spark, "/out/ids") == "hdfs://localhost:1/out/ids"
+        assert token_files.qualified(spark, "file:/out/ids") == "file:/out/ids"
+    finally:
+        conf.set("fs.defaultFS", before)
+    assert token_files.qualified(spark, "/out/ids") == "/out/ids"
+
+
 def check_packing(pieces, capacity):
     fill = {}
     for r in pieces:
