@@ -3,7 +3,7 @@
 The index is a written table with one row per shard, a run of documents of one task of
 bounded size: its documents, and for each term the ascending positions of the term in the
 shard. Positions of different documents lie apart by more than any match can span. Test
-windows, in blocks of proven size, go to every shard; there the lists of a window's terms
+windows are a written table and go to every shard in blocks cut by their number; there the lists of a window's terms
 are shifted by the terms' offsets and intersected, the shortest list first. No posting is
 moved between tasks, so a frequent term is no hot key.
 
@@ -17,16 +17,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gaugeline.llm.bytewords import ALNUM, FOLD, find_words, hash_spans, ranges, text_bytes
 from gaugeline.llm.support import batches_by_bytes, materialize, ship
 
 WINDOW = 13
 SHARD_BYTES = 16 << 20
-# Test text that one pass takes to the tasks; a larger benchmark goes in several passes.
+# Windows that one pass takes to the tasks, in bytes; a larger benchmark goes in several passes.
 BLOCK_BYTES = 32 << 20
+PACK_WINDOWS = 4096
+_WINDOWS = "part int, k int, n int, items array<string>, starts binary, lengths binary, hashes binary"
 _GAP = 64
 _INDEX = "shard string, doc_ids binary, null_ids binary, n_words binary, firsts binary, terms binary, sizes binary, positions binary"
 
@@ -49,22 +53,55 @@ def words_of(column: pa.Array):
     return words, hash_spans(data, words.starts, words.ends)
 
 
-def test_windows(item_ids: list, texts: pa.Array, size: int = WINDOW) -> Tests:
-    """All windows of the items; an item of fewer words is one window, an empty one none."""
-    words, hashes = words_of(texts)
-    terms, numbers = np.unique(hashes, return_inverse=True)
-    rows, lengths, items, starts = [], [], [], []
-    for d, (first, last) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
-        n = min(size, last - first)
-        if not n or item_ids[d] is None:
-            continue
-        for s in range(first, last - n + 1):
-            rows.append(np.concatenate([numbers[s : s + n], np.full(size - n, -1)]))
-            lengths.append(n)
-            items.append(d)
-            starts.append(s - first)
-    windows = np.array(rows, np.int64).reshape(-1, size)
-    return Tests(terms, windows, np.array(lengths, np.int64), np.array([str(i) for i in item_ids], object)[np.array(items, np.int64)], np.array(starts, np.int64))
+def item_windows(benchmark: DataFrame, size: int, most: int, item_id: str, text: str) -> DataFrame:
+    """Written rows of at most ``most`` windows of the distinct items.
+
+    An item of fewer words is one window, an empty one none. Hashes fill ``size`` places,
+    zero behind a short window's end.
+    """
+
+    def cut(batches):
+        part, k = TaskContext.get().partitionId(), 0
+        for batch in batches_by_bytes(batches, "text"):
+            words, hashes = words_of(batch.column("text"))
+            counts = words.counts()
+            length = np.minimum(counts, size)
+            many = np.where(counts > 0, counts - length + 1, 0)
+            owner = np.repeat(np.arange(len(counts)), many)
+            start = ranges(np.zeros(len(counts), np.int64), many)
+            ids = batch.column("item_id")
+            for first in range(0, len(owner), most):
+                rows = slice(first, first + most)
+                n = length[owner[rows]]
+                place = (words.first[:-1][owner[rows]] + start[rows])[:, None] + np.arange(size)
+                inside = np.arange(size) < n[:, None]
+                packed = np.where(inside, hashes[np.minimum(place, len(hashes) - 1)], np.uint64(0))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([len(n)], pa.int32()),
+                        pa.array([ids.take(pa.array(owner[rows])).to_pylist()], pa.list_(pa.string())),
+                        *(pa.array([x.tobytes()], pa.binary()) for x in (start[rows].astype(np.int64), n.astype(np.int64), packed)),
+                    ],
+                    names=[x.split()[0] for x in _WINDOWS.split(", ")],
+                )
+                k += 1
+
+    items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(text).alias("text")).dropna().distinct()
+    return materialize(items.mapInArrow(cut, _WINDOWS), "item-windows")
+
+
+def tests_of(rows: list, size: int) -> Tests:
+    """The windows of written rows, their terms numbered."""
+
+    def joined(name, kind):
+        return np.frombuffer(b"".join(bytes(r[name]) for r in rows), kind)
+
+    lengths, hashes = joined("lengths", np.int64), joined("hashes", np.uint64).reshape(-1, size)
+    inside = np.arange(size) < lengths[:, None]
+    terms, numbers = np.unique(hashes[inside], return_inverse=True)
+    windows = np.full(hashes.shape, -1, np.int64)
+    windows[inside] = numbers
+    return Tests(terms, windows, lengths, np.array([i for r in rows for i in r["items"]], object), joined("starts", np.int64))
 
 
 def build_index(docs: DataFrame, terms: np.ndarray | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -174,14 +211,16 @@ def matches_in(shard: Shard, tests: Tests, slop: int | None = None):
 
 
 def _blocks(benchmark: DataFrame, window: int, item_id: str, text: str) -> Iterator[tuple[int, Tests]]:
-    """The number of blocks and each block's windows: blocks hold text of about ``BLOCK_BYTES``."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), F.coalesce(text, F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 + total // BLOCK_BYTES
+    """The number of blocks and each block's windows, of about ``BLOCK_BYTES`` in all."""
+    limit = max(1, BLOCK_BYTES // (8 * window + 24))
+    packed = item_windows(benchmark, window, min(PACK_WINDOWS, limit), item_id, text)
+    # One small row for each row of packed windows.
+    before = F.sum("n").over(Window.orderBy("part", "k")) - F.col("n")
+    block = packed.select("part", "k", F.floor(before.cast("long") / F.lit(limit)).cast("int").alias("block"))
+    dealt = materialize(packed.join(block, ["part", "k"]), "item-blocks")
+    n = 1 + (dealt.agg(F.max("block")).first()[0] or 0)
     for k in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        rows = part.collect()
-        yield n, test_windows([r["item_id"] for r in rows], pa.array([r["text"] for r in rows], pa.string()), window)
+        yield n, tests_of(dealt.filter(F.col("block") == k).collect(), window)
 
 
 def _scan(index: DataFrame, tests: Tests, rows_of, schema: str) -> DataFrame:
@@ -246,7 +285,7 @@ def decontaminate(
     found = _scan(index, tests, rows_of, schema)
     if n > 1:
         for _, tests in blocks:
-            found = found.unionAll(_scan(index, tests, rows_of, schema))
+            found = found.unionAll(_scan(index, tests, rows_of, schema).filter(F.size("hit") > 0))
         found = found.groupBy("shard", "row").agg(
             F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
             F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
@@ -265,7 +304,9 @@ def phrase_matches(
     """Where windows occur: ``doc_id``, ``item_id`` (text), ``item_start``, ``first_word``, ``last_word``, ``exact``.
 
     With ``slop`` above 0 also ordered matches with up to so many words between the terms,
-    the tightest around each place of the rarest term. Nulls and empty tables as above.
+    the tightest around each place of the rarest term. Nulls and empty tables as above: they
+    give no rows. A repeated document gives its rows again, a repeated item does not; items
+    that share a window each give a row.
     """
     if slop > _GAP - 1:
         raise ValueError(f"slop must be below {_GAP}")

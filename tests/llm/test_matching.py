@@ -2,6 +2,7 @@
 
 import random
 import sys
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.llm import decontamination, jaccard_join
 from gaugeline.llm.components import connected_components
-from gaugeline.llm.topk import top_k
+from gaugeline.llm.topk import search_cell, top_k
 
 sys.path.insert(0, str(Path(__file__).parent))
 
@@ -143,6 +144,23 @@ def test_hits_equal_brute_force(spark, monkeypatch, block):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_repeated_items_fill_no_block(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 1000)
+    items = spark.createDataFrame([(1, ITEM, 0)] * 500 + [(2, " ".join(f"w{k}" for k in range(300)), 0)], ITEM_SCHEMA)
+    blocks = list(decontamination._blocks(items, 13, "item_id", "text"))
+    limit = 1000 // (8 * 13 + 24)
+    assert sum(len(t.windows) for _, t in blocks) == len(ITEM.split()) - 12 + 288
+    assert max(len(t.windows) for _, t in blocks) < 2 * limit
+
+
+def test_hits_in_a_very_long_text(spark):
+    text = " ".join(f"w{k % 9001}" for k in range(300_000)) + " " + ITEM
+    items = [(1, ITEM), (2, " ".join(f"w{k}" for k in range(8990, 9001)) + " w0 w1 w2")]
+    got = decontamination.decontaminate(frame(spark, [(1, text)]), spark.createDataFrame([(*i, 0) for i in items], ITEM_SCHEMA)).first()
+    whole, at = len(ITEM.split()), 33
+    assert (got["n_words"], got["n_hit"], got["n_items"]) == (300_000 + whole, 14 * at + whole, 2)
+
+
 def test_no_benchmark_and_no_documents(spark):
     none = spark.createDataFrame([], ITEM_SCHEMA)
     assert [r["contaminated"] for r in decontamination.decontaminate(frame(spark, [(1, ITEM), (2, None)]), none).collect()] == [False, False]
@@ -158,6 +176,23 @@ def test_phrases_and_near_matches(spark):
     assert sorted((r["doc_id"], r["first_word"], r["last_word"], r["exact"]) for r in near) == [(1, 1, 3, True), (2, 0, 4, False)]
 
 
+def test_phrases_of_repeated_rows(spark):
+    items = spark.createDataFrame([(1, "alpha beta", 0), (1, "alpha beta", 0), (2, "Alpha beta", 0), (3, None, 0)], ITEM_SCHEMA)
+    got = decontamination.phrase_matches(frame(spark, [(1, "alpha beta"), (1, "alpha beta"), (2, None)]), items).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["first_word"]) for r in got) == [(1, "1", 0)] * 2 + [(1, "2", 0)] * 2
+
+
+def test_a_full_cell_takes_bounded_memory():
+    rng = np.random.default_rng(5)
+    vectors, queries = rng.integers(-99, 99, (16384, 32)), rng.integers(-99, 99, (300, 32))
+    tracemalloc.start()
+    q, c, score = search_cell(np.arange(-300, 0), queries, np.arange(16384), vectors, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    assert (score.reshape(300, 5) == -np.sort(-(queries @ vectors.T), axis=1)[:, :5]).all()
+
+
 VECTORS = "vec_id long, embedding array<float>, score long, rank int"
 
 
