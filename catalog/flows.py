@@ -22,8 +22,8 @@ from gaugeline.plans.check import affected_indices, eligible_uploads, mismatches
 from gaugeline.plans.ledger import alert_state
 from gaugeline.plans.requests import run_analyses, run_checks
 from gaugeline.schema import CONTEXT
-from gaugeline.sources.tables import (
-    append_chart_points, append_comparisons, append_findings, append_results, append_violations,
+from gaugeline.sources.results import (
+    append_alerts, append_chart_points, append_comparisons, append_findings, append_results, append_violations,
 )
 
 ROWS = ("source_row_number", "measurement_id")
@@ -303,12 +303,17 @@ def final(spark, sf_dir):
 @query(
     "f7_alerts",
     CHECKED + f"""
-SELECT {CTX_SQL}, {FINDING}, 'OPEN' AS status FROM fd JOIN ids USING (k)
+SELECT 'A-' || k || '-' || split_part(f, ':', 1) AS alert_id, k AS manual_check_id, 'F-' || k || '-' || split_part(f, ':', 1) AS finding_id, machine_id, parameter_id,
+       split_part(f, ':', 2) AS severity, {FINDING_TEXT} AS message, 'OPEN' AS status
+FROM fd JOIN (SELECT * EXCLUDE (final_status) FROM verdict) USING (k) JOIN ids USING (k)
 WHERE final_status IN ('OUT_OF_CONTROL', 'CRITICAL') AND split_part(f, ':', 2) <> 'INFO'
 """,
 )
 def alerts(spark, sf_dir):
-    return unpack(check_of(spark, sf_dir).alerts).select(*CONTEXT, "finding_type", "severity", "status")
+    raised = check_of(spark, sf_dir).alerts
+    path = folder(spark, "alerts")
+    append_alerts(unpack(raised.withColumn("manual_check_id", check_ids(raised))), path)
+    return spark.read.parquet(path).drop("created_at")
 
 
 @query(
@@ -502,7 +507,9 @@ def requested_checks(spark, sf_dir):
 @query(
     "s11_result_tables",
     WHOLE + """
-SELECT k AS analysis_id, CAST(pc AS BIGINT) AS subgroup_count, CAST(used AS BIGINT) AS subgroup_size_used, round(gm, 6) AS center_line,
+SELECT k AS analysis_id, CAST(pc AS BIGINT) AS subgroup_count, CAST(used AS BIGINT) AS subgroup_size_used, round(mean, 6) AS mean, round(ws, 6) AS within_sigma,
+       round(os, 6) AS overall_sigma, CAST(n AS BIGINT) AS valid_observations, round(gm, 6) AS center_line, round(ucl, 6) AS ucl, round(lcl, 6) AS lcl,
+       -50.0::DOUBLE AS lsl, 200.0::DOUBLE AS usl, round(cp, 6) AS cp, round(cpk, 6) AS cpk, round(pp, 6) AS pp, round(ppk, 6) AS ppk,
        round(slcl, 6) AS secondary_lcl, CAST(pc + CASE WHEN kind = 'IMR' THEN pc - 1 ELSE pc END AS BIGINT) AS stored_points FROM st
 """,
 )
@@ -516,7 +523,8 @@ def result_tables(spark, sf_dir):
     append_chart_points(done.chart_points.join(ids, "ctx").drop("ctx"), points)
     counted = spark.read.parquet(points).groupBy("analysis_id").agg(F.count("*").alias("stored_points"))
     return spark.read.parquet(results).join(counted, "analysis_id").select(
-        "analysis_id", F.col("subgroup_count"), "subgroup_size_used", r6("center_line"), r6("secondary_lcl"), "stored_points"
+        "analysis_id", "subgroup_count", "subgroup_size_used", "valid_observations", "lsl", "usl", "stored_points",
+        *[r6(c) for c in ("mean", "within_sigma", "overall_sigma", "center_line", "ucl", "lcl", "cp", "cpk", "pp", "ppk", "secondary_lcl")],
     )
 
 
@@ -533,27 +541,53 @@ SELECT k AS manual_check_id, NULL AS analysis_id, rule_name, CAST(s AS BIGINT) A
 def violation_table(spark, sf_dir):
     found = check_of(spark, sf_dir).violations
     path = folder(spark, "violations")
-    append_violations(with_messages(found).withColumn("manual_check_id", check_ids(found)), path, "manual_check_id")
+    append_violations(with_messages(found).withColumn("manual_check_id", check_ids(found)), path)
     return spark.read.parquet(path).select("manual_check_id", "analysis_id", "rule_name", "start_index", "end_index")
 
 
 @query(
     "s13_comparison_table",
-    CHECKED + "SELECT k AS manual_check_id, round(bm, 6) AS baseline_mean, round(cm, 6) AS current_mean, round(k_change, 6) AS cpk_change FROM verdict",
+    CHECKED + """
+SELECT k AS manual_check_id, round(bm, 6) AS baseline_mean, round(cm, 6) AS current_mean, round(shift, 6) AS mean_shift, round(shift_pct, 6) AS mean_shift_percentage,
+       round(bw, 6) AS baseline_within_sigma, round(cw, 6) AS current_within_sigma, round(cw - bw, 6) AS within_variation_change,
+       round(w_pct, 6) AS within_variation_change_percentage, round(bo, 6) AS baseline_overall_sigma, round(co, 6) AS current_overall_sigma,
+       round(co - bo, 6) AS overall_variation_change, round(o_pct, 6) AS overall_variation_change_percentage, round(bk, 6) AS baseline_cpk, round(ck, 6) AS current_cpk,
+       round(k_change, 6) AS cpk_change, round(bp, 6) AS baseline_ppk, round(cpp, 6) AS current_ppk, round(p_change, 6) AS ppk_change, f_shift AS mean_shift_detected,
+       f_up AS variation_increase_detected, f_down AS variation_reduction_detected, f_better AS capability_improvement_detected,
+       f_worse AS capability_degradation_detected, pv > 0 AS new_limit_violations_detected FROM verdict
+""",
 )
 def comparison_table(spark, sf_dir):
     checks = check_of(spark, sf_dir).checks.filter("failure IS NULL")
     path = folder(spark, "comparisons")
-    append_comparisons(checks.withColumn("manual_check_id", check_ids(checks)).drop("ctx"), path)
-    return spark.read.parquet(path).select("manual_check_id", r6("baseline_mean"), r6("current_mean"), r6("cpk_change"))
+    append_comparisons(checks.withColumn("manual_check_id", check_ids(checks)), path)
+    stored = spark.read.parquet(path)
+    return stored.select(*[r6(c) if kind == "double" else c for c, kind in stored.dtypes])
+
+
+FACT = """
+CASE split_part(f, ':', 1) WHEN 'MEAN_SHIFT' THEN shift WHEN 'VARIATION_INCREASE' THEN w_pct WHEN 'VARIATION_REDUCTION' THEN w_pct
+ WHEN 'CAPABILITY_DEGRADATION' THEN k_change WHEN 'CAPABILITY_IMPROVEMENT' THEN k_change WHEN 'NEW_LIMIT_VIOLATION' THEN pv
+ WHEN 'TREND_DETECTED' THEN tv WHEN 'SHIFT_DETECTED' THEN sv END
+"""
 
 
-@query("s14_findings_table", CHECKED + f"SELECT k AS manual_check_id, {FINDING} FROM fd")
+@query(
+    "s14_findings_table",
+    CHECKED + f"""
+SELECT 'F-' || k || '-' || split_part(f, ':', 1) AS finding_id, NULL::VARCHAR AS analysis_id, k AS manual_check_id, {FINDING}, {FINDING_TEXT} AS message,
+       round(CAST({FACT} AS DOUBLE), 6) AS fact FROM fd JOIN verdict USING (k)
+""",
+)
 def findings_table(spark, sf_dir):
     found = check_of(spark, sf_dir).findings
     path = folder(spark, "findings")
-    append_findings(found.withColumn("manual_check_id", check_ids(found)).drop("ctx"), path)
-    return spark.read.parquet(path).select("manual_check_id", "finding_type", "severity")
+    append_findings(found.withColumn("manual_check_id", check_ids(found)), path)
+    changes = ("mean_shift", "within_variation_change_percentage", "cpk_change", "violation_count")
+    fact = F.coalesce(*[F.get_json_object("statistical_fact", f"$.{c}") for c in changes]).cast("double")
+    return spark.read.parquet(path).select(
+        "finding_id", "analysis_id", "manual_check_id", "finding_type", "severity", "message", r6(fact, "fact")
+    )
 
 
 @query(

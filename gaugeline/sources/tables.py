@@ -164,38 +164,3 @@ def by_context(silver: DataFrame, parameter_id: str, valid_only: bool = True, **
 def by_time_range(silver: DataFrame, parameter_id: str, start, end, valid_only: bool = True) -> DataFrame:
     rows = silver.filter((F.col("parameter_id") == parameter_id) & F.col("event_timestamp").between(start, end))
     return measurements(rows, valid_only).orderBy("event_timestamp")
-
-
-def append_results(results: DataFrame, path: str) -> None:
-    append(results, path)
-
-
-def append_chart_points(points: DataFrame, path: str) -> None:
-    append(points, path)
-
-
-def violation_rows(found: DataFrame, owner: str) -> DataFrame:
-    """Violations with exactly one owner, an analysis or a manual check."""
-    other = "manual_check_id" if owner == "analysis_id" else "analysis_id"
-    return found.select(
-        F.expr("uuid()").alias("violation_id"),
-        F.col(owner),
-        F.lit(None).cast("string").alias(other),
-        "rule_name", "chart_type", "severity", "start_index", "end_index", "affected_points", "message",
-        F.current_timestamp().alias("detected_at"),
-    )
-
-
-def append_violations(found: DataFrame, path: str, owner: str) -> None:
-    append(violation_rows(found, owner).select(
-        "violation_id", "analysis_id", "manual_check_id", "rule_name", "chart_type", "severity", "start_index",
-        "end_index", "affected_points", "message", "detected_at",
-    ), path)
-
-
-def append_comparisons(comparisons: DataFrame, path: str) -> None:
-    append(comparisons, path)
-
-
-def append_findings(findings: DataFrame, path: str) -> None:
-    append(findings, path)
