@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from gaugeline.operators.layout import BROADCAST_ROWS, materialize, small
 
 VALID = "VALID"
 
@@ -80,29 +81,50 @@ def validate_rows(mapped: DataFrame, expected_unit: Column | None = None) -> Dat
 DUPLICATE_KEYS = ("parameter_name", "machine_code", "product_code", "operation_code", "event_timestamp", "value")
 
 
-# Ways one repeated key is spread over tasks.
-COPY_SALTS = 256
+# A repeated key with more than this share of the repeated rows is hot; there are fewer such keys than its inverse.
+HOT_SHARE = 1e-4
 
 
 def flag_duplicates(rows: DataFrame, scope=("upload_id",), order=("source_file_name", "source_row_number")) -> DataFrame:
     """Mark a valid row that repeats an earlier row of its upload in all key columns.
 
-    Earlier means an earlier file of the upload, or an earlier row of the same file.
-    Copies of a key are first compared within a salt, then the first copies of all
-    salts with each other. A row that is not first in its salt keeps its salt in the
-    second step, so no task sees more than a share of the copies.
+    Earlier means an earlier file of the upload, or an earlier row of the same file; rows of
+    one file have different numbers. Only hashes of keys are counted over all rows, then the
+    first row of each repeated key is looked up; the parsed rows are written once for that.
+    Few repeated keys are broadcast, and no row is moved. Else rows meet their key by hash,
+    apart from those of hot keys, which are few, so their first rows are broadcast and the
+    rows themselves are dealt at random.
     """
     keys = [*[c for c in scope if c in rows.columns], *DUPLICATE_KEYS]
     order = [c for c in order if c in rows.columns]
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(COPY_SALTS)))
-    again = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order)) > 1
-    rows = rows.withColumn("_again", again)
-    rows = rows.withColumn("_salt", F.when(F.col("_again"), F.col("_salt")).otherwise(-1))
-    later = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order)) > 1
-    rows = rows.withColumn("_later", later)
-    repeated = F.col("_again") | F.col("_later")
-    status = F.when(repeated & (F.col("quality_status") == VALID), "DUPLICATE").otherwise(F.col("quality_status"))
-    return rows.withColumn("quality_status", status).drop("_salt", "_again", "_later")
+    # Parsing costs more than reading back, and the rows are read three times, mostly in few columns.
+    rows = materialize(rows.withColumn("_key", F.xxhash64(*keys)), "parsed")
+    narrow = rows.select("_key", *dict.fromkeys([*keys, *order]))
+    repeated = materialize(narrow.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1"), "repeated")
+    hashes, copies = repeated.agg(F.count("*"), F.sum("_n")).first()
+    if not hashes:
+        return rows.drop("_key")
+    few = hashes <= BROADCAST_ROWS
+    if few:
+        narrow = narrow.join(F.broadcast(repeated), "_key", "left_semi")
+    firsts = narrow.groupBy("_key", *keys).agg(F.min(F.struct(*order)).alias("_first"), F.count("*").alias("_copies"))
+    firsts = materialize(firsts.filter("_copies > 1").withColumn("_hot", F.col("_copies") > HOT_SHARE * copies), "firsts")
+
+    def looked_up(left: DataFrame, right: DataFrame, spot: str, out: str) -> DataFrame:
+        found = right.select(F.col("_key").alias("_spot"), *[F.col(c).alias(f"_k_{c}") for c in keys], F.col("_first").alias(out))
+        same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys]
+        return left.join(found, [F.col(spot) == F.col("_spot"), *same], "left").drop("_spot", *[f"_k_{c}" for c in keys])
+
+    if few:
+        rows = looked_up(rows, small(firsts), "_key", "_first")
+    else:
+        rows = looked_up(rows, F.broadcast(firsts.filter("_hot")), "_key", "_hot_first")
+        rows = rows.withColumn("_at", F.when(F.col("_hot_first").isNull(), F.col("_key")).otherwise(F.xxhash64(*order)))
+        rows = looked_up(rows, firsts.filter("NOT _hot"), "_at", "_first")
+        rows = rows.withColumn("_first", F.coalesce("_hot_first", "_first")).drop("_at", "_hot_first")
+    later = F.coalesce(F.struct(*order) > F.col("_first"), F.lit(False))
+    status = F.when(later & (F.col("quality_status") == VALID), "DUPLICATE").otherwise(F.col("quality_status"))
+    return rows.withColumn("quality_status", status).drop("_key", "_first")
 
 
 def with_notes(rows: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """CSV scan, gate, mapping, quality, resolution and the whole load."""
 
+import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from gaugeline.operators import quality
 from gaugeline.operators.quality import flag_duplicates, parse_number, parse_timestamp, unit_status
 from gaugeline.operators.resolve import resolve_operation
 from gaugeline.plans import ingest
@@ -70,6 +72,34 @@ def test_duplicates_keep_the_first_and_compare_nulls_equal(spark):
     assert got[600] == got[601] == "VALID" and got[602] == got[603] == "MISSING_VALUE"
 
 
+@pytest.mark.parametrize("broadcast", [50_000, 0])
+def test_duplicates_by_broadcast_and_by_hash(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(quality, "HOT_SHARE", 0.1)
+    rng = random.Random(3)
+    rows = []
+    for i in range(900):
+        # A third of all rows are copies of one key, others repeat a few times or not at all.
+        name = "hot" if i % 3 == 0 else rng.choice([f"k{rng.randrange(150)}", None])
+        value = 1.0 if name == "hot" else rng.choice([0.0, -0.0, float("nan"), None, 2.0])
+        rows.append((rng.choice(["a.csv", "b.csv"]), i, rng.choice(["U1", "U2"]), name, None, "P", None, None, value, rng.choice(["VALID", "VALID", "INVALID_UNIT"])))
+    schema = ("source_file_name string, source_row_number long, upload_id string, parameter_name string, machine_code string, product_code string, "
+              "operation_code string, event_timestamp timestamp_ntz, value double, quality_status string")
+    frame = spark.createDataFrame(rows, schema).withColumn("_copies", F.lit("kept"))
+    seen, want = set(), {}
+    for row in sorted(rows, key=lambda r: r[:2]):
+        value = "nan" if row[8] != row[8] else row[8]
+        key = (*row[2:8], value)
+        want[row[1]] = "DUPLICATE" if key in seen and row[9] == "VALID" else row[9]
+        seen.add(key)
+    got = flag_duplicates(frame)
+    assert {r.source_row_number: r.quality_status for r in got.collect()} == want
+    assert got.columns == frame.columns and got.filter("_copies = 'kept'").count() == 900
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    assert flag_duplicates(frame.filter("false")).count() == 0
+
+
 def test_gate(spark, tmp_path):
     write(tmp_path, "a.csv", ["x"])
     write(tmp_path, "b.txt", ["x"])
