@@ -14,6 +14,7 @@ hash over the whole text. Scoring reads every window of every text.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Collection
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ BUCKETS = 1 << 17
 MAX_TOXIC, MAX_CLEAN, MAX_WINDOWS = 1000, 2000, 64
 SUPPORT, DECAY, FLOOR = 3, 1e-6, 1e-4
 _NGRAMS = (3, 4, 5)
+# Words of a vocabulary that are cut to subwords at a time; the driver holds their spans several times.
+SUBWORDS_OF = 1 << 13
 
 
 def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,7 +49,16 @@ def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
         owner.append(np.repeat(np.arange(len(size)), count))
     buckets, owner = np.concatenate(buckets), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
-    return (buckets[order] % np.uint64(BUCKETS)).astype(np.int64), np.bincount(owner, minlength=len(size))
+    return (buckets[order] % np.uint64(BUCKETS)).astype(np.int32), np.bincount(owner, minlength=len(size))
+
+
+def vocabulary_subwords(words: Collection[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``subwords`` of distinct words, a bounded number of them at a time."""
+    size = np.array([len(w) for w in words])
+    data, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size)
+    slices = [slice(i, i + SUBWORDS_OF) for i in range(0, len(size), SUBWORDS_OF)]
+    buckets, counts = zip(*(subwords(data, (ends - size)[x], ends[x]) for x in slices))
+    return np.concatenate(buckets), np.concatenate(counts)
 
 
 class SubwordSoftmax:
@@ -60,7 +72,8 @@ class SubwordSoftmax:
     def word_scores(self, buckets: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Each word's share of the difference of the two logits, before averaging."""
         gain = (self.embedding @ (self.weights[:, 1] - self.weights[:, 0]))[buckets]
-        before = np.concatenate([[0.0], np.cumsum(gain, dtype=np.float64)])
+        before = np.zeros(len(gain) + 1)
+        np.cumsum(gain, dtype=np.float64, out=before[1:])
         ends = np.cumsum(counts)
         return (before[ends] - before[ends - counts]) / np.maximum(counts, 1)
 
@@ -204,10 +217,9 @@ def train(
     numbers: dict[bytes, int] = {}
     windows = [np.array([numbers.setdefault(x, len(numbers)) for x in w.split(b" ")]) for _, ws in sample for w in ws]
     document = np.repeat(np.arange(len(sample)), [len(ws) for _, ws in sample])
-    size = np.array([len(w) for w in numbers])
-    data = np.frombuffer(b"".join(numbers), np.uint8)
+    del sample
     model = SubwordSoftmax()
-    model.fit(windows, subwords(data, np.cumsum(size) - size, np.cumsum(size)), document, target)
+    model.fit(windows, vocabulary_subwords(numbers), document, target)
     return model
 
 
