@@ -358,7 +358,7 @@ def test_marginals_equal_enumeration():
 def test_queries_equal_their_sql(spark, name):
     got = queries.QUERIES[name](spark, TEST_DIR).toPandas()
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "benchmark"):
+    for table in ("documents", "embeddings", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{TEST_DIR}/{table}.parquet')")
     want = con.execute(queries.ORACLE[name]).df()
     columns = sorted(want.columns)
